@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
-from .common import documents
+from . import decontaminate, mixing, sharding
+from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,13 +16,17 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(documents(spark, sf_dir))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op8_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mix_sources, op8_shard_documents)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_decontaminate, op8_shard_documents)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.SQL}
+    return {"op2_mix_sources": mixing.SQL, "op3_decontaminate": decontaminate.SQL}
