@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding
+from . import decontaminate, mixing, neardup, sharding
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,12 @@ def op8_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_decontaminate, op8_shard_documents)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_decontaminate, op8_shard_documents, op9_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
