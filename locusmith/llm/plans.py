@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import decontaminate, mixing, neardup, sharding, toxicity
 from .common import documents, table
 
@@ -33,7 +35,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_decontaminate, op5_toxicity, op8_shard_documents, op9_near_duplicates)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_mix_sources, op3_decontaminate, op5_toxicity, op8_shard_documents, op9_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
