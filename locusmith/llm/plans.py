@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, mixing, neardup, sharding, toxicity
+from . import decontaminate, langid, licenses, mixing, neardup, secrets, sharding, toxicity
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op8_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -34,8 +42,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_mix_sources, op3_decontaminate, op5_toxicity, op8_shard_documents, op9_near_duplicates)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_mix_sources, op3_decontaminate, op5_toxicity, op6_license_scan, op7_language_id, op8_shard_documents, op9_near_duplicates, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
