@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, langid, licenses, mixing, neardup, secrets, sharding, toxicity
+from . import decontaminate, langid, licenses, mixing, neardup, ogg, resample, secrets, sharding, toxicity
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_resample_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(documents(spark, sf_dir))
 
@@ -22,6 +26,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.media_features(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -47,7 +55,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_mix_sources, op3_decontaminate, op5_toxicity, op6_license_scan, op7_language_id, op8_shard_documents, op9_near_duplicates, op10_secret_scan)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_resample_quality, op2_mix_sources, op3_decontaminate, op4_ogg_media, op5_toxicity, op6_license_scan, op7_language_id, op8_shard_documents, op9_near_duplicates, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
