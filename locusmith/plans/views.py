@@ -28,7 +28,14 @@ VIEWS: dict[str, str] = {
         (l_orderkey * 7919 + l_linenumber * 104729) % 990000 AS start,
         (l_orderkey * 7919 + l_linenumber * 104729) % 990000 + 100 + cast(l_quantity AS bigint) * 20 AS stop,
         least(cast(round(l_discount * 700) AS bigint), 60) AS mapq, l_linestatus = 'F' AS is_reverse, l_returnflag <> 'R' AS is_proper,
-        cast(l_extendedprice AS bigint) % 1000 AS tlen, l_tax > 0.06 AS is_clipped, l_quantity AS qty
+        cast(floor(l_extendedprice) AS bigint) % 1000 AS tlen, l_tax > 0.06 AS is_clipped, l_quantity AS qty
+        FROM {lineitem}""",
+    "short_reads": """SELECT concat_ws(':', cast(l_orderkey AS string), cast(l_linenumber AS string), cast(l_partkey AS string), cast(l_suppkey AS string), cast(cast(round(l_extendedprice * 100) AS bigint) AS string)) AS read_id,
+        cast(l_orderkey % 22 + 1 AS string) AS chrom, (l_orderkey * 7919 + l_linenumber * 104729) % 990000 AS start,
+        CASE WHEN l_tax > 0.06 THEN 5 ELSE 0 END AS n_clip, 20 + cast(l_quantity AS bigint) AS n_first, l_partkey % 4 AS n_insert, 15 + l_suppkey % 20 AS n_second,
+        (l_orderkey * 7919 + l_linenumber * 104729) % 990000 + 20 + cast(l_quantity AS bigint) + 15 + l_suppkey % 20 AS stop,
+        least(cast(round(l_discount * 700) AS bigint), 60) AS mapq, l_linestatus = 'F' AS is_reverse, l_returnflag <> 'R' AS is_proper,
+        cast(floor(l_extendedprice) AS bigint) % 1000 AS tlen, l_orderkey AS base_seed, l_partkey AS qual_seed
         FROM {lineitem}""",
     "contigs": "SELECT chrom, max(stop) + 1000 AS length FROM {reads} GROUP BY chrom",
     "predictions": """SELECT l_linestatus AS arm, l_suppkey % 5 AS seed, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
