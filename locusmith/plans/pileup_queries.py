@@ -144,15 +144,15 @@ def a6(spark, d):
     return round_all(pl.reference_columns(_windows(spark, d), reference), "ref_a", "ref_c", "ref_g", "ref_t", "ref_n")
 
 
-@register("a7_column_profile", sql_over("WITH " + BASED + " SELECT c.window_id, c.col, " + ", ".join(f"round(avg({n}), 7) + 0.0 AS {n}" for n in CELL) + ", round(min(depth), 7) + 0.0 AS depth FROM cells c JOIN depth d ON c.window_id = d.window_id AND c.col = d.col GROUP BY c.window_id, c.col"))
+@register("a7_column_profile", sql_over("WITH " + BASED + " SELECT c.window_id, c.col, " + ", ".join(f"round(avg({n}), 11) + 0.0 AS {n}" for n in CELL) + ", round(min(depth), 11) + 0.0 AS depth FROM cells c JOIN depth d ON c.window_id = d.window_id AND c.col = d.col GROUP BY c.window_id, c.col"))
 def a7(spark, d):
     pairs = _pairs(spark, d)
-    return round_all(pl.column_profile(pl.cells(pl.keep_rows(pairs)), pl.column_depth(pairs)), *CELL, "depth")
+    return round_all(pl.column_profile(pl.cells(pl.keep_rows(pairs)), pl.column_depth(pairs)), *CELL, "depth", digits=11)
 
 
-@register("a8_window_features", sql_over("WITH " + FEATURED + " SELECT window_id, " + rounded(*pl.FEATURES) + " FROM features"))
+@register("a8_window_features", sql_over("WITH " + FEATURED + " SELECT window_id, " + rounded(*pl.FEATURES, digits=11) + " FROM features"))
 def a8(spark, d):
-    return round_all(_features(spark, d), *pl.FEATURES)
+    return round_all(_features(spark, d), *pl.FEATURES, digits=11)
 
 
 @register("a9_feature_table", sql_over("WITH " + FEATURED + " SELECT CASE WHEN cast(chrom AS int) <= 11 THEN 'train' ELSE 'test' END AS split, count(*) AS n_windows, round(avg(depth_mean), 7) + 0.0 AS depth_mean, round(avg(clip_rate), 7) + 0.0 AS clip_rate FROM features f JOIN wins w ON f.window_id = w.window_id GROUP BY 1"))

@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import interval_queries, pileup_queries, scoring_queries  # noqa: F401
+    from . import inference_queries, interval_queries, pileup_queries, scoring_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
