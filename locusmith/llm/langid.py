@@ -78,7 +78,8 @@ def automaton(codes: list[int], n_codes: int) -> np.ndarray:
 
 class Parser:
     """Codes of characters and one table for all languages: entry [state + code] is the next state's row, or, where a
-    phrase ends, the complement of the row to which the same character leads from the root."""
+    phrase ends, the complement of the row to which the same character leads from the root. A character that the
+    root doesn't know leads to a last row, from which every character ends the phrase."""
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.languages = sorted(samples)
@@ -91,10 +92,13 @@ class Parser:
         for k in self.languages:
             own = automaton(self._codes(texts[k]).tolist(), self.n_codes)
             rows = own.astype(np.int64) * self.n_codes + offset
-            again = np.where(own[0] >= 0, rows[0], offset)
-            tables.append(np.where(own >= 0, rows, ~again[None, :]).astype(np.int32).ravel())
+            unknown = offset + own.size
+            again = np.where(own[0] >= 0, rows[0], unknown)
+            filled = np.where(own >= 0, rows, ~again[None, :])
+            filled[0] = again
+            tables.append(np.concatenate((filled, ~again[None, :])).astype(np.int32).ravel())
             self.roots.append(offset)
-            offset += own.size
+            offset = unknown + self.n_codes
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.bits = np.array([np.log2(max(len(texts[k]), 2)) for k in self.languages])
 
