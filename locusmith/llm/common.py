@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 documents, which bound the memory of Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -53,7 +53,7 @@ def bare(token: str) -> str:
 class WordMargins(dict):
     """Raw token to its word's margin; forgets all once it is full, which bounds memory and changes no result."""
 
-    def __init__(self, margins: np.ndarray, most: int = 300_000) -> None:
+    def __init__(self, margins: np.ndarray, most: int = 150_000) -> None:
         super().__init__()
         self.margins, self.most = margins.tolist(), most
 
