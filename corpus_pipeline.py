@@ -16,16 +16,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from locusmith.llm import decontaminate, mixing, neardup, sharding, toxicity
-from locusmith.llm.common import documents, table
+from locusmith.llm.common import documents, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group."""
+    small_batches(spark)
     return neardup.drop_near_duplicates(docs)
 
 
