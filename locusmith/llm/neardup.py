@@ -11,7 +11,7 @@
    the shingle, the slot and the quantised weight alone.
 3. Candidates. Documents of equal words are one text. Texts that agree in all rows of a band share a bucket. Buckets
    of up to SMALL texts give all pairs; a larger one compares all its texts with a leader. Where that leaves more
-   than one component in a large bucket, it is split by further bands (see ``_links``).
+   than one component in a large bucket, all its pairs of unlike components are compared in blocks (see ``_bridges``).
 4. Every candidate pair is verified by the weighted Jaccard similarity of the whole texts; links of at least
    ``threshold`` are joined into components. A document's class is the least id of its component.
 
@@ -43,10 +43,10 @@ SLOTS = BANDS * ROWS
 CLIP, BUCKETS = 64, 1 << 18
 #: Effective number of shingles from which a text is binned, and up to which it is sampled in full.
 BINNED_FROM, FULL_TO = 185, 250
-#: Texts of a bucket, or of a part of a larger one, up to which all pairs are compared; elements that are sampled at once.
+#: Texts of a bucket up to which all pairs are compared as rows; elements that are sampled at once.
 SMALL, AT_ONCE = 24, 4096
-#: Bands, after the one that a large bucket agrees in, by which it is split.
-SPLITS = 4
+#: Texts and bytes of a block of a larger bucket.
+BLOCK_TEXTS, BLOCK_BYTES = 256, 1 << 23
 _SEEDS = mix(np.arange(1, 2 * SLOTS + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _UNIT = 1.0 / (1 << 32)
 
@@ -181,25 +181,24 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
 
 
 def _sized(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets of ids (with components) in buckets of up to SMALL members, each set once; the members of larger ones with a leader.
+    """The sets of ids in buckets of up to SMALL members, each set once; the members of larger ones with a leader.
 
     The leader is the member whose large buckets hold the most texts: the original of many copies is like most of
     them, while two copies have each one's changes between them.
     """
     sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    small = members.join(sized.where(F.col("n") <= SMALL).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "component"))).alias("ids"))
-    large = checkpoint(members.join(sized.where(F.col("n") > SMALL), "key").select("key", "at", "id", "n"))
+    small = members.join(sized.where(F.col("n") <= SMALL).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    large = checkpoint(members.join(sized.where(F.col("n") > SMALL), "key").select("key", "id", "n"))
     known = large.groupBy("id").agg(F.sum("n").alias("known"))
     leaders = large.join(known, "id").groupBy("key").agg(F.max_by("id", F.struct("known", F.xxhash64("id"))).alias("leader"))
-    return small.select("ids").distinct(), large.select("key", "at", "id").join(leaders, "key")
+    return small.select("ids").distinct(), large.select("key", "id").join(leaders, "key")
 
 
 def _all_pairs(small: DataFrame) -> DataFrame:
-    """Pairs (u < v) of unlike components in each set."""
+    """Pairs (u < v) in each set."""
 
     def later(a, i):
-        others = F.filter(F.slice("ids", i + 2, F.size("ids")), lambda b: b["component"] != a["component"])
-        return F.transform(others, lambda b: F.struct(a["id"].alias("u"), b["id"].alias("v")))
+        return F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("u"), b.alias("v")))
 
     return small.select(F.explode(F.flatten(F.transform("ids", later))).alias("p")).select("p.*")
 
@@ -208,6 +207,19 @@ def _led(large: DataFrame) -> DataFrame:
     return large.where("id != leader").select(F.least("leader", "id").alias("u"), F.greatest("leader", "id").alias("v"))
 
 
+def _alike(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two texts with words, by their sorted shingles and the weights of these."""
+    place = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    same = b[place] == a
+    shared = np.minimum(x[same], y[place[same]]).sum()
+    return shared / (x.sum() + y.sum() - shared)
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the checkpointed ids."""
+    return join_small(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, ["id"], limit=1_000_000)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, weights, threshold: float) -> DataFrame:
     """The pairs whose whole texts are at least ``threshold`` alike by weighted Jaccard, with that similarity."""
 
@@ -223,66 +235,101 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights, threshold: float) -> D
                     found, tf, first = _shingles(raw, bounds)
                     weight = weigh.of(found, tf)
                     sets += [(found[i:j], weight[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
-                for (a, x), (b, y) in zip(sets[::2], sets[1::2], strict=True):
-                    place = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                    same = b[place] == a
-                    shared = np.minimum(x[same], y[place[same]]).sum()
-                    out.append(shared / (x.sum() + y.sum() - shared))
+                out += [_alike(*left_set, *right_set) for left_set, right_set in zip(sets[::2], sets[1::2], strict=True)]
             yield pd.Series(out, dtype="float64")
 
     ids = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    texts = join_small(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, ["id"], limit=1_000_000)
+    texts = _texts(docs, ids)
     left = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
     both = left.join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
     return both.select("u", "v", alike("a", "b").alias("similarity")).where(F.col("similarity") >= threshold).dropDuplicates(["u", "v"])
 
 
-def _links(texts: DataFrame, docs: DataFrame, weights, threshold: float) -> DataFrame:
-    """All verified links (u < v) between texts (id, bands).
+def _bridged(rows: pd.DataFrame, weigh: Weights, threshold: float) -> pd.DataFrame:
+    """Links (u < v) that join the components of a block: each text of its rest against all its members.
 
-    Texts of a large bucket that the first links don't join to its leader may still be like others of the bucket. So
-    such buckets are split by each of the next SPLITS bands, keeping the parts in which unlike components meet. Parts of up to
-    SMALL texts give all pairs of unlike components; a larger one gives pairs with a leader, and what stays out of the
-    leader's component is split again, until nothing is left. Four of the 18 bands that a pair shares always have two
-    within the next SPLITS of each other, and a pair of similarity 0.8 shares four with probability 0.97.
+    A pair is compared in the least bucket that it shares, and not once the links found here join its components.
+    """
+    texts = rows.drop_duplicates("id").reset_index(drop=True)
+    found, weight, first = [], [], [np.zeros(1, np.int64)]
+    for _, _, raw, bounds in blocks(pa.array(texts["text"], pa.large_string())):
+        own, tf, own_first = _shingles(raw, bounds)
+        found.append(own)
+        weight.append(weigh.of(own, tf))
+        first.append(own_first[1:] + first[-1][-1])
+    found, weight, first = np.concatenate(found), np.concatenate(weight), np.concatenate(first)
+    total = np.add.reduceat(weight, first[:-1])
+    key, ids = rows["key"].iat[0], texts["id"].to_numpy()
+    keys = np.full((len(texts), 2 * BANDS), key)
+    for i, own in enumerate(texts["bands"]):
+        keys[i, : len(own)] = own
+    classes, inverse = np.unique(texts["component"].to_numpy(), return_inverse=True)
+    known = pd.Index(ids)
+    members = known.get_indexer(rows.loc[~rows["query"], "id"])
+    in_rest = texts["rest"].to_numpy()
+    links = []
+    for r in known.get_indexer(rows.loc[rows["query"], "id"]):
+        near = np.minimum(total[members], total[r]) >= (threshold - 1e-9) * np.maximum(total[members], total[r])
+        others = members[near & (inverse[members] != inverse[r]) & ~(in_rest[members] & (ids[members] < ids[r]))]
+        others = others[~np.isin(keys[others], keys[r][keys[r] < key]).any(axis=1)]
+        if not len(others):
+            continue
+        at, own_first = _gather(first, others)
+        mine, my_weight = found[first[r] : first[r + 1]], weight[first[r] : first[r + 1]]
+        place = np.minimum(np.searchsorted(mine, found[at]), len(mine) - 1)
+        shared = np.where(mine[place] == found[at], np.minimum(my_weight[place], weight[at]), 0.0)
+        shared = np.add.reduceat(shared, own_first[:-1])
+        for m in others[shared >= (threshold - 1e-9) * (total[others] + total[r] - shared)]:
+            if inverse[m] == inverse[r]:
+                continue
+            u, v = (r, m) if ids[r] < ids[m] else (m, r)
+            a, b = slice(first[u], first[u + 1]), slice(first[v], first[v + 1])
+            if _alike(found[a], weight[a], found[b], weight[b]) >= threshold:
+                inverse[inverse == inverse[m]] = inverse[r]
+                links.append((ids[u], ids[v]))
+    return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+
+def _bridges(large: DataFrame, links: DataFrame, texts: DataFrame, docs: DataFrame, weights, threshold: float) -> DataFrame:
+    """Links (u < v) that join all components which verified pairs of the large buckets (key, id) connect.
+
+    The rest of a bucket is what isn't in its most frequent component. Every text of the rest is compared with every
+    member of another component, in tasks of one block of the rest and one of the members, dealt by hash. So the rows
+    grow with the product of a bucket and its rest only by the size of a block, and no pair is left out.
     """
-    small, large = _sized(texts.select(F.posexplode("bands").alias("at", "key"), "id", F.col("id").alias("component")))
+    label = components(links).select(F.col("node").alias("id"), "component")
+    named = checkpoint(large.select("key", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    counted = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "most")
+    mixed = checkpoint(named.join(most, "key").select("key", "id", "component", (F.col("component") != F.col("most")).alias("rest")))
+    if not mixed.count():
+        return links.limit(0)
+    whole = checkpoint(_texts(docs, checkpoint(mixed.select("id").distinct())).dropDuplicates(["id"]).join(texts.select("id", "bands"), "id"))
+    load = F.lit(1 / BLOCK_TEXTS) + F.col("bytes") / BLOCK_BYTES
+    loaded = mixed.join(whole.select("id", F.octet_length("text").alias("bytes")), "id")
+    blocked = loaded.groupBy("key").agg(F.ceil(F.sum(load)).cast("int").alias("n_members"), F.ceil(F.sum(F.when(F.col("rest"), load))).cast("int").alias("n_rest"))
+    placed = mixed.join(blocked, "key")
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    columns = ["key", "id", "component", "rest"]
+    members = placed.select(*columns, F.lit(False).alias("query"), F.explode(every("n_rest")).alias("a"), own(F.col("n_members")).alias("b"))
+    queries = placed.where("rest").select(*columns, F.lit(True).alias("query"), own(F.col("n_rest")).alias("a"), F.explode(every("n_members")).alias("b"))
+
+    def bridged(rows: pd.DataFrame) -> pd.DataFrame:
+        return _bridged(rows, weights.value, threshold)
+
+    return members.union(queries).join(whole, "id").groupBy("key", "a", "b").applyInPandas(bridged, "u long, v long")
+
+
+def _links(texts: DataFrame, docs: DataFrame, weights, threshold: float) -> DataFrame:
+    """Verified links (u < v) between texts (id, bands), which connect all that verified pairs of a common bucket do."""
+    small, large = _sized(texts.select(F.explode("bands").alias("key"), "id"))
     large = checkpoint(large)
     pairs = checkpoint(_all_pairs(small).union(_led(large)).distinct())
-    links = checkpoint(_verified(pairs, docs, weights, threshold))
+    links = checkpoint(_verified(pairs, docs, weights, threshold).select("u", "v"))
     if not large.count():
         return links
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Rows (with components) of the buckets in which more than one component is left."""
-        more = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
-        return rows.join(more, "key")
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        label = components(links).select(F.col("node").alias("id"), "component")
-        return rows.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    def parts(rows: DataFrame) -> DataFrame:
-        """Members of the parts into which buckets (key, at, id, component) fall by each of the next SPLITS bands."""
-        nexts = F.transform(F.sequence(F.lit(1), F.lit(SPLITS)), lambda d: (F.floor(F.col("at") / BANDS) * BANDS + (F.col("at") + d) % BANDS).cast("int"))
-        more = rows.join(texts, "id").select("id", "component", "key", "bands", F.explode(nexts).alias("at"))
-        return mixed(more.select(F.xxhash64("key", "at", F.element_at("bands", F.col("at") + 1)).alias("key"), "at", "id", "component"))
-
-    left = checkpoint(mixed(labelled(large.select("key", "at", "id"))))
-    if not left.count():
-        return links
-    members = checkpoint(parts(left))
-    while True:
-        small, large = _sized(members)
-        large = checkpoint(large)
-        more = checkpoint(_all_pairs(small).union(_led(large)).distinct().join(pairs, ["u", "v"], "left_anti"))
-        if more.count():
-            links = checkpoint(links.union(_verified(more, docs, weights, threshold)).dropDuplicates(["u", "v"]))
-        if not large.count():
-            return links
-        named = labelled(large)
-        lead = named.where("id = leader").select("key", F.col("component").alias("led"))
-        members = checkpoint(parts(named.join(lead, "key").where("component != led").select("key", "at", "id", "component")))
+    return checkpoint(links.union(_bridges(large, links, texts, docs, weights, threshold)).distinct())
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

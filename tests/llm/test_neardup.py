@@ -83,6 +83,29 @@ def test_large_group_of_near_copies(spark):
     assert run(spark, rows) == brute_classes(rows)
 
 
+def test_bridges_of_a_large_group(spark):
+    """Each of 15 texts is like one near copy of the base alone; nearly all bands that it shares with that are the base's."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(1200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 41):
+        own = list(base)
+        own[i * 25] = f"x{i}"
+        rows.append((i, " ".join(own)))
+        if i <= 15:
+            for k in rng.sample([k for k in range(0, 1200, 10) if k != i * 25], 9):
+                own[k] = f"y{i}z{k}"
+            rows.append((100 + i, " ".join(own)))
+    expected = brute_classes(rows)
+    assert set(expected.values()) == {0}
+    assert run(spark, rows) == expected
+
+
+def test_blocks_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 7)
+    test_bridges_of_a_large_group(spark)
+
+
 def test_edge_cases(spark):
     long = " ".join(f"t{i}" for i in range(30_000))
     rows = [(1, None), (2, None), (3, ""), (4, "..."), (5, "one two"), (6, "One, two!"), (7, long), (8, long + " end"), (9, "a a a a a a"), (9, "a a a a a a")]
