@@ -333,9 +333,10 @@ def _links(texts: DataFrame, docs: DataFrame, weights, threshold: float) -> Data
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per distinct doc_id: doc_id, text_id (least id with the same words), class_id and links (of its text).
+    """One row per distinct doc_id: doc_id, text_id (least id with the same words) and class_id.
 
-    A class_id is the least id of all documents that similar or equal texts connect.
+    A class_id is the least id of all documents that similar or equal texts connect. Links aren't counted: in large
+    buckets only those are sought that join components, so their number would follow from the size of the bucket.
     """
     spark = docs.sparkSession
     n_docs = docs.count()
@@ -348,9 +349,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = _links(texts, docs, weights, threshold)
     named = texts.select("words", F.col("id").alias("text_id"))
     label = components(links).select(F.col("node").alias("text_id"), "component")
-    degree = links.select(F.explode(F.array("u", "v")).alias("text_id")).groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
-    named = named.join(label, "text_id", "left").join(degree, "text_id", "left")
-    return signed.select("doc_id", "words").join(named, "words", "left").select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("component", "text_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("links"))
+    named = named.join(label, "text_id", "left")
+    return signed.select("doc_id", "words").join(named, "words", "left").select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("component", "text_id", "doc_id").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -106,6 +106,13 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     test_bridges_of_a_large_group(spark)
 
 
+def test_rows_do_not_follow_from_the_size_of_buckets(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in corpus(8, seed=9, copies=8)], SCHEMA)
+    rows = {tuple(r) for r in neardup.near_duplicates(df).collect()}
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    assert {tuple(r) for r in neardup.near_duplicates(df).collect()} == rows
+
+
 def test_edge_cases(spark):
     long = " ".join(f"t{i}" for i in range(30_000))
     rows = [(1, None), (2, None), (3, ""), (4, "..."), (5, "one two"), (6, "One, two!"), (7, long), (8, long + " end"), (9, "a a a a a a"), (9, "a a a a a a")]
