@@ -127,14 +127,14 @@ def s10(spark, d):
 
 
 def _documents(spark, d):
-    """Result documents as JSON text, a row for each seed."""
-    r = view(spark, d, "runs").where("benchmark = 'O'").withColumn("frac", F.col("frac").cast("double"))
-    return r.withColumnRenamed("n", "runs_n").withColumn("n", (F.col("frac") * 1000).cast("long")).select("seed", "frac", "n", "arm", "metric", "value")
+    """Runs of all benchmarks with the columns of result documents."""
+    r = view(spark, d, "runs").withColumn("frac", F.col("frac").cast("double"))
+    return r.withColumnRenamed("n", "runs_n").withColumn("n", (F.col("frac") * 1000).cast("long")).select("benchmark", "seed", "frac", "n", "arm", "metric", "value")
 
 
 @register("s11_results_scan", sql_over("SELECT seed, cast(frac AS DOUBLE) AS frac, concat('arm_', arm) AS arm, metric, value FROM {runs} WHERE benchmark = 'O'"))
 def s11(spark, d):
-    r = _documents(spark, d)
+    r = _documents(spark, d).where("benchmark = 'O'")
     metrics = F.struct(*[F.max(F.when((F.col("metric") == m), F.col("value"))).alias(m) for m in ("auprc", "f1_at_tau")])
     arms = r.groupBy("seed", "frac", "n", "arm").agg(metrics.alias("m")).groupBy("seed", "frac", "n")
     nested = arms.agg(*[F.max(F.when(F.col("arm") == a, F.col("m"))).alias(f"arm_{a}") for a in ("A", "N", "R")])

@@ -59,10 +59,10 @@ def long_runs(df: DataFrame, not_arms: tuple[str, ...] = ("frac", "n", "n_train"
 
 
 def documents_of(runs: DataFrame) -> DataFrame:
-    """One document a seed: an array of budgets with a map of arms to maps of metrics."""
-    metrics = runs.groupBy("seed", "frac", "n", "arm").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
-    arms = metrics.groupBy("seed", "frac", "n").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("arm", F.to_json("metrics").alias("m"))))).alias("arms"))
-    return arms.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("frac", "n", F.to_json("arms").alias("arms")))).alias("label_efficiency"))
+    """One document a benchmark and seed: an array of budgets with a map of arms to maps of metrics."""
+    metrics = runs.groupBy("benchmark", "seed", "frac", "n", "arm").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+    arms = metrics.groupBy("benchmark", "seed", "frac", "n").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("arm", F.to_json("metrics").alias("m"))))).alias("arms"))
+    return arms.groupBy("benchmark", "seed").agg(F.array_sort(F.collect_list(F.struct("frac", "n", F.to_json("arms").alias("arms")))).alias("label_efficiency"))
 
 
 def chunk_check(chunks: DataFrame, totals: DataFrame) -> DataFrame:

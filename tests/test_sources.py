@@ -1,3 +1,4 @@
+import json
 from pyspark.sql import functions as F
 
 from locusmith.sources import tables, text
@@ -64,3 +65,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {r["key"]: (r["mean"], r["var"]) for r in spark.sql("SELECT key, max_by(mean, batch) AS mean, max_by(var, batch) AS var FROM normaliser_out GROUP BY key").collect()}
     assert got == {r["key"]: (r["mean"], r["var"]) for r in batch(df, "key", "batch").collect()}
+
+
+def test_evaluation_documents_hold_every_run(spark):
+    from locusmith.plans import registry
+    from locusmith.plans.views import view
+
+    d = "/root/testdata/sf0.001"
+    runs = {(r["benchmark"], r["seed"], float(r["frac"]), r["arm"], r["metric"]) for r in view(spark, d, "runs").collect()}
+    documents = registry.queries()["s13_evaluation_documents"](spark, d).collect()
+    assert len(documents) == len({r[:2] for r in runs}) and len({r[0] for r in runs}) == 2
+    held = [(x["benchmark"], x["seed"], b["frac"], arm, metric) for x in documents for b in x["label_efficiency"] for arm, m in json.loads(b["arms"]).items() for metric in json.loads(m)]
+    assert len(held) == len(set(held)) and set(held) == runs
