@@ -205,6 +205,27 @@ def normal_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"-\s*\n\s*", ""), r"\s+", " "))
 
 
+def literal_spans(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """For each quote (quote_id, text): the number of sources (doc_id, text) that it is a literal span of, after normalisation.
+
+    The words between a quote's first and last are whole words of any text that holds it. So candidates meet by four
+    of them in a row (a single one in quotes of under six words) and are verified on the whole texts. Quotes of under
+    three words are compared with every source. A quote without characters, or null, is a span of none.
+    """
+    q = quotes.select("quote_id", normal_text(F.col("text")).alias("quote")).where("quote_id IS NOT NULL").distinct()
+    d = sources.select("doc_id", normal_text(F.col("text")).alias("source"))
+    inner = q.where("quote != ''").withColumn("w", F.split("quote", " ")).withColumn("n", F.size("w"))
+    anchor = F.when(F.col("n") >= 6, F.array_join(F.slice("w", 2, 4), " ")).otherwise(F.element_at("w", 2))
+    anchored = inner.where("n >= 3").select("quote_id", "quote", anchor.alias("gram"))
+    places = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " "))
+    grams = F.array_union("w", F.when(F.size("w") >= 4, places).otherwise(F.array().cast("array<string>")))
+    parts = d.withColumn("w", F.split("source", " ")).select("doc_id", "source", F.explode(F.array_distinct(grams)).alias("gram"))
+    met = parts.join(anchored, "gram").select("quote_id", "quote", "doc_id", "source")
+    short = d.join(F.broadcast(inner.where("n < 3").select("quote_id", "quote")), F.col("source").contains(F.col("quote"))).select("quote_id", "quote", "doc_id", "source")
+    found = met.unionByName(short).where(F.col("source").contains(F.col("quote"))).groupBy("quote_id").agg(F.countDistinct("doc_id").alias("n_sources"))
+    return q.select("quote_id").distinct().join(found, "quote_id", "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)).cast("long")).withColumn("verified", F.col("n_sources") > 0)
+
+
 def strict_flags(codes: DataFrame) -> DataFrame:
     """Defect flags of coded axes a to d and their number; unclear is never a defect on a and b."""
     flags = {

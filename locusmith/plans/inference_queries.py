@@ -181,6 +181,15 @@ def j15(spark, d):
     return view(spark, d, "documents").select("doc_id", text.contains(first).alias("verified"), F.length(text).cast("long").alias("n_chars"))
 
 
+NORMAL = """trim(regexp_replace(regexp_replace(translate(text, '“”‘’–—' || chr(160), '""''''-- '), '-\\s*\\n\\s*', '', 'g'), '\\s+', ' ', 'g'))"""
+
+
+@register("j15_benchmark_spans", sql_over("WITH q AS (SELECT item_id, " + NORMAL + " AS quote FROM {benchmark}), s AS (SELECT doc_id, " + NORMAL + " AS source FROM {documents}) SELECT item_id, count(DISTINCT doc_id) AS n_sources, count(DISTINCT doc_id) > 0 AS verified FROM q LEFT JOIN s ON quote <> '' AND contains(source, quote) WHERE item_id IS NOT NULL GROUP BY item_id"))
+def j15_benchmark(spark, d):
+    found = inf.literal_spans(view(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text"), view(spark, d, "documents"))
+    return found.select(F.col("quote_id").alias("item_id"), "n_sources", "verified")
+
+
 @register("j16_arm_ranks", sql_over("WITH " + SUMMED + ", k AS (SELECT arm, frac, metric FROM summed GROUP BY arm, frac, metric HAVING count(DISTINCT benchmark) > 1), r AS (SELECT s.*, row_number() OVER (PARTITION BY s.benchmark, s.frac, s.metric ORDER BY mean DESC, s.arm) AS rank FROM summed s JOIN k ON s.arm = k.arm AND s.frac = k.frac AND s.metric = k.metric) SELECT arm, frac, metric, cast(arg_min(rank, benchmark) AS int) AS rank_first, cast(arg_max(rank, benchmark) AS int) AS rank_second, cast(arg_min(rank, benchmark) - arg_max(rank, benchmark) AS int) AS rank_change FROM r GROUP BY arm, frac, metric"))
 def j16(spark, d):
     return inf.arm_ranks(summed(spark, d))

@@ -77,3 +77,12 @@ def test_evaluation_documents_hold_every_run(spark):
     assert len(documents) == len({r[:2] for r in runs}) and len({r[0] for r in runs}) == 2
     held = [(x["benchmark"], x["seed"], b["frac"], arm, metric) for x in documents for b in x["label_efficiency"] for arm, m in json.loads(b["arms"]).items() for metric in json.loads(m)]
     assert len(held) == len(set(held)) and set(held) == runs
+
+
+def test_quotes_are_sought_in_other_texts(spark):
+    from locusmith.operators import inference as inf
+
+    sources = [(1, "The cat sat on the mat and then it slept"), (2, "a multi-\n line  “word” here and there again"), (3, "nothing"), (4, None)]
+    quotes = [(1, "at sat on the mat an"), (2, 'multiline "word"  here and'), (3, "cat sat on a mat and then"), (4, "sat on th"), (5, "on the"), (6, ""), (7, None), (8, "dog sat on the mat and")]
+    got = inf.literal_spans(spark.createDataFrame(quotes, "quote_id long, text string"), spark.createDataFrame(sources, "doc_id long, text string"))
+    assert {r["quote_id"]: (r["n_sources"], r["verified"]) for r in got.collect()} == {i: (int(i in (1, 2, 4, 5)), i in (1, 2, 4, 5)) for i in range(1, 9)}
