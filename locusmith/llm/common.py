@@ -12,8 +12,20 @@ BROADCAST_ROWS = 200_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1,000 documents, which bound the memory of Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Arrow batches of 1,000 documents, which bound the memory of Python workers, unless the session asks for another size."""
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, "1000")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, one of this machine, on a local master only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return folder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,14 +38,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder of spark.checkpoint.dir (a local one only where it is unset)."""
+    """Cuts the lineage through the shared folder of spark.checkpoint.dir (see ``shared_folder``)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark writes to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a checkpointed table that is usually small: broadcast once its counted rows are at most ``limit``, else by shuffle."""
     return df.join(F.broadcast(small) if small.count() <= limit else small, on, how)

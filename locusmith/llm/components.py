@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, join_small
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         ends = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = checkpoint(ends.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")))
         levels.append(least)
-        moved = edges.join(least.select("u", F.col("m").alias("a")), "u").join(least.select(F.col("u").alias("v"), F.col("m").alias("b")), "v")
+        moved = join_small(edges, least.select("u", F.col("m").alias("a")), ["u"])
+        moved = join_small(moved, least.select(F.col("u").alias("v"), F.col("m").alias("b")), ["v"])
         edges = checkpoint(moved.where("a != b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
         if not edges.count():
             break

@@ -1,11 +1,10 @@
 """Near-duplicates by improved consistent weighted sampling (ICWS) over TF-IDF word shingles.
 
-1. Document frequencies. Each task counts the shingles of its documents into a fixed array of buckets; the arrays are
-   added up; shingles in buckets that reach ``N / CLIP`` documents are then counted one by one. Shingles below that
-   frequency share the greatest weight, so the table of the others is bounded: at most CLIP times the mean number of
-   shingles of a document, whatever the size of the corpus.
-2. Signatures. A document's shingle weighs tf * (1 + ln(N / max(df, N / CLIP))). Texts of small total weight get
-   BANDS * ROWS consistent weighted samples over all their shingles. For larger texts the shingles are dealt to
+1. Document frequencies of words. Each task counts the documents that have a word into an array of 2 ** WORD_BITS hashed
+   buckets, and the arrays are added up: every word of every document counts, and the table has the same size for any
+   corpus. A word's idf is 1 - ln(max(share of the documents that have it, ``rarest``)), so it follows from shares and
+   stays the same as a corpus grows. A shingle weighs its count times the mean idf of its words, in LEVELS steps.
+2. Signatures. Texts of small total weight get BANDS * ROWS consistent weighted samples over all their shingles. For larger texts the shingles are dealt to
    as many bins by hash, and each bin gives one sample, so that every shingle is evaluated about once (an empty bin
    takes a sample over all shingles). Weights at which either form could meet a similar partner get both. The least value of a sample is its identity: it follows from
    the shingle, the slot and the quantised weight alone.
@@ -16,7 +15,7 @@
    ``threshold`` are joined into components. A document's class is the least id of its component.
 
 Defined results: null and wordless texts are classes of their own by id; texts of under five words are one shingle;
-equal words make equal classes; rows of equal id are one document, which is a class of its own, never dropped, if
+equal words make equal classes; ids are integers (others raise TypeError); rows of equal id are one document, which is a class of its own, never dropped, if
 their words differ; ties don't arise, as ids order everything; a null id is left out; an empty table gives an empty result.
 """
 
@@ -30,17 +29,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import checkpoint, fresh, join_small
 from .components import components
 from .dense import summed
-from .words import blocks, distinct, hash_ngrams, hash_words, mix
+from .words import blocks, distinct, hash_ngrams, hash_words, mix, ngram_means
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 18, 4
 SLOTS = BANDS * ROWS
-#: Frequencies below 1/CLIP of all documents weigh the same; buckets of the count array (a power of two).
-CLIP, BUCKETS = 64, 1 << 18
+#: Bits of a word's bucket; steps of a shingle's weight; share of all documents below which rarer words weigh no more.
+WORD_BITS, LEVELS, RAREST = 20, 255, 1 / 1024
 #: Effective number of shingles from which a text is binned, and up to which it is sampled in full.
 BINNED_FROM, FULL_TO = 185, 250
 #: Texts of a bucket up to which all pairs are compared as rows; elements that are sampled at once.
@@ -51,48 +51,38 @@ _SEEDS = mix(np.arange(1, 2 * SLOTS + 2, dtype=np.uint64) * np.uint64(0x9E3779B9
 _UNIT = 1.0 / (1 << 32)
 
 
-def _shingles(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each whole text, their counts, and the index of each text's first."""
-    return distinct(*hash_ngrams(*hash_words(raw, bounds), SHINGLE))
-
-
-def frequencies(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that more than n_docs / CLIP documents have, and their exact document frequencies."""
-    texts = docs.select("text")
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """The number of documents that have a word of each bucket; all words of all documents count."""
 
     def add(counts: np.ndarray, batch: pa.RecordBatch) -> None:
         for _, _, raw, bounds in blocks(batch.column(0)):
-            counts += np.bincount((_shingles(raw, bounds)[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            found = distinct(*hash_words(raw, bounds))[0]
+            counts += np.bincount((found >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=len(counts))
 
-    often = docs.sparkSession.sparkContext.broadcast(np.packbits(summed(texts, add, BUCKETS) > n_docs / CLIP))
+    return summed(docs.select("text"), add, 1 << WORD_BITS)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_often = np.unpackbits(often.value).astype(bool)
-        for batch in batches:
-            for _, _, raw, bounds in blocks(batch.column(0)):
-                found = _shingles(raw, bounds)[0]
-                kept, n = np.unique(found[is_often[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"shingle": pa.array(kept.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    counted = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df")).where(F.col("df") > n_docs / CLIP)
-    rows = counted.collect()
-    known = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(known)
-    return known[order], np.array([r["df"] for r in rows], np.int64)[order]
+class Weights:
+    """Shingles and their weights: tf times the mean idf of a shingle's words, in LEVELS steps of the greatest idf.
 
+    The step stands in the lowest bits of the shingle's hash, so equal shingles weigh the same wherever they are met.
+    """
 
-class Weights:
-    """tf * idf of shingles, in units of the greatest idf."""
+    def __init__(self, df: np.ndarray, n_docs: int, rarest: float = RAREST) -> None:
+        share = np.maximum(df, 1) / max(n_docs, 1)
+        idf = 1 - np.log(np.clip(share, rarest, 1.0))
+        self.idf = (idf / (1 - np.log(rarest))).astype(np.float32)
 
-    def __init__(self, known: np.ndarray, df: np.ndarray, n_docs: int) -> None:
-        self.known, self.idf = known, (1 + np.log(n_docs / df)) / (1 + np.log(CLIP))
+    def shingles(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct shingles of each whole text, their weights, and the index of each text's first."""
+        return self.of_words(*hash_words(raw, bounds))
 
-    def of(self, found: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        out = tf.astype(np.float64)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
-            out *= np.where(self.known[at] == found, self.idf[at], 1.0)
-        return out
+    def of_words(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        grams, gram_first = hash_ngrams(hashes, first, SHINGLE)
+        idf = self.idf[(hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)].astype(np.float64)
+        step = np.maximum(np.rint(ngram_means(idf, first, SHINGLE) * LEVELS), 1).astype(np.uint64)
+        found, tf, own_first = distinct(grams & ~np.uint64(LEVELS) | step, gram_first)
+        return found, tf * ((found & np.uint64(LEVELS)).astype(np.float64) / LEVELS), own_first
 
 
 def _sample(found: np.ndarray, log_weight: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -171,10 +161,10 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
         for batch in batches:
             for a, b, raw, bounds in blocks(batch.column(1)):
                 hashes, first = hash_words(raw, bounds)
-                found, tf, own_first = distinct(*hash_ngrams(hashes, first, SHINGLE))
+                found, weight, own_first = weigh.of_words(hashes, first)
                 words = [xxhash.xxh3_128_digest(hashes[i:j]) if j > i else None for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": batch.column(0).slice(a, b - a), "words": pa.array(words, pa.binary()), "bands": pa.array(bands(found, weigh.of(found, tf), own_first), pa.list_(pa.int64()))}
+                    {"doc_id": batch.column(0).slice(a, b - a), "words": pa.array(words, pa.binary()), "bands": pa.array(bands(found, weight, own_first), pa.list_(pa.int64()))}
                 )
 
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, words binary, bands array<long>")
@@ -190,8 +180,8 @@ def _sized(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = members.join(sized.where(F.col("n") <= SMALL).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     large = checkpoint(members.join(sized.where(F.col("n") > SMALL), "key").select("key", "id", "n"))
     known = large.groupBy("id").agg(F.sum("n").alias("known"))
-    leaders = large.join(known, "id").groupBy("key").agg(F.max_by("id", F.struct("known", F.xxhash64("id"))).alias("leader"))
-    return small.select("ids").distinct(), large.select("key", "id").join(leaders, "key")
+    leaders = checkpoint(large.join(known, "id").groupBy("key").agg(F.max_by("id", F.struct("known", F.xxhash64("id"))).alias("leader")))
+    return small.select("ids").distinct(), join_small(large.select("key", "id"), leaders, ["key"])
 
 
 def _all_pairs(small: DataFrame) -> DataFrame:
@@ -232,8 +222,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights, threshold: float) -> D
                 both = pa.array([x for pair in zip(left[at : at + 200], right[at : at + 200], strict=True) for x in pair])
                 sets = []
                 for _, _, raw, bounds in blocks(both):
-                    found, tf, first = _shingles(raw, bounds)
-                    weight = weigh.of(found, tf)
+                    found, weight, first = weigh.shingles(raw, bounds)
                     sets += [(found[i:j], weight[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
                 out += [_alike(*left_set, *right_set) for left_set, right_set in zip(sets[::2], sets[1::2], strict=True)]
             yield pd.Series(out, dtype="float64")
@@ -253,9 +242,9 @@ def _bridged(rows: pd.DataFrame, weigh: Weights, threshold: float) -> pd.DataFra
     texts = rows.drop_duplicates("id").reset_index(drop=True)
     found, weight, first = [], [], [np.zeros(1, np.int64)]
     for _, _, raw, bounds in blocks(pa.array(texts["text"], pa.large_string())):
-        own, tf, own_first = _shingles(raw, bounds)
+        own, own_weight, own_first = weigh.shingles(raw, bounds)
         found.append(own)
-        weight.append(weigh.of(own, tf))
+        weight.append(own_weight)
         first.append(own_first[1:] + first[-1][-1])
     found, weight, first = np.concatenate(found), np.concatenate(weight), np.concatenate(first)
     total = np.add.reduceat(weight, first[:-1])
@@ -300,15 +289,15 @@ def _bridges(large: DataFrame, links: DataFrame, texts: DataFrame, docs: DataFra
     label = components(links).select(F.col("node").alias("id"), "component")
     named = checkpoint(large.select("key", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")))
     counted = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    most = counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "most")
-    mixed = checkpoint(named.join(most, "key").select("key", "id", "component", (F.col("component") != F.col("most")).alias("rest")))
+    most = checkpoint(counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "most"))
+    mixed = checkpoint(join_small(named, most, ["key"]).select("key", "id", "component", (F.col("component") != F.col("most")).alias("rest")))
     if not mixed.count():
         return links.limit(0)
     whole = checkpoint(_texts(docs, checkpoint(mixed.select("id").distinct())).dropDuplicates(["id"]).join(texts.select("id", "bands"), "id"))
     load = F.lit(1 / BLOCK_TEXTS) + F.col("bytes") / BLOCK_BYTES
     loaded = mixed.join(whole.select("id", F.octet_length("text").alias("bytes")), "id")
-    blocked = loaded.groupBy("key").agg(F.ceil(F.sum(load)).cast("int").alias("n_members"), F.ceil(F.sum(F.when(F.col("rest"), load))).cast("int").alias("n_rest"))
-    placed = mixed.join(blocked, "key")
+    blocked = checkpoint(loaded.groupBy("key").agg(F.ceil(F.sum(load)).cast("int").alias("n_members"), F.ceil(F.sum(F.when(F.col("rest"), load))).cast("int").alias("n_rest")))
+    placed = join_small(mixed, blocked, ["key"])
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     columns = ["key", "id", "component", "rest"]
@@ -332,16 +321,17 @@ def _links(texts: DataFrame, docs: DataFrame, weights, threshold: float) -> Data
     return checkpoint(links.union(_bridges(large, links, texts, docs, weights, threshold)).distinct())
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rarest: float = RAREST) -> DataFrame:
     """One row per distinct doc_id: doc_id, text_id (least id with the same words) and class_id.
 
     A class_id is the least id of all documents that similar or equal texts connect. Links aren't counted: in large
     buckets only those are sought that join components, so their number would follow from the size of the bucket.
     """
-    spark = docs.sparkSession
-    n_docs = docs.count()
-    known, df = frequencies(docs, n_docs)
-    weights = spark.sparkContext.broadcast(Weights(known, df, n_docs))
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id has to be an integer column, not {kind.simpleString()}")
+    spark, n_docs = docs.sparkSession, docs.count()
+    weights = spark.sparkContext.broadcast(Weights(frequencies(docs), n_docs, rarest))
     signed = signatures(docs, weights).groupBy("doc_id").agg(F.min("words").alias("words"), F.max("words").alias("other"), F.count("words").alias("n_with"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     alone = F.col("words").isNull() | (F.col("words") != F.col("other")) | (F.col("n_with") != F.col("n"))
     signed = checkpoint(signed.select("doc_id", F.when(~alone, F.col("words")).alias("words"), "bands"))

@@ -89,18 +89,24 @@ def _inverse(odd: int) -> np.uint64:
 _INVERSE = _inverse(int(_BYTE))
 
 
-def hash_ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n consecutive words of each text, and the index of each text's first; fewer words are one n-gram."""
+def ngram_places(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and first word of every run of n consecutive words, and the index of each text's first run; fewer words are one run."""
     counts = np.diff(first)
     kept = np.where(counts == 0, 0, np.maximum(counts - n + 1, 1))
     out_first = np.concatenate((np.zeros(1, np.int64), np.cumsum(kept)))
+    owner = np.repeat(np.arange(len(counts)), kept)
+    return owner, first[:-1][owner] + np.arange(len(owner)) - out_first[:-1][owner], out_first
+
+
+def hash_ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n consecutive words of each text, and the index of each text's first; fewer words are one n-gram."""
+    counts = np.diff(first)
+    owner, place, out_first = ngram_places(first, n)
     with np.errstate(over="ignore"):
         factors = np.cumprod(np.full(n, _ODD, np.uint64)) | np.uint64(1)
         sums = np.zeros(max(len(hashes) - n + 1, 0), np.uint64)
         for k in range(n):
             sums += hashes[k : k + len(sums)] * factors[k]
-        owner = np.repeat(np.arange(len(counts)), kept)
-        place = first[:-1][owner] + np.arange(len(owner)) - out_first[:-1][owner]
         out = np.zeros(len(owner), np.uint64)
         whole = counts[owner] >= n
         out[whole] = mix(sums[place[whole]] + np.uint64(n))
@@ -110,6 +116,21 @@ def hash_ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarr
     return out, out_first
 
 
+def ngram_means(values: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """The mean of the values of each n-gram's words, added in the order of the words, so that equal n-grams have equal means."""
+    counts = np.diff(first)
+    owner, place, out_first = ngram_places(first, n)
+    sums = np.zeros(max(len(values) - n + 1, 0))
+    for k in range(n):
+        sums += values[k : k + len(sums)]
+    out = np.zeros(len(owner))
+    whole = counts[owner] >= n
+    out[whole] = sums[place[whole]] / n
+    for i in np.flatnonzero((counts > 0) & (counts < n)):
+        out[out_first[i]] = values[first[i] : first[i + 1]].mean()
+    return out
+
+
 def distinct(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's distinct n-grams in order, their counts, and the index of each text's first."""
     grams = grams.copy()

@@ -3,26 +3,26 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
 from locusmith.llm import neardup
 from locusmith.llm.words import tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def brute_classes(rows, threshold=0.8):
-    """Classes by all pairs of whole texts, in plain Python."""
-    grams = {}
-    for i, text in rows:
-        own = tokens(text)
+def brute_classes(rows, threshold=0.8, rarest=neardup.RAREST):
+    """Classes by all pairs of whole texts under TF-IDF with exact document frequencies of words, in plain Python."""
+    grams, words = {}, {i: tokens(text) for i, text in rows}
+    for i, own in words.items():
         n = min(5, len(own))
         if own:
             grams[i] = Counter(tuple(own[k : k + n]) for k in range(len(own) - n + 1))
-    n_docs = len(rows)
-    df = Counter(g for c in grams.values() for g in c)
-    top = 1 + math.log(neardup.CLIP)
+    df = Counter(w for own in words.values() for w in set(own))
+    idf = {w: 1 - math.log(max(n / len(rows), rarest)) for w, n in df.items()}
 
     def weight(g, tf):
-        return tf * ((1 + math.log(n_docs / df[g])) / top if df[g] > n_docs / neardup.CLIP else 1.0)
+        return tf * sum(idf[w] for w in g) / len(g)
 
     weighted = {i: {g: weight(g, tf) for g, tf in c.items()} for i, c in grams.items()}
     total = {i: sum(w.values()) for i, w in weighted.items()}
@@ -132,3 +132,26 @@ def test_rows_of_one_id_with_unlike_texts_stay(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert neardup.drop_near_duplicates(empty).count() == 0
+
+
+def test_text_ids(spark):
+    with pytest.raises(TypeError):
+        neardup.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_large_group_around_the_threshold(spark):
+    """350 copies of one text, each with up to twice as many changes as the threshold lets pass; all that brute force joins is joined."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 350):
+        own = list(base)
+        for k in rng.sample(range(2, 198, 5), rng.randrange(1, 9)):
+            own[k] = f"x{i}k{k}"
+        rows.append((i, " ".join(own)))
+    expected = brute_classes(rows)
+    got = run(spark, rows)
+    joined = [i for i, c in expected.items() if c == 0 and i]
+    assert 100 < len(joined) < len(rows) - 1
+    assert sum(got[i] == 0 for i in joined) >= 0.98 * len(joined)
+    assert all(expected[i] == 0 for i, c in got.items() if c == 0)
