@@ -6,12 +6,16 @@ ends there, and the parse starts again at the root. Fewer phrases mean that the
 of the language's text; phrases * log2(length of the text) / length of the document estimates the cross entropy, and
 the language of the least estimate wins (the first in order if equal).
 
-The automata of all languages are one table, and all segments of a batch of documents take their steps together, so
+Texts are sequences of the UTF-8 bytes of their lower-cased letters, with a space for each run of other characters, so
+an automaton has at most 256 symbols, those of its language's own sample, whatever the number of letters. The
+automata of all languages are one table, and all segments of a batch of documents take their steps together, so
 a step is a few numpy operations over all segments and languages. Segments are cut from whole texts at fixed lengths,
 which costs each language at most one phrase a segment.
 
 The automata are built from a bounded sample: ``per_language`` documents by hash of the id, ``chars`` characters of
-each language, at most a twentieth of them from one document.
+each language, at most a twentieth of them from one document, from a place that the hash of its id gives. With so many
+languages that their tables would exceed ``most_bytes``, every language gets fewer characters; the bound is proven
+before anything is broadcast.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; equal texts get equal results; a
 table without learnable rows makes every text ``und``; other columns don't matter.
@@ -27,9 +31,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_bits
+from .common import BROADCAST_ROWS, checkpoint, hash_bits
 
-CHARS, PER_LANGUAGE, LETTERS, SEGMENT, BATCH_CHARS = 16_000, 150, 62, 512, 3_000_000
+CHARS, PER_LANGUAGE, SEGMENT, BATCH_CHARS, MOST_BYTES = 16_000, 150, 512, 3_000_000, 1 << 28
 
 
 @lru_cache(1)
@@ -76,52 +80,54 @@ def automaton(codes: list[int], n_codes: int) -> np.ndarray:
     return table
 
 
+def plain(text: str) -> bytes:
+    """UTF-8 of the lower-cased letters, with a space for each run of other characters."""
+    chars = points(text.lower())
+    out = np.where(letters()[np.minimum(chars, 0x10FFFF)], chars, np.uint32(32))
+    space = out == 32
+    return out[~(space & np.concatenate(([False], space[:-1])))].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+
+
 class Parser:
-    """Codes of characters and one table for all languages: entry [state + code] is the next state's row, or, where a
-    phrase ends, the complement of the row to which the same character leads from the root. A character that the
-    root doesn't know leads to a last row, from which every character ends the phrase."""
+    """Codes of bytes and one table for all languages: entry [state + code] is the next state's row, or, where a
+    phrase ends, the complement of the row to which the same byte leads from the root. A byte that the
+    root doesn't know leads to a last row, from which every byte ends the phrase. Each language has codes for the bytes
+    of its own sample and one for all others."""
 
-    def __init__(self, samples: dict[str, str]) -> None:
+    def __init__(self, samples: dict[str, str], most_bytes: int = MOST_BYTES) -> None:
         self.languages = sorted(samples)
-        texts = {k: self._plain(points(samples[k].lower())) for k in self.languages}
-        everything = np.concatenate(list(texts.values())) if texts else np.zeros(0, np.uint32)
-        values, counts = np.unique(everything[everything != 32], return_counts=True)
-        self.alphabet = np.sort(values[np.argsort(-counts, kind="stable")[:LETTERS]])
-        self.n_codes = len(self.alphabet) + 2
+        own = {k: plain(samples[k]) for k in self.languages}
+        # Twice as many states as bytes and two more rows, of four bytes for each code.
+        room = most_bytes // (4 * max(1, len(self.languages)))
+        own = {k: t[: max(1, room // (2 * (len(set(t)) + 2)) - 2)] for k, t in own.items()}
+        self.codes = np.zeros((max(1, len(self.languages)), 256), np.int32)
         tables, self.roots, offset = [], [], 0
-        for k in self.languages:
-            own = automaton(self._codes(texts[k]).tolist(), self.n_codes)
-            rows = own.astype(np.int64) * self.n_codes + offset
-            unknown = offset + own.size
-            again = np.where(own[0] >= 0, rows[0], unknown)
-            filled = np.where(own >= 0, rows, ~again[None, :])
+        for row, k in enumerate(self.languages):
+            known = sorted(set(own[k]))
+            n_codes = len(known) + 1
+            self.codes[row] = len(known)
+            self.codes[row, known] = np.arange(len(known))
+            built = automaton(self.codes[row][np.frombuffer(own[k], np.uint8)].tolist(), n_codes)
+            rows = built.astype(np.int64) * n_codes + offset
+            unknown = offset + built.size
+            again = np.where(built[0] >= 0, rows[0], unknown)
+            filled = np.where(built >= 0, rows, ~again[None, :])
             filled[0] = again
             tables.append(np.concatenate((filled, ~again[None, :])).astype(np.int32).ravel())
             self.roots.append(offset)
-            offset = unknown + self.n_codes
+            offset = unknown + n_codes
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-        self.bits = np.array([np.log2(max(len(texts[k]), 2)) for k in self.languages])
-
-    @staticmethod
-    def _plain(chars: np.ndarray) -> np.ndarray:
-        """Letters as they are; each run of other characters as one space."""
-        out = np.where(letters()[np.minimum(chars, 0x10FFFF)], chars, np.uint32(32))
-        space = out == 32
-        return out[~(space & np.concatenate(([False], space[:-1])))]
-
-    def _codes(self, chars: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.alphabet, chars)
-        at = np.minimum(at, max(len(self.alphabet) - 1, 0))
-        known = self.alphabet[at] == chars if len(self.alphabet) else np.zeros(len(chars), bool)
-        return np.where(chars == 32, 0, np.where(known, at + 1, self.n_codes - 1)).astype(np.int32)
-
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each coded text in each language."""
+        if self.table.nbytes > max(most_bytes, 1 << 20):
+            raise ValueError(f"{len(self.languages)} languages need {self.table.nbytes} bytes")
+        self.bits = np.array([np.log2(max(len(own[k]), 2)) for k in self.languages])
+
+    def phrases(self, texts: list[bytes]) -> np.ndarray:
+        """Phrases of each plain text in each language."""
         pieces = [(owner, at) for owner, t in enumerate(texts) for at in range(0, len(t), SEGMENT)]
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         if not pieces:
             return out
-        whole = np.concatenate(texts)
+        whole = np.frombuffer(b"".join(texts), np.uint8)
         starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         owner = np.array([o for o, _ in pieces])
         begin = np.array([starts[o] + at for o, at in pieces])
@@ -134,7 +140,7 @@ class Parser:
         count = np.zeros(state.shape, np.int32)
         for step, n in enumerate(active.tolist()):
             now = state[:, :n]
-            to = self.table[now + whole[begin[:n] + step]]
+            to = self.table[now + self.codes[:, whole[begin[:n] + step]]]
             ended = to >> 31
             count[:, :n] -= ended
             state[:, :n] = to ^ ended
@@ -153,11 +159,11 @@ class Parser:
             while at < len(texts) and size < BATCH_CHARS:
                 text = texts[at]
                 if text:
-                    chars = points(text.lower())
-                    if letters()[np.minimum(chars, 0x10FFFF)].any():
-                        coded.append(self._codes(self._plain(chars)))
+                    own = plain(text)
+                    if own.strip():
+                        coded.append(own)
                         ids.append(at)
-                        size += len(chars)
+                        size += len(own)
                 at += 1
             if ids:
                 bits = self.phrases(coded) * self.bits / np.array([len(c) for c in coded])[:, None]
@@ -175,18 +181,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, chars: int = CHARS, per_language: int = PER_LANGUAGE) -> Parser:
+def learn(docs: DataFrame, chars: int = CHARS, per_language: int = PER_LANGUAGE, most_bytes: int = MOST_BYTES) -> Parser:
     """Builds the automata from a bounded sample of every language's documents."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
     usable = usable.select("lang", "doc_id", hash_bits(F.col("doc_id"), 15).alias("at"))
-    first = usable.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).where(F.col("rank") <= per_language).select("lang", "doc_id", "rank")
-    rows = docs.select("lang", "doc_id", F.substring("text", 1, chars // 20).alias("part")).join(F.broadcast(first), ["lang", "doc_id"]).orderBy("lang", "rank", "part").collect()
+    first = usable.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).where(F.col("rank") <= per_language).select("lang", "doc_id", "rank", "at")
+    first = checkpoint(first)
+    chosen = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
+    size = chars // 20
+    place = F.pmod(F.col("at"), F.greatest(F.length("text") - size + 1, F.lit(1))).cast("int") + 1
+    rows = docs.select("lang", "doc_id", "text").join(chosen, ["lang", "doc_id"]).select("lang", "rank", F.substring("text", place, F.lit(size)).alias("part")).orderBy("lang", "rank", "part").collect()
     samples: dict[str, str] = {}
     for r in rows:
         own = samples.setdefault(str(r["lang"]), "")
         if len(own) < chars:
             samples[str(r["lang"])] = (own + " " + r["part"])[:chars]
-    return Parser(samples)
+    return Parser(samples, most_bytes)
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
