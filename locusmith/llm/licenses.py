@@ -5,12 +5,14 @@ pattern is split into k + 1 exact seeds; only around a seed's places does the re
 pattern with at most k errors, and it reports the span and the errors it found. Base labels come from the exact
 word sequences of the contract; the fuzzy notices add theirs.
 
-Defined results: a null text is empty; equal texts get equal results; overlapping notices of one label keep the one
-with the fewest errors, then the first; other columns don't matter; an empty table gives an empty result.
+Defined results: a null text is empty; equal texts get equal results; of overlapping notices of one pattern the one with
+the fewest errors stays, then the first; other columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,32 +53,45 @@ _FUZZY = [(label, errors, len(pattern), seeds(pattern, errors), regex.compile(f"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _best(text: str, area: tuple[int, int], own: tuple) -> tuple[int, int, int, int, int] | None:
+    """(errors, start, end, area) of the best notice in an area of a text, if there is any."""
+    found = own[4].search(text, *area)
+    return (sum(found.fuzzy_counts), found.start(), found.end(), *area) if found else None
+
+
 def notices(text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, label, errors) of the notices in a text whose A-Z are lower-cased."""
+    """(start, end, label, errors) of the notices in a text whose A-Z are lower-cased.
+
+    Every seed's area is searched by itself; it is too short for two notices. The best of all comes first; where a
+    kept notice of the pattern overlaps the best of an area, what it leaves of the area is searched again. So every
+    notice overlaps a kept one of its pattern with no more errors, or is kept. An area is searched a few times, and
+    overlaps are looked up in order, so the time follows the number of seeds.
+    """
     out: list[tuple[int, int, str, int]] = []
-    for label, errors, size, parts, pattern in _FUZZY:
-        areas: list[list[int]] = []
+    for own in _FUZZY:
+        label, errors, size, parts, _ = own
+        areas: set[tuple[int, int]] = set()
         for offset, seed in parts:
             at = text.find(seed)
             while at >= 0:
-                areas.append([max(0, at - offset - errors), min(len(text), at - offset + size + errors)])
+                areas.add((max(0, at - offset - errors), min(len(text), at - offset + size + errors)))
                 at = text.find(seed, at + 1)
-        areas.sort()
-        merged: list[list[int]] = []
-        for a, b in areas:
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        own = []
-        for a, b in merged:
-            for m in pattern.finditer(text, a, b):
-                own.append((sum(m.fuzzy_counts), m.start(), m.end()))
-        kept: list[tuple[int, int, int]] = []
-        for e, a, b in sorted(own):
-            if all(b <= x or y <= a for _, x, y in kept):
-                kept.append((e, a, b))
-        out += [(a, b, label, e) for e, a, b in kept]
+        heap = [best for area in areas if (best := _best(text, area, own))]
+        heapq.heapify(heap)
+        starts: list[int] = []
+        ends: dict[int, int] = {}
+        while heap:
+            e, a, b, left, right = heapq.heappop(heap)
+            at = bisect.bisect_left(starts, b)
+            if at and ends[starts[at - 1]] > a:
+                x, y = starts[at - 1], ends[starts[at - 1]]
+                for area in ((left, min(right, x)), (max(left, y), right)):
+                    if area[1] - area[0] >= size - errors and (best := _best(text, area, own)):
+                        heapq.heappush(heap, best)
+                continue
+            starts.insert(at, a)
+            ends[a] = b
+            out.append((a, b, label, e))
     return sorted(out)
 
 
