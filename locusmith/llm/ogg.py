@@ -25,7 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BLOCK, RATE, STREAMS, SEGMENTS = 576, 48_000, 2, 64
+#: Samples that features are computed of at once, a multiple of BLOCK.
+PIECE = 576 << 11
 #: Fixed values of the format: capture pattern, page header, flags of a page, and the position of a page that ends no packet.
 CAPTURE, HEADER = b"OggS", struct.Struct("<4sBBqIIIB")
 CONTINUED, FIRST, LAST, NO_POSITION = 1, 2, 4, -1
@@ -165,11 +169,17 @@ def digest(text: str | None) -> tuple:
     payload, n = padded(text)
     media = store(payload)
     back, streams = load(media)
-    samples = np.frombuffer(back, np.uint8).astype(np.float64) - 128
-    energy = (samples.reshape(-1, BLOCK) ** 2).mean(axis=1)
+    total = crossings = 0
+    energies, before = [], np.zeros(0, np.int16)
+    for at in range(0, len(back), PIECE):
+        samples = np.frombuffer(back, np.uint8, min(PIECE, len(back) - at), at).astype(np.int16) - np.int16(128)
+        total += int(samples.sum(dtype=np.int64))
+        energies.append((samples.astype(np.int32) ** 2).reshape(-1, BLOCK).sum(axis=1))
+        crossings += int(np.count_nonzero(np.diff(np.signbit(np.concatenate((before, samples))))))
+        before = samples[-1:]
+    energy = np.concatenate(energies) / BLOCK
     seconds = max(t for s in streams for t in timestamps(s) if t is not None)
-    crossings = int(np.count_nonzero(np.diff(np.signbit(samples))))
-    feature = f"packets={'+'.join(str(len(s.packets) - 1) for s in streams)};pages={'+'.join(str(s.pages) for s in streams)};seconds={seconds:.6f};mean={samples.mean():.6f};rms={np.sqrt(energy.mean()):.6f};peak={np.sqrt(energy.max()):.6f};crossings={crossings}"
+    feature = f"packets={'+'.join(str(len(s.packets) - 1) for s in streams)};pages={'+'.join(str(s.pages) for s in streams)};seconds={seconds:.6f};mean={total / len(back):.6f};rms={np.sqrt(energy.mean()):.6f};peak={np.sqrt(energy.max()):.6f};crossings={crossings}"
     return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
@@ -189,13 +199,13 @@ def media_features(docs: DataFrame) -> DataFrame:
 
 
 def with_media(docs: DataFrame, column: str = "media") -> DataFrame:
-    """The documents with their text as an Ogg file in a binary column."""
+    """The documents with their text as an Ogg file in a binary column, under ``column`` or, if taken, that name after underscores."""
 
     @F.pandas_udf("binary")
     def stored(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: store(padded(t)[0]))
 
-    return docs.withColumn(column, stored("text"))
+    return docs.withColumn(fresh(docs, column)[0], stored("text"))
 
 
 def packets(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:

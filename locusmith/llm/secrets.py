@@ -41,6 +41,10 @@ ALLOWED = (
 _TERMS = [0.0] + [n * log2(n) for n in range(1, WINDOW + 1)]
 
 
+def _order(span: tuple[int, str, int]) -> tuple[int, int, int]:
+    return span[0], KINDS.index(span[1]), span[2]
+
+
 def entropic(candidate: str, least: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """Spans of the candidate that windows of at least ``least`` bits a character cover."""
     counts: dict[str, int] = {}
@@ -73,15 +77,19 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def found(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """Base spans and further spans of a whole text, in order."""
     text = text or ""
-    base, more = base_spans(text), []
+    base, more = sorted(base_spans(text), key=_order), []
+    at = upto = 0
     for m in _CANDIDATE.finditer(text):
         own = m[0]
-        if not _DIGIT.search(own) or any(a <= m.start() and m.end() <= b for a, _, b in base) or any(p.fullmatch(own) for p in ALLOWED):
+        # Base spans that begin up to the candidate have passed; one of them covers it if the furthest end does.
+        while at < len(base) and base[at][0] <= m.start():
+            upto = max(upto, base[at][2])
+            at += 1
+        if m.end() <= upto or not _DIGIT.search(own) or any(p.fullmatch(own) for p in ALLOWED):
             continue
         least = next(bits for pattern, bits in CLASSES if pattern.fullmatch(own))
         more += [(m.start() + a, "entropy", m.start() + b) for a, b in entropic(own, least)]
-    key = lambda s: (s[0], KINDS.index(s[1]), s[2])
-    return sorted(base, key=key), sorted(more, key=key)
+    return base, sorted(more, key=_order)
 
 
 def _joined(spans: list[tuple[int, str, int]]) -> str:
@@ -91,7 +99,7 @@ def _joined(spans: list[tuple[int, str, int]]) -> str:
 def digest(text: str | None) -> tuple[int, int, int, str, str, int]:
     base, more = found(text)
     kinds = [k for _, k, _ in base]
-    both = sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
+    both = sorted(base + more, key=_order)
     return (*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(both), len(more))
 
 
