@@ -6,8 +6,8 @@ source and hash bucket, the running sum names the bucket in which the budget end
 bucket are summed again by finer buckets, twice. The last bucket (one hash value) is taken if half of it fits.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a null id hashes as
-the empty key; equal ids of one source share their fate; an empty table gives an empty result; other columns pass
-through untouched.
+the empty key; equal ids of one source share their fate; documents of a source without words aren't taken; an empty
+table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -19,14 +19,12 @@ from .common import checkpoint, hash_bits, join_small
 
 #: Bits of the hash that each level resolves, most significant first.
 LEVELS = (12, 10, 10)
-SPACES = r"[\x20\x09-\x0D]+"
+RUNS = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
     """Number of runs without white space; null: 0."""
-    parts = F.split(text, SPACES)
-    edges = (F.element_at(parts, 1) == "").cast("long") + (F.element_at(parts, -1) == "").cast("long")
-    return F.when(text.isNull() | (text == ""), F.lit(0)).when(F.size(parts) == 1, 1 - F.least(edges, F.lit(1))).otherwise(F.size(parts) - edges).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(RUNS)), F.lit(0)).cast("long")
 
 
 def source_key(source: Column) -> Column:
@@ -77,7 +75,9 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
             )
         )
     taken = (F.col("held").isNotNull() & (F.col("budget") * 2 >= F.col("held")) & (F.col("budget") > 0)).cast("long")
-    return state.select("key", "source_size", "target", "full", (F.col("start") + taken).alias("threshold"))
+    # Without a budget nothing is taken once more, nor are documents without words below the first hash that has some.
+    more = F.col("target") > F.col("full") * F.col("source_size")
+    return state.select("key", "source_size", "target", "full", F.when(more, F.col("start") + taken).otherwise(F.lit(0)).cast("long").alias("threshold"))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
@@ -134,7 +134,7 @@ running AS (
   SELECT p.*, sum(held) OVER (PARTITION BY p.key ORDER BY hash) AS upto, target - full_copies * source_size AS budget
   FROM per_hash p JOIN budgets USING (key)),
 cuts AS (
-  SELECT key, arg_min(CASE WHEN budget - (upto - held) > 0 AND (budget - (upto - held)) * 2 >= held
+  SELECT key, arg_min(CASE WHEN budget <= 0 THEN 0 WHEN budget - (upto - held) > 0 AND (budget - (upto - held)) * 2 >= held
                            THEN hash + 1 ELSE hash END, hash) AS threshold
   FROM running WHERE upto > budget GROUP BY key),
 mixed AS (

@@ -7,8 +7,8 @@ the regions' draws change for that region alone, and rows move only into or out
 region of its own once the last one is full, so growing from a full tree moves rows into the new shard alone.
 
 Slots number a shard's documents from 0 without a gap: rows are counted by shard and hash range, the running sum of
-the counts is the first slot of each range, and a row number within the range does the rest, so no task sees a
-whole shard.
+the counts is the first slot of each range, and running counts within the range do the rest, so no task sees a
+whole shard, and repeated rows are numbered by their counts.
 
 Defined results: a null text has 1 byte and checksum 0; a null id hashes as the empty key; equal ids share a shard
 and get slots of their own; an empty table gives an empty result; other columns pass through untouched.
@@ -64,15 +64,23 @@ def shard_of(doc_id: Column, leaves: list[Leaf]) -> Column:
     return inside(2, "shard", rack, sorted(total(1))).cast("int")
 
 
-def with_slots(docs: DataFrame, shard: str, slot: str, order: list[str], ranges: int = 4096) -> DataFrame:
-    """Adds ``slot``, gapless from 0 within ``shard``, in the order of hash ranges of the ``order`` columns."""
-    part, first = fresh(docs, "_range", "_first")
-    parted = docs.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(ranges)))
-    counts = parted.groupBy(shard, part).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(shard, part, F.coalesce(before, F.lit(0)).alias(first))
-    within = F.row_number().over(Window.partitionBy(shard, part).orderBy(*order))
-    return parted.join(starts, [shard, part]).withColumn(slot, (F.col(first) + within - 1).cast("long")).drop(part, first)
+def with_slots(docs: DataFrame, shard: str, slot: str, order: list[str], ranges: int = 4096, salts: int = 1024) -> DataFrame:
+    """Adds ``slot``, gapless from 0 within ``shard``, in the order of hash ranges of the ``order`` columns.
+
+    Rows that are equal in every column are counted by task first, so any number of them is a few rows to number; each
+    gets its slots back from its count. Which of such rows has which slot makes no difference.
+    """
+    part, first, salt, n, before = fresh(docs, "_range", "_first", "_salt", "_n", "_before")
+    counted = docs.groupBy(*docs.columns, F.pmod(F.spark_partition_id(), F.lit(salts)).alias(salt)).agg(F.count(F.lit(1)).alias(n))
+    parted = counted.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(ranges)))
+    counts = parted.groupBy(shard, part).agg(F.sum(n).alias(first))
+    running = F.sum(first).over(Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(shard, part, F.coalesce(running, F.lit(0)).alias(first))
+    rest = [c for c in docs.columns if c not in order]
+    within = F.sum(n).over(Window.partitionBy(shard, part).orderBy(*order, *rest, salt).rowsBetween(Window.unboundedPreceding, -1))
+    placed = parted.withColumn(before, F.coalesce(within, F.lit(0))).join(starts, [shard, part])
+    start = F.col(first) + F.col(before)
+    return placed.select(*docs.columns, F.explode(F.sequence(start, start + F.col(n) - 1)).cast("long").alias(slot))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
