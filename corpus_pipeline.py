@@ -9,14 +9,12 @@ treated as each operator's docstring says.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from locusmith.llm import decontaminate, mixing, neardup, sharding, toxicity
-from locusmith.llm.common import documents, small_batches, table
+from locusmith.llm.common import documents, remove, shared_folder, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,12 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written to and read from the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    folder = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
-    docs = documents(spark, sf_dir)
+    """Applies the stages to documents, each written to and read from the shared checkpoint folder; a stage's files go once the next one's are written."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = documents(spark, sf_dir), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
