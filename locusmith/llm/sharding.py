@@ -71,7 +71,7 @@ def with_slots(docs: DataFrame, shard: str, slot: str, order: list[str], ranges:
     gets its slots back from its count. Which of such rows has which slot makes no difference.
     """
     part, first, salt, n, before = fresh(docs, "_range", "_first", "_salt", "_n", "_before")
-    counted = docs.groupBy(*docs.columns, F.pmod(F.spark_partition_id(), F.lit(salts)).alias(salt)).agg(F.count(F.lit(1)).alias(n))
+    counted = docs.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy(*docs.columns, salt).agg(F.count(F.lit(1)).alias(n))
     parted = counted.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(ranges)))
     counts = parted.groupBy(shard, part).agg(F.sum(n).alias(first))
     running = F.sum(first).over(Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
@@ -80,7 +80,8 @@ def with_slots(docs: DataFrame, shard: str, slot: str, order: list[str], ranges:
     within = F.sum(n).over(Window.partitionBy(shard, part).orderBy(*order, *rest, salt).rowsBetween(Window.unboundedPreceding, -1))
     placed = parted.withColumn(before, F.coalesce(within, F.lit(0))).join(starts, [shard, part])
     start = F.col(first) + F.col(before)
-    return placed.select(*docs.columns, F.explode(F.sequence(start, start + F.col(n) - 1)).cast("long").alias(slot))
+    slots = F.sequence(start.cast("long"), (start + F.col(n) - 1).cast("long"))
+    return placed.select(*docs.columns, F.explode(slots).alias(slot))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:

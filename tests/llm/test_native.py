@@ -103,3 +103,62 @@ def test_shards(spark):
     moved = df.select(sharding.shard_of(df["doc_id"], leaves).alias("x"), sharding.shard_of(df["doc_id"], heavier).alias("y")).where("x != y").collect()
     assert moved and all(r["y"] in (0, 1, 2, 3) for r in moved)
     assert sharding.shard_documents(df.limit(0)).count() == 0
+
+
+def test_empty_texts_of_a_full_source(spark):
+    """A source at its limit takes everything twice and nothing more, whatever the hashes of its empty texts."""
+    rows = [(i, "" if i % 2 else "w " * 30, "a", 0) for i in range(40)] + [(100 + i, "w " * 900, "b", 0) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r for r in mixing.mixed_sizes(df).collect()}
+    assert all(got[i]["copies"] == 2 for i in range(40)) and max(r["copies"] for r in got.values()) == 2
+    assert mixing.mix(df).where("source = 'a'").count() == 80
+
+
+def test_many_windows_in_blocks_and_a_common_word(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [(i, " ".join(f"q{rng.randrange(10**6)}" for _ in range(60))) for i in range(640)] + [(9000, "the"), (None, "nobody asked this short question")]
+    rows = [(i, " ".join(rng.choice(("the", "of", f"z{i}")) for _ in range(40)), None, 0) for i in range(60)]
+    rows += [(100 + i, f"the {items[i][1]} of", None, 0) for i in range(20)] + [(200, "So nobody asked THIS short question here", None, 0)] + [(7, "the the", None, 0)] * 50
+    df, benchmark = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "WINDOW_ROWS", 11_000)
+    windows, _ = decontaminate.item_windows(benchmark)
+    assert windows.count() > 30_000
+    got = decontaminate.report(df, benchmark).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    sha = lambda ids: hashlib.sha256(",".join(ids).encode()).hexdigest()
+    for i, text, *_ in rows[:60]:
+        if i != 7:
+            n = text.split().count("the")
+            assert (by[i]["n_words"], by[i]["n_hit"], by[i]["n_items"], by[i]["items_sha256"]) == (40, n, int(n > 0), sha(["9000"] if n else []))
+    assert all((by[100 + i]["n_hit"], by[100 + i]["items_sha256"]) == (61, sha(sorted([str(i), "9000"]))) for i in range(20))
+    assert (by[200]["n_hit"], by[200]["n_items"], by[200]["items_sha256"], by[200]["contaminated"]) == (5, 0, sha([]), True)
+    assert sum(r["doc_id"] == 7 and r["n_hit"] == 2 for r in got) == 50
+
+
+def plain_shard(doc_id, leaves):
+    """The descent through region, rack and shard, drawn with hashlib."""
+    chosen = leaves
+    for level, name in enumerate(("region", "rack", "shard")):
+        weights = defaultdict(float)
+        for leaf in chosen:
+            weights[leaf[level]] += leaf[3]
+        draw = lambda c: -math.log((int(hashlib.md5(f"{doc_id}:{name}:{c}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)) / weights[c]  # noqa: B023, E731
+        child = min(sorted(weights), key=draw) if len(weights) > 1 else next(iter(weights))
+        chosen = [leaf for leaf in chosen if leaf[level] == child]
+    return chosen[0][2]
+
+
+def test_shards_equal_a_plain_descent(spark):
+    rows, df = documents(spark, 500)
+    for r in sharding.shard_documents(df).collect():
+        own = "" if r["doc_id"] is None else r["doc_id"]
+        assert (r["shard"], r["grown_shard"]) == (plain_shard(own, sharding.tree(8)), plain_shard(own, sharding.tree(9)))
+
+
+def test_slots_of_many_equal_rows(spark):
+    df = spark.createDataFrame([(1, "same", "a", 0)] * 3000 + [(None, "x", "a", 0)] * 500 + [(i, str(i), "a", 0) for i in range(50)], SCHEMA).repartition(7)
+    slots = defaultdict(list)
+    for r in sharding.shard_documents(df).collect():
+        slots[r["shard"]].append(r["slot"])
+    assert sum(map(len, slots.values())) == 3550 and all(sorted(v) == list(range(len(v))) for v in slots.values())
