@@ -59,6 +59,13 @@ def not_overlapping(left: DataFrame, right: DataFrame, width: int = WIDTH) -> Da
     return _matched(left, right, "left_anti", width)
 
 
+def overlap_flag(left: DataFrame, right: DataFrame, name: str, width: int = WIDTH) -> DataFrame:
+    """``left`` with whether an interval of right overlaps the row: one range join, reduced to a row for each interval met."""
+    keys = ["chrom", "start", "stop"]
+    met = overlap_join(left.select(*keys), right.select(*keys), width=width).groupBy(*keys).agg(F.lit(True).alias(name))
+    return left.join(met, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def contained_in(left: DataFrame, merged: DataFrame, how: str = "left_semi", width: int = 1 << 16) -> DataFrame:
     """Rows of left that lie wholly inside one interval of ``merged`` (disjoint; see merge_intervals)."""
     wide = over_bins(merged, width, "_bin").select(F.col("chrom").alias("_c"), "_bin", F.col("start").alias("_s"), F.col("stop").alias("_e"))
@@ -88,13 +95,16 @@ def best_match(candidates: DataFrame, truth: DataFrame, width: int = WIDTH) -> D
 
 def label_candidates(candidates: DataFrame, truth: DataFrame, exclude: DataFrame, confident: DataFrame, least: float = 0.5, slop: int = 0) -> DataFrame:
     """Outcome, label and genotype of each distinct candidate, by the cascade: unconfident, true, ambiguous, partial, false."""
-    keys = candidates.select("chrom", "start", "stop").distinct()
-    best = best_match(keys, truth).select("chrom", "start", "stop", "ro", F.col("t_geno").alias("geno"))
-    padded = keys.select("chrom", (F.col("start") - slop).alias("start"), (F.col("stop") + slop).alias("stop"))
-    sure = contained_in(padded, merge_intervals(confident)).select("chrom", (F.col("start") + slop).alias("start"), (F.col("stop") - slop).alias("stop"), F.lit(True).alias("sure"))
-    touched = overlapping(keys, exclude).withColumn("touched", F.lit(True))
     on = ["chrom", "start", "stop"]
-    flags = keys.join(best, on, "left").join(sure, on, "left").join(touched, on, "left")
+    keys = candidates.select(*on).distinct()
+    # Truth and exclusions meet the candidates in one range join, which partial aggregation reduces to a row for each candidate met.
+    others = truth.select(*on, "geno").unionByName(exclude.select(*on).withColumn("geno", F.lit(None).cast(truth.schema["geno"].dataType)).withColumn("out", F.lit(True)), allowMissingColumns=True)
+    pairs = overlap_join(keys, others, "t_").withColumn("ro", F.when(F.col("t_out").isNull(), reciprocal(F.col("start"), F.col("stop"), F.col("t_start"), F.col("t_stop"))))
+    best = F.min_by("t_geno", F.when(F.col("t_out").isNull(), F.struct(-F.col("ro"), "t_start", "t_stop", "t_geno")))
+    met = pairs.groupBy(*on).agg(F.max("ro").alias("ro"), best.alias("geno"), F.max("t_out").alias("touched"))
+    padded = keys.withColumns({"_start": F.col("start"), "_stop": F.col("stop"), "start": F.col("start") - slop, "stop": F.col("stop") + slop})
+    inside = contained_in(padded, merge_intervals(confident), "left").select("chrom", F.col("_start").alias("start"), F.col("_stop").alias("stop"), F.when(F.col("_s").isNotNull(), F.lit(True)).alias("sure"))
+    flags = inside.join(met, on, "left")
     ro = F.coalesce("ro", F.lit(0.0))
     outcome = (
         F.when(F.col("sure").isNull(), "drop_unconfident")

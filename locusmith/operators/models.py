@@ -47,14 +47,13 @@ def boosted(train: DataFrame, test: DataFrame, features: list[str], rounds: int
 
 def sweep(train: DataFrame, test: DataFrame, features: list[str], key: str, fracs: tuple[float, ...], seeds: tuple[int, ...], fit=logistic) -> DataFrame:
     """Fits at each budget and seed (a small grid on the driver; every fit and score is distributed) and scores as one table."""
-    tested, validated = None, None
+    scored = None
     for seed in seeds:
         chosen = budget_subsets(train, fracs, key, seed)
         for frac in fracs:
             own = chosen.where(F.col("frac") == frac)
-            tag = {"seed": F.lit(seed), "frac": F.lit(frac)}
-            fitted = own.where("part = 'train'")
-            a = fit(fitted, test, features).select("label", "score").withColumns(tag)
-            b = fit(fitted, own.where("part = 'val'").select(*test.columns), features).select("label", "score").withColumns(tag)
-            tested, validated = (a, b) if tested is None else (tested.unionByName(a), validated.unionByName(b))
-    return score_arms(tested, validated, ["seed", "frac"])
+            both = test.withColumn("_part", F.lit("test")).unionByName(own.where("part = 'val'").select(*test.columns).withColumn("_part", F.lit("val")))
+            fitted = fit(own.where("part = 'train'"), both, features).select("label", "score", "_part", F.lit(seed).alias("seed"), F.lit(frac).alias("frac"))
+            scored = fitted if scored is None else scored.unionByName(fitted)
+    parts = [scored.where(F.col("_part") == p).drop("_part") for p in ("test", "val")]
+    return score_arms(*parts, ["seed", "frac"])

@@ -52,10 +52,12 @@ def centre_flank(profile: DataFrame, windows: DataFrame, bin_bp: int = BIN) -> D
 
 def insert_size(reads: DataFrame, first: int = 2000) -> DataFrame:
     """Mean and population deviation of the first proper forward pairs' insert sizes of each chrom; 450 and 100 without any."""
-    usable = reads.withColumn("_ok", F.col("is_proper") & ~F.col("is_reverse") & (F.col("tlen") > 0))
-    ranked = usable.withColumn("_rank", F.row_number().over(Window.partitionBy("chrom", "_ok").orderBy("start", "read_id")))
-    size = F.when(F.col("_ok") & (F.col("_rank") <= first), F.col("tlen"))
-    return ranked.groupBy("chrom").agg(F.coalesce(F.avg(size), F.lit(450.0)).alias("isize_mean"), F.coalesce(F.stddev_pop(size) + 1e-6, F.lit(100.0)).alias("isize_sd"))
+    usable = reads.where(F.col("is_proper") & ~F.col("is_reverse") & (F.col("tlen") > 0)).select("chrom", "start", "read_id", "tlen")
+    # The limit on the rank lets each task keep its first rows of a chrom before the shuffle.
+    ranked = usable.withColumn("_rank", F.row_number().over(Window.partitionBy("chrom").orderBy("start", "read_id"))).where(F.col("_rank") <= first)
+    sizes = ranked.groupBy("chrom").agg(F.avg("tlen").alias("mean"), F.stddev_pop("tlen").alias("sd"))
+    chroms = reads.select("chrom").distinct().join(sizes, "chrom", "left")
+    return chroms.select("chrom", F.coalesce("mean", F.lit(450.0)).alias("isize_mean"), F.coalesce(F.col("sd") + 1e-6, F.lit(100.0)).alias("isize_sd"))
 
 
 def read_signals(reads: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -100,12 +100,13 @@ def score_arms(test: DataFrame, validation: DataFrame | None, groups: list[str])
     return keyed.join(at_tau, groups).withColumns({"F1": F.col("f1_at_half"), "P": F.col("p_at_half"), "R": F.col("r_at_half")})
 
 
-def separability(features: DataFrame, names: list[str]) -> DataFrame:
-    """ROC-AUC of every feature alone: raw, oriented, and the side on which positives lie."""
-    long = features.unpivot(["label"], names, "feature", "score").where(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf")))
-    counts = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n_test"), F.sum("label").alias("n_pos"))
-    auc = roc_auc(long, ["feature"]).join(counts, "feature")
-    return auc.select("feature", "n_test", "n_pos", F.col("roc_auc").alias("auc"), F.greatest("roc_auc", 1 - F.col("roc_auc")).alias("auc_oriented"), F.when(F.col("roc_auc") >= 0.5, "high").otherwise("low").alias("deletion_side"))
+def separability(features: DataFrame, names: list[str], groups: list[str] | None = None) -> DataFrame:
+    """ROC-AUC of every feature alone (in each group): raw, oriented, and the side on which positives lie."""
+    groups = groups or []
+    long = features.unpivot([*groups, "label"], names, "feature", "score").where(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf")))
+    counts = long.groupBy(*groups, "feature").agg(F.count(F.lit(1)).alias("n_test"), F.sum("label").alias("n_pos"))
+    auc = roc_auc(long, [*groups, "feature"]).join(counts, [*groups, "feature"])
+    return auc.select(*groups, "feature", "n_test", "n_pos", F.col("roc_auc").alias("auc"), F.greatest("roc_auc", 1 - F.col("roc_auc")).alias("auc_oriented"), F.when(F.col("roc_auc") >= 0.5, "high").otherwise("low").alias("deletion_side"))
 
 
 def stratified_recall(df: DataFrame, groups: list[str], stratum: Column, tau: float = 0.5) -> DataFrame:

@@ -70,23 +70,21 @@ def first_by_hash(df: DataFrame, n: int | Column, keys: list[str], seed: int | s
 
 def negative_grid(contigs: DataFrame, truth: DataFrame, positives: DataFrame, scales: tuple[int, ...], confident: DataFrame | None = None, exclude: DataFrame | None = None, win: int = WIN) -> DataFrame:
     """Every grid window that is a span away from truth and positive windows, inside ``confident`` and off ``exclude``."""
-    grid = tile(contigs, scales, win=win)
-    out = None
-    for scale in scales:
-        span = scale * win
-        own = grid.where(F.col("bin_size") == scale)
-        own = not_overlapping(own, truth.select("chrom", (F.col("start") - span).alias("start"), (F.col("stop") + span).alias("stop")))
-        reach = F.greatest(F.lit(span), F.col("span"))
-        near = positives.select("chrom", (F.col("win_start") - reach + 1).alias("start"), (F.col("win_start") + reach).alias("stop"))
-        points = own.select("chrom", F.col("start"), (F.col("start") + 1).alias("stop")).distinct()
-        own = own.join(not_overlapping(points, near).select("chrom", "start"), ["chrom", "start"], "left_semi")
-        if confident is not None:
-            own = contained_in(own, confident)
-        if exclude is not None:
-            own = not_overlapping(own, exclude)
-        own = own.select("chrom", "start", "stop", "bin_size")
-        out = own if out is None else out.unionByName(own)
-    return out
+    grid = tile(contigs, scales, win=win).withColumns({"_start": F.col("start"), "_stop": F.col("stop")})
+    # A window widened by its own span keeps clear of truth; windows near a positive meet a point of each in the reach of the wider one.
+    span = F.col("_stop") - F.col("_start")
+    grid = not_overlapping(grid.withColumns({"start": F.col("start") - span, "stop": F.col("stop") + span}), truth)
+    reach = F.explode(F.array(*[F.struct(F.lit(s).alias("bin_size"), F.greatest(F.lit(s * win).cast("long"), F.col("span")).alias("reach")) for s in scales]))
+    near = positives.select("chrom", "win_start", "span").distinct().withColumn("r", reach)
+    near = near.select(F.concat_ws(":", "chrom", "r.bin_size").alias("chrom"), (F.col("win_start") - F.col("r.reach") + 1).alias("start"), (F.col("win_start") + F.col("r.reach")).alias("stop"))
+    # The scale is part of the key, so one join serves all scales.
+    points = grid.select(F.concat_ws(":", "chrom", "bin_size").alias("chrom"), F.col("chrom").alias("_chrom"), "bin_size", F.col("_start").alias("start"), (F.col("_start") + 1).alias("stop"), "_stop")
+    grid = not_overlapping(points, near).select(F.col("_chrom").alias("chrom"), "start", F.col("_stop").alias("stop"), "bin_size")
+    if confident is not None:
+        grid = contained_in(grid, confident)
+    if exclude is not None:
+        grid = not_overlapping(grid, exclude)
+    return grid.select("chrom", "start", "stop", "bin_size")
 
 
 def quotas(positives: DataFrame, groups: list[str], per_positive: int = 3) -> DataFrame:
@@ -159,13 +157,31 @@ def validation_size(n: Column, share: float = 0.2, least: int = 12) -> Column:
 def budget_subsets(rows: DataFrame, fracs: tuple[float, ...], key: str, seed: int | str, nested: bool = True, groups: list[str] | None = None, share: float = 0.2) -> DataFrame:
     """Each fraction's labelled rows, parted into validation and training: prefixes of one order, or an order for each fraction."""
     groups = groups or []
-    many = rows.withColumn("frac", F.explode(F.array(*[F.lit(float(f)) for f in fracs])))
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))) if nested else F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("frac").cast("string"), F.col(key).cast("string")))
-    w = Window.partitionBy(*groups, "frac")
-    ranked = many.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_rank", F.row_number().over(w.orderBy(order, key)))
+    fractions = F.explode(F.array(*[F.lit(float(f)) for f in fracs]))
+    salt = [F.lit(str(seed))] if nested else [F.lit(str(seed)), F.col("frac").cast("string")]
+    many = rows if nested else rows.withColumn("frac", fractions)
+    own = groups if nested else [*groups, "frac"]
+    ranked = hash_ranks(many.withColumn("_at", F.md5(F.concat_ws("|", *salt, F.col(key).cast("string")))), own, "_at", [key])
+    # One order serves all fractions of nested subsets.
+    ranked = ranked.withColumn("frac", fractions) if nested else ranked
     budget = label_budget(F.col("frac"), F.col("_n"))
     chosen = ranked.where(F.col("_rank") <= budget).withColumn("budget", budget)
-    return chosen.withColumn("part", F.when(F.col("_rank") <= validation_size(F.col("budget"), share), "val").otherwise("train")).drop("_n", "_rank")
+    return chosen.withColumn("part", F.when(F.col("_rank") <= validation_size(F.col("budget"), share), "val").otherwise("train")).select(*rows.columns, "frac", "budget", "part")
+
+
+def hash_ranks(rows: DataFrame, groups: list[str], at: str, ties: list[str]) -> DataFrame:
+    """Adds ``_n``, the rows of a group, and ``_rank``, a row's place in the order of ``at`` (hex digits), then ``ties``.
+
+    Rows are counted by the first three digits; running sums of the 4,096 counts of a group are where each range
+    begins, so a task sorts one range of a group.
+    """
+    ranged = rows.withColumn("_range", F.substring(at, 1, 3))
+    counts = ranged.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_in"))
+    whole = Window.partitionBy(*groups, F.lit(0))
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_n", F.sum("_in").over(whole)).withColumn("_first", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in")
+    within = F.row_number().over(Window.partitionBy(*groups, "_range").orderBy(at, *ties))
+    return ranged.join(starts, [*groups, "_range"]).withColumn("_rank", F.col("_first") + within).drop("_range", "_first")
 
 
 def thin_rows(reads: DataFrame, groups: list[str], keys: list[str], frac: float, cap: int, seed: int | str = 0) -> DataFrame:

@@ -21,7 +21,7 @@ def merged(name: str, raw: str) -> str:
 CONFIDENT = merged("confident", "confident_raw")
 WINDOWED = """sized AS (SELECT t.*, stop - start AS del_len, CASE WHEN (stop - start) * 2 <= 256 THEN 1 WHEN (stop - start) * 2 <= 512 THEN 2 WHEN (stop - start) * 2 <= 1024 THEN 4 WHEN (stop - start) * 2 <= 2048 THEN 8 WHEN (stop - start) * 2 <= 4096 THEN 16 WHEN (stop - start) * 2 <= 8192 THEN 32 ELSE 64 END AS bin_size FROM {truth} t),
 placed AS (SELECT s.*, bin_size * 256 AS span, greatest(0, least(cast(floor((start + stop) / 2) AS bigint) - bin_size * 128, length - bin_size * 256)) AS win_start FROM sized s JOIN {contigs} c ON s.chrom = c.chrom)"""
-GRID = """grid AS (SELECT chrom, length, bin_size, unnest(range(0, greatest(1, length - bin_size * 256), greatest(64, bin_size * 64))) AS start FROM {contigs} CROSS JOIN (VALUES (16), (32)) AS b(bin_size)),
+GRID = """grid AS (SELECT chrom, length, bin_size, unnest(range(0, greatest(1, length - bin_size * 256), greatest(64, bin_size * 64))) AS start FROM {contigs} CROSS JOIN (VALUES (1), (2), (4), (8), (16), (32), (64)) AS b(bin_size)),
 free AS (SELECT chrom, start, start + bin_size * 256 AS stop, bin_size FROM grid g
   WHERE NOT EXISTS (SELECT 1 FROM {truth} t WHERE t.chrom = g.chrom AND g.start < t.stop + bin_size * 256 AND g.start + bin_size * 256 > t.start - bin_size * 256)
     AND NOT EXISTS (SELECT 1 FROM placed p WHERE p.chrom = g.chrom AND abs(g.start - p.win_start) < greatest(g.bin_size * 256, p.span)))"""
@@ -29,7 +29,7 @@ POOL = CONFIDENT + ",\n" + WINDOWED + ",\n" + GRID + """,
 pool AS (SELECT f.* FROM free f
   WHERE EXISTS (SELECT 1 FROM confident c WHERE c.chrom = f.chrom AND f.start >= c.start AND f.stop <= c.stop)
     AND NOT EXISTS (SELECT 1 FROM {exclude_raw} e WHERE e.chrom = f.chrom AND f.start < e.stop AND f.stop > e.start))"""
-SCALES = (16, 32)
+SCALES = wn.SCALES
 
 
 @register("j1_merge_intervals", sql_over("WITH " + CONFIDENT + " SELECT * FROM confident"))
@@ -45,7 +45,7 @@ def j2(spark, d):
 @register("j3_overlaps", sql_over("SELECT c.*, EXISTS (SELECT 1 FROM {exclude_raw} e WHERE e.chrom = c.chrom AND c.start < e.stop AND c.stop > e.start) AS touched FROM {candidates} c"))
 def j3(spark, d):
     c, e = view(spark, d, "candidates"), view(spark, d, "exclude_raw")
-    return iv.overlapping(c, e).withColumn("touched", F.lit(True)).unionByName(iv.not_overlapping(c, e).withColumn("touched", F.lit(False)))
+    return iv.overlap_flag(c, e, "touched")
 
 
 PAIRS = """pairs AS (SELECT c.chrom, c.start, c.stop, t.start AS t_start, t.stop AS t_stop, t.geno AS t_geno,

@@ -21,7 +21,7 @@ def _ratio(source: str, name: str) -> str:
 {name} AS (SELECT chrom, bin_size, start, key, centre / (everything - centre)::DOUBLE AS ratio FROM {name}_sum WHERE everything > centre)"""
 
 
-MATCHED = POOL + ", " + COVER + ", " + _ratio("SELECT chrom, bin_size, win_start AS start, start AS key FROM placed WHERE bin_size IN (16, 32)", "pos") + ", " + _ratio("SELECT chrom, bin_size, start, 0 AS key FROM pool", "neg") + """,
+MATCHED = POOL + ", " + COVER + ", " + _ratio("SELECT chrom, bin_size, win_start AS start, start AS key FROM placed WHERE bin_size <= 64", "pos") + ", " + _ratio("SELECT chrom, bin_size, start, 0 AS key FROM pool", "neg") + """,
 cuts AS (SELECT chrom, bin_size, list_sort(list_distinct([quantile_cont(ratio, 0.1), quantile_cont(ratio, 0.2), quantile_cont(ratio, 0.3), quantile_cont(ratio, 0.4), quantile_cont(ratio, 0.5), quantile_cont(ratio, 0.6), quantile_cont(ratio, 0.7), quantile_cont(ratio, 0.8), quantile_cont(ratio, 0.9)])) AS cuts, quantile_cont(ratio, 0.5) AS median, count(*) AS n_pos FROM pos GROUP BY chrom, bin_size),
 lim AS (SELECT c.*, least(n_pos * 3, n_pool) AS keep FROM cuts c JOIN (SELECT chrom, bin_size, count(*) AS n_pool FROM neg GROUP BY chrom, bin_size) n ON c.chrom = n.chrom AND c.bin_size = n.bin_size),
 pos_in AS (SELECT p.chrom, p.bin_size, len(list_filter(l.cuts, lambda c: c <= p.ratio)) AS stratum, min(n_pos) AS n_pos, min(keep) AS keep, count(*) AS n_in FROM pos p JOIN lim l ON p.chrom = l.chrom AND p.bin_size = l.bin_size GROUP BY 1, 2, 3),
