@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,6 +201,45 @@ def quoted_values(quoted: DataFrame, source: DataFrame) -> DataFrame:
     return asked.join(at.withColumn("found", F.lit(True)), ["digits", "scaled"], "left").select(*quoted.columns, F.coalesce("found", F.lit(False)).alias("found"))
 
 
+def quoted_text(quoted: DataFrame, source: DataFrame) -> DataFrame:
+    """Whether each quoted text is some source value: at the decimals it shows, or within 15% where it has an exponent.
+
+    ``quoted`` has a column text, ``source`` a column value. Values within 15% lie in the same or the next power of
+    1.15, so these meet by an equi join too.
+    """
+    shown = quoted.select("text").distinct().withColumn("value", F.col("text").try_cast("double")).where("value IS NOT NULL")
+    plain = shown.where(~F.lower("text").contains("e")).withColumn("digits", F.length(F.regexp_extract("text", r"\.(\d+)$", 1)))
+    found = quoted_values(plain.select("text", "digits", "value"), source).where("found").select("text")
+    power = F.floor(F.log("value") / F.log(F.lit(1.15)))
+    near = shown.where(F.lower("text").contains("e") & (F.col("value") > 0)).select("text", "value", F.explode(F.array(power - 1, power, power + 1)).alias("power"))
+    of = source.where("value > 0").select(F.col("value").alias("other"), power.alias("power")).distinct()
+    met = near.join(of, "power").where(F.abs(F.col("other") - F.col("value")) <= 0.15 * F.col("value")).select("text")
+    held = found.unionByName(met).distinct().withColumn("found", F.lit(True))
+    return quoted.join(held, "text", "left").select(*quoted.columns, F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def audit_problems(axes: DataFrame, quotes: DataFrame, eligible: DataFrame) -> DataFrame:
+    """Numbers of what breaks an audit: (problem, n).
+
+    ``axes`` has a row for each coded paper and axis (doc_id, axis, code), ``quotes`` the quotes given for them
+    (doc_id, axis, code, verified), ``eligible`` the papers that may be coded (doc_id).
+    """
+    on = ["doc_id", "axis"]
+    given = quotes.groupBy(*on).agg(F.count(F.lit(1)).alias("n_quotes"))
+    counted = axes.join(given, on, "left")
+    coded = axes.select("doc_id").distinct()
+    problems = {
+        "not_one_quote": counted.where(F.coalesce("n_quotes", F.lit(0)) != 1),
+        "other_code": quotes.join(axes.select(*on, F.col("code").alias("_code")), on).where("code != _code"),
+        "quote_of_no_axis": quotes.join(axes, on, "left_anti"),
+        "not_verified": quotes.where(~F.coalesce("verified", F.lit(False))),
+        "coded_not_eligible": coded.join(eligible, "doc_id", "left_anti"),
+        "eligible_not_coded": eligible.join(coded, "doc_id", "left_anti"),
+    }
+    parts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("problem"), "n") for name, rows in problems.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def normal_text(text: Column) -> Column:
     """Text with typographic quotes and dashes made plain, words joined over hyphenated line breaks, and white space made single."""
     plain = F.translate(text, "“”‘’–— ", "\"\"''-- ")

@@ -222,9 +222,22 @@ def t2(spark, d):
     return round_all(round_all(_paired(spark, d), "mean_a", "mean_b", "diff", "diff_sd"), "t", digits=6)
 
 
-@register("t3_p_values")
+#: Weights of Simpson's rule, and the two-sided p value of t by the integral of Student's density from 0 to |t|.
+SIMPSON = "simpson AS (SELECT i / 2000.0::DOUBLE AS u, CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 6000.0::DOUBLE AS w FROM range(0, 2001) AS r(i))"
+
+
+def p_sql(t: str = "t0", df: str = "df0") -> str:
+    density = f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi()) * pow(1 + {t} * {t} * u * u / {df}, -({df} + 1) / 2)"
+    return f"CASE WHEN {t} IS NOT NULL THEN greatest(0, 1 - 2 * abs({t}) * (SELECT sum(w * {density}) FROM simpson)) END"
+
+
+TESTED = "tested AS (SELECT *, CASE WHEN n_seeds > 2 AND diff_sd > 0 THEN diff / (diff_sd / sqrt(n_seeds)) END AS t0, (n_seeds - 1)::DOUBLE AS df0 FROM paired)"
+WELCHED = "welched AS (SELECT *, CASE WHEN na > 1 AND nb > 1 AND x + y > 0 THEN (ma - mb) / sqrt(x + y) END AS t0, CASE WHEN na > 1 AND nb > 1 AND x + y > 0 THEN (x + y) * (x + y) / (x * x / (na - 1) + y * y / (nb - 1)) END AS df0 FROM w)"
+
+
+@register("t3_p_values", sql_over("WITH " + DIFFS + ", " + TESTED + ", " + SIMPSON + f" SELECT {PAIRED_COLS}, round({p_sql()}, 6) + 0.0 AS p FROM tested"))
 def t3(spark, d):
-    return inf.with_p(_paired(spark, d))
+    return round_all(round_all(inf.with_p(_paired(spark, d)), "mean_a", "mean_b", "diff", "diff_sd"), "t", "p", digits=6)
 
 
 @register("t4_interval_and_power")
@@ -273,9 +286,15 @@ def t9(spark, d):
     return round_all(round_all(inf.best_of_family(summed(spark, d), ["A", "N"], ["R"]).drop("df"), "mean_a", "mean_b", "diff"), "t", digits=6)
 
 
-@register("t9_leader")
+BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY " + C + " ORDER BY mean DESC, CASE arm WHEN 'A' THEN 1 ELSE 2 END) AS rn FROM summed WHERE arm IN ('A', 'N') AND n > 1) WHERE rn = 1), w AS (SELECT b.benchmark, b.frac, b.metric, b.arm AS arm_a, s.arm AS arm_b, b.mean AS ma, s.mean AS mb, b.n AS na, s.n AS nb, b.sd * b.sd / b.n AS x, s.sd * s.sd / s.n AS y FROM best b JOIN summed s ON b.benchmark = s.benchmark AND b.frac = s.frac AND b.metric = s.metric WHERE s.arm = 'R' AND s.n > 1)"
+LED = "CASE WHEN p IS NULL OR p >= 0.05 THEN 'tie' WHEN ma > mb THEN 'a' ELSE 'b' END"
+MEANS = "round(ma, 7) + 0.0 AS mean_a, round(mb, 7) + 0.0 AS mean_b, round(ma - mb, 7) + 0.0 AS diff, round(t0, 6) + 0.0 AS t, round(df0, 6) + 0.0 AS df, round(p, 6) + 0.0 AS p"
+
+
+@register("t9_leader", sql_over("WITH " + SUMMED + ", " + BEST + ", " + WELCHED + ", " + SIMPSON + f", ps AS (SELECT *, {p_sql()} AS p FROM welched) SELECT {C}, arm_a, arm_b, {MEANS}, {LED} AS leader FROM ps"))
 def t9b(spark, d):
-    return inf.with_p(inf.best_of_family(summed(spark, d), ["A", "N"], ["R"])).withColumn("leader", inf.leader())
+    led = inf.with_p(inf.best_of_family(summed(spark, d), ["A", "N"], ["R"])).withColumn("leader", inf.leader())
+    return round_all(round_all(led, "mean_a", "mean_b", "diff"), "t", "df", "p", digits=6)
 
 
 @register("t10_rule_sensitivity", sql_over("WITH " + SUMMED + ", " + PAIR + f" SELECT {C}, round(ma, 7) + 0.0 AS mean_a, round(mb, 7) + 0.0 AS mean_b, CASE WHEN mb <= 1e-9 THEN 'inf'::DOUBLE ELSE round(ma / mb, 6) + 0.0 END AS ratio FROM pair"))
@@ -283,9 +302,54 @@ def t10(spark, d):
     return round_all(round_all(inf.rule_sensitivity(summed(spark, d), A, B), "mean_a", "mean_b"), "ratio", digits=6)
 
 
-@register("t11_pairwise_contrasts")
+def every_pair(pairs: str) -> str:
+    return f"w AS (SELECT a.benchmark, a.frac, a.metric, a.arm AS arm_a, b.arm AS arm_b, a.mean AS ma, b.mean AS mb, a.n AS na, b.n AS nb, a.sd * a.sd / a.n AS x, b.sd * b.sd / b.n AS y FROM summed a JOIN summed b ON a.benchmark = b.benchmark AND a.frac = b.frac AND a.metric = b.metric WHERE (a.arm, b.arm) IN ({pairs}))"
+
+
+@register("t11_pairwise_contrasts", sql_over("WITH " + SUMMED + ", " + every_pair("('A', 'N'), ('A', 'R'), ('N', 'R')") + ", " + WELCHED + ", " + SIMPSON + f", ps AS (SELECT *, {p_sql()} AS p FROM welched) SELECT {C}, arm_a, arm_b, na AS n_a, nb AS n_b, {MEANS}, {LED} AS verdict FROM ps"))
 def t11(spark, d):
-    return inf.with_p(inf.welch(runs(spark, d), [("A", "N"), ("A", "R"), ("N", "R")])).withColumn("verdict", inf.leader())
+    tested = inf.with_p(inf.welch(runs(spark, d), [("A", "N"), ("A", "R"), ("N", "R")])).withColumn("verdict", inf.leader())
+    return round_all(round_all(tested, "mean_a", "mean_b", "diff"), "t", "df", "p", digits=6)
+
+
+@register("t12_primary_verdicts", sql_over("WITH " + DIFFS + ", " + TESTED + ", " + SIMPSON + f""", ps AS (SELECT *, {p_sql()} AS p FROM tested),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY benchmark, metric) AS m, row_number() OVER (PARTITION BY benchmark, metric ORDER BY p) AS rn FROM ps WHERE p IS NOT NULL),
+adjusted AS (SELECT {C}, least(1.0, max((m - rn + 1) * p) OVER (PARTITION BY benchmark, metric ORDER BY rn ROWS UNBOUNDED PRECEDING)) AS p_holm FROM ranked)
+SELECT ps.benchmark, ps.frac, ps.metric, round(diff, 7) + 0.0 AS diff, round(p, 6) + 0.0 AS p, round(p_holm, 6) + 0.0 AS p_holm, CASE WHEN p_holm < 0.05 THEN CASE WHEN diff > 0 THEN 'a better' ELSE 'b better' END ELSE 'not separated' END AS verdict
+FROM ps LEFT JOIN adjusted a ON ps.benchmark = a.benchmark AND ps.frac = a.frac AND ps.metric = a.metric"""))
+def t12b(spark, d):
+    return round_all(round_all(t12(spark, d).select(*inf.CELL, "diff", "p", "p_holm", "verdict"), "diff"), "p", "p_holm", digits=6)
+
+
+@register("t10_rule_p", sql_over("WITH " + SUMMED + ", " + every_pair("('A', 'R')") + ", " + WELCHED + ", " + SIMPSON + f" SELECT {C}, CASE WHEN mb <= 1e-9 THEN 'inf'::DOUBLE ELSE round(ma / mb, 6) + 0.0 END AS ratio, round({p_sql()}, 6) + 0.0 AS p FROM welched"))
+def t10b(spark, d):
+    """The ratio of two arms under each scoring rule, with the p value of their difference under it."""
+    p = inf.with_p(inf.welch(runs(spark, d), [(A, B)])).select(*inf.CELL, "p")
+    return round_all(inf.rule_sensitivity(summed(spark, d), A, B).join(p, inf.CELL).select(*inf.CELL, "ratio", "p"), "ratio", "p", digits=6)
+
+
+@register("g7_transfer_p", sql_over("WITH " + SUMMED + ", w AS (SELECT a.frac, a.metric, a.arm, a.mean AS ma, b.mean AS mb, a.n AS na, b.n AS nb, a.sd * a.sd / a.n AS x, b.sd * b.sd / b.n AS y FROM summed a JOIN summed b ON a.arm = b.arm AND a.frac = b.frac AND a.metric = b.metric WHERE a.benchmark = 'F' AND b.benchmark = 'O'), " + WELCHED + ", " + SIMPSON + f" SELECT arm, frac, metric, round(ma, 7) + 0.0 AS in_dist, round(mb, 7) + 0.0 AS held_out, round(ma - mb, 7) + 0.0 AS gap, CASE WHEN arm = 'A' THEN round({p_sql()}, 6) + 0.0 END AS p FROM welched"))
+def g7b(spark, d):
+    """In-distribution against held-out benchmark; Welch's p on the first arm's rows only."""
+    swapped = runs(spark, d).select("benchmark", F.col("arm").alias("own"), "frac", "metric", "value").withColumnRenamed("benchmark", "arm")
+    tested = inf.with_p(inf.welch(swapped, [("F", "O")], ["own", "frac", "metric"]))
+    shown = tested.select(F.col("own").alias("arm"), "frac", "metric", F.col("mean_a").alias("in_dist"), F.col("mean_b").alias("held_out"), F.col("diff").alias("gap"), F.when(F.col("own") == A, F.col("p")).alias("p"))
+    return round_all(round_all(shown, "in_dist", "held_out", "gap"), "p", digits=6)
+
+
+CLAIM = "SELECT concat_ws(' ', '{kind}', benchmark, metric) AS claim, frac, round(t0, 6) + 0.0 AS statistic, round({p}, 6) + 0.0 AS p, round({a}, 7) + 0.0 AS mean_a, round({b}, 7) + 0.0 AS mean_b, CASE WHEN {b} > 0 THEN concat('ratio ', printf('%.2f', round({a} / {b}, 2))) ELSE 'no ratio' END AS note FROM {of}"
+
+
+@register("t13_claims", sql_over("WITH " + SUMMED + ", " + every_pair("('A', 'R')") + ", " + WELCHED + ", " + DIFFS + ", " + TESTED + ", " + SIMPSON + " " + CLAIM.format(kind="welch", p=p_sql(), a="ma", b="mb", of="welched") + " UNION ALL " + CLAIM.format(kind="paired", p=p_sql(), a="mean_a", b="mean_b", of="tested")))
+def t13b(spark, d):
+    """Each claim with its test, statistic, p value, means and the ratio of these."""
+
+    def claim(tests, kind):
+        ratio = F.when(F.col("mean_b") > 0, F.concat(F.lit("ratio "), inf.render(F.col("mean_a") / F.col("mean_b"), 2))).otherwise("no ratio")
+        return inf.with_p(tests).select(F.concat_ws(" ", F.lit(kind), "benchmark", "metric").alias("claim"), "frac", F.col("t").alias("statistic"), "p", "mean_a", "mean_b", ratio.alias("note"))
+
+    both = claim(inf.welch(runs(spark, d), [(A, B)]), "welch").unionByName(claim(_paired(spark, d), "paired"))
+    return round_all(round_all(both, "statistic", "p", digits=6), "mean_a", "mean_b")
 
 
 @register("t12_primary_contrast")

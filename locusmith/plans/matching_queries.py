@@ -47,7 +47,10 @@ def _matched(spark, d):
     return pos, wn.match_strata(pos, pool, GROUPS, "ratio", ["chrom", "start", "bin_size"])
 
 
-@register("c5_random_windows")
+@register("c5_random_windows", sql_over("""WITH tiles AS (SELECT chrom, length, unnest(range(0, greatest(1, length - 4096), 1024)) AS start FROM {contigs}),
+counted AS (SELECT t.chrom, t.start, t.start + 4096 AS stop, 16 AS bin_size, count(*) AS n_reads FROM tiles t JOIN {reads} r ON r.chrom = t.chrom AND r.start < t.start + 4096 AND r.stop > t.start WHERE t.start >= 10000 AND t.start + 4096 <= t.length - 10000 GROUP BY t.chrom, t.start HAVING count(*) >= 5),
+quota AS (SELECT chrom, cast(floor(length / (SELECT sum(length) FROM {contigs})::DOUBLE * 2000) AS bigint) AS quota FROM {contigs})
+SELECT c.chrom, start, stop, bin_size, n_reads FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY md5(concat_ws('|', 'random', chrom, cast(start AS string), cast(bin_size AS string))), start) AS rn FROM counted) c JOIN quota q ON c.chrom = q.chrom WHERE rn <= quota"""))
 def c5(spark, d):
     """Windows in proportion to contig length, away from the edges, with at least five reads."""
     contigs = view(spark, d, "contigs")

@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import inference_queries, interval_queries, matching_queries, pileup_queries, scoring_queries, source_queries  # noqa: F401
+    from . import audit_queries, inference_queries, interval_queries, matching_queries, pileup_queries, scoring_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

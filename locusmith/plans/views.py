@@ -55,6 +55,15 @@ VIEWS: dict[str, str] = {
         CASE WHEN toxic = 1 THEN 'yes' WHEN l.doc_id % 7 = 0 THEN 'unclear' ELSE 'no' END AS axis_b,
         CASE WHEN l.doc_id % 3 = 0 THEN 'missing' ELSE 'reported' END AS axis_c, CASE WHEN l.doc_id % 5 < 2 THEN 'missing' ELSE 'reported' END AS axis_d
         FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
+    "axes": """SELECT doc_id, 'a' AS axis, axis_a AS code FROM {codes} UNION ALL SELECT doc_id, 'b', axis_b FROM {codes}
+        UNION ALL SELECT doc_id, 'c', axis_c FROM {codes} UNION ALL SELECT doc_id, 'd', axis_d FROM {codes}""",
+    "audit_quotes": """SELECT doc_id, axis, doc_id % 40 AS item_id, CASE WHEN doc_id % 11 = 0 THEN 'other' ELSE code END AS code
+        FROM {axes} WHERE doc_id % 13 <> 0 UNION ALL SELECT doc_id, axis, (doc_id + 1) % 40, code FROM {axes} WHERE axis = 'b' AND doc_id % 17 = 0""",
+    "benchmark_vectors": """SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'H' ELSE 'O' END AS benchmark,
+        CASE WHEN label < 3 THEN 1 ELSE 0 END AS label, embedding FROM {embeddings}""",
+    "provenance": """SELECT DISTINCT l_linestatus AS benchmark, l_returnflag AS arm, l_suppkey % 10 AS seed,
+        CASE WHEN l_returnflag = 'N' THEN l_suppkey % 20 ELSE l_suppkey % 10 END AS encoder, CASE WHEN l_returnflag = 'A' THEN 64 + 32 * (l_suppkey % 2) ELSE 96 END AS batch
+        FROM {lineitem}""",
 }
 
 

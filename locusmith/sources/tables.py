@@ -40,9 +40,22 @@ def read_windows(spark: SparkSession, path: str, split: str = "all", labelled: b
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Long runs (arm, seed, frac, n, metric, value) of result documents; the seed is in the file's name."""
-    df = spark.read.option("multiLine", True).json(path).select(F.regexp_extract("_metadata.file_name", r"seed(\d+)", 1).cast("int").alias("seed"), F.explode("label_efficiency").alias("r"))
-    return long_runs(df)
+    """Long runs (arm, seed, frac, n, metric, value) of result documents; the seed is in the path of the file."""
+    seed = F.regexp_extract("_metadata.file_path", r"seed=?(\d+)", 1).cast("int")
+    df = spark.read.option("multiLine", True).json(path)
+    return long_runs(df.select(seed.alias("seed"), F.explode("label_efficiency").alias("r")))
+
+
+def write_documents(runs: DataFrame, path: str, arms: list[str], metrics: list[str]) -> None:
+    """One JSON document for each benchmark and seed, in a folder of its own: metrics nested by arm, arms by budget.
+
+    ``runs`` has benchmark, seed, frac, n, arm, metric, value.
+    """
+    named = F.struct(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
+    each = runs.groupBy("benchmark", "seed", "frac", "n", "arm").agg(named.alias("m"))
+    budgets = each.groupBy("benchmark", "seed", "frac", "n").agg(*[F.max(F.when(F.col("arm") == a, F.col("m"))).alias(f"arm_{a}") for a in arms])
+    nested = budgets.groupBy("benchmark", "seed").agg(F.array_sort(F.collect_list(F.struct("frac", "n", *[f"arm_{a}" for a in arms]))).alias("label_efficiency"))
+    nested.write.partitionBy("benchmark", "seed").json(path)
 
 
 def long_runs(df: DataFrame, not_arms: tuple[str, ...] = ("frac", "n", "n_train", "n_val")) -> DataFrame:
