@@ -59,15 +59,15 @@ def g10(spark, d):
     return p.groupBy("benchmark", "arm").agg(seeds.alias("n_seeds"), encoders.alias("n_encoders"), (encoders == seeds).alias("encoder_per_seed"), (F.count_distinct("batch") == 1).alias("one_batch"))
 
 
-SHOWN = "CASE WHEN p < 0.02 THEN printf('%.4e', p + CASE WHEN length(test) % 3 = 0 THEN 0.001 ELSE 0 END) WHEN length(test) % 2 = 0 THEN printf('%.2f', round(p, 2) + CASE WHEN length(test) % 3 = 0 THEN 0.01 ELSE 0 END) ELSE printf('%.4f', round(p, 4)) END"
+SHOWN = "CASE WHEN p < 0.02 THEN printf('%.4e', p + CASE WHEN length(test) % 3 = 0 THEN 0.001 ELSE 0 END) WHEN length(test) % 2 = 0 THEN printf('%.2f', (floor(p * 100 + 1e-9) + CASE WHEN length(test) % 3 = 0 THEN 1 ELSE 0 END) / 100.0) ELSE printf('%.4f', floor(p * 10000 + 0.5 + 1e-9) / 10000.0) END"
 
 
 @register("j12_quoted_texts", sql_over("WITH v AS (SELECT family, test, p::DOUBLE AS p FROM {tests} WHERE p > 0), q AS (SELECT family, test, " + SHOWN + " AS text FROM v), r AS (SELECT *, text::DOUBLE AS value, contains(text, 'e') AS sci, length(split_part(text, '.', 2)) AS digits FROM q) SELECT family, test, text, EXISTS (SELECT 1 FROM v WHERE CASE WHEN r.sci THEN abs(v.p - r.value) <= 0.15 * r.value ELSE abs(v.p - r.value) <= 0.5 * pow(10, -r.digits) + 1e-9 END) AS found FROM r"))
 def j12(spark, d):
     """Quoted p values with decimals of their own, some with exponents, against all source values."""
     v = view(spark, d, "tests").select("family", "test", F.col("p").cast("double").alias("p")).where("p > 0")
-    two = F.format_string("%.2f", F.round("p", 2) + F.when(F.length("test") % 3 == 0, 0.01).otherwise(0.0))
-    text = F.when(F.col("p") < 0.02, F.format_string("%.4e", F.col("p") + F.when(F.length("test") % 3 == 0, 0.001).otherwise(0.0))).when(F.length("test") % 2 == 0, two).otherwise(F.format_string("%.4f", F.round("p", 4)))
+    two = F.format_string("%.2f", (F.floor(F.col("p") * 100 + 1e-9) + F.when(F.length("test") % 3 == 0, 1).otherwise(0)) / 100.0)
+    text = F.when(F.col("p") < 0.02, F.format_string("%.4e", F.col("p") + F.when(F.length("test") % 3 == 0, 0.001).otherwise(0.0))).when(F.length("test") % 2 == 0, two).otherwise(F.format_string("%.4f", F.floor(F.col("p") * 10000 + 0.5 + 1e-9) / 10000.0))
     return inf.quoted_text(v.select("family", "test", text.alias("text")), v.select(F.col("p").alias("value")))
 
 
