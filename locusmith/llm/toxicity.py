@@ -37,7 +37,7 @@ from .words import blocks
 
 DIM, BUCKET_BITS, SHORTEST, LONGEST, WINDOW = 16, 17, 3, 6, 5
 BUCKETS, PIECE, SCALE = 1 << BUCKET_BITS, 1 << 16, 1 << 18
-ROUNDS, EPOCHS, RATE, DECAY, BATCH = 2, 8, 0.5, 3e-4, 256
+ROUNDS, EPOCHS, RATE, DECAY, BATCH = 2, 10, 0.5, 3e-4, 256
 PREDICT_FROM = 0.7
 #: Characters that stand for letters in disguised words.
 LOOKALIKES = {"a": "@4", "b": "8", "e": "3", "g": "9", "i": "1!", "l": "1|", "o": "0", "s": "$5", "t": "7+"}
@@ -100,11 +100,11 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owners, buckets = [], []
     for at, _, found, valid in grams(out):
         where = np.flatnonzero(valid)
-        owners.append(np.searchsorted(first, where + at, "right") - 1)
-        buckets.append(found[where])
+        owners.append((np.searchsorted(first, where + at, "right") - 1).astype(np.int32))
+        buckets.append(found[where].astype(np.int32))
     owner, bucket = np.concatenate(owners), np.concatenate(buckets)
     order = np.argsort(owner, kind="stable")
-    return bucket[order].astype(np.int64), np.searchsorted(owner[order], np.arange(len(words) + 1))
+    return bucket[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
 
 
 def text_margins(texts: pa.Array, margins: np.ndarray) -> np.ndarray:
@@ -293,7 +293,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 800, longest: int = 50_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 50_000) -> Model:
     """Fits a model on a bounded sample of labelled rows; only those rows and texts reach the driver."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ordered = usable.withColumn("at", hash_bits(F.col("doc_id"), 15))
