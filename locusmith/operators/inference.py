@@ -128,6 +128,7 @@ def benjamini_hochberg(tests: DataFrame, family: list[str], p: str = "p", out: s
 
 
 def multiplicity_verdict(alpha: float = 0.05) -> Column:
+    # The wording of the verdicts.
     return (
         F.when(F.col("p").isNull(), None).when(F.col("p_holm") < alpha, "survives Holm").when(F.col("q_bh") < alpha, "survives BH only").when(F.col("p") < alpha, "LOST to multiplicity").otherwise("not significant")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .intervals import bin_of, overlap_join
 from .windows import WIN, hash_key
 
+#: Bases of a bin, rows of a window, depth of full scale, base channels and names of the window statistics.
 BIN, ROWS_KEPT, DEPTH_NORM = 64, 64, 60
 BASES = "ACGTN"
 FEATURES = (
