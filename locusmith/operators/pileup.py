@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import bin_of, overlap_join
+from .ranges import numbered
 from .windows import WIN, hash_key
 
 #: Bases of a bin, rows of a window, depth of full scale, base channels and names of the window statistics.
@@ -188,11 +189,12 @@ def standardise(df: DataFrame, columns: list[str], fit_on: DataFrame | None = No
 def running_normaliser(batches: DataFrame, key: str, batch: str, decay: float = 0.99) -> DataFrame:
     """Exponential averages of batch means and variances: the first batch sets them, later ones move them by 1 - decay.
 
-    ``batches`` has (key, batch, mean, var); one row per key comes out, with the number of batches.
+    ``batches`` has (key, batch, mean, var); one row per key comes out, with the number of batches. The recursion is a
+    sum of batches weighted by how many come later, so it is an aggregate over numbered rows.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(batch).alias("b"), F.col("mean").alias("m"), F.col("var").alias("v"))))
-    grouped = batches.groupBy(key).agg(ordered.alias("_all"))
-    start = F.struct(F.col("_all")[0]["m"].alias("m"), F.col("_all")[0]["v"].alias("v"))
-    move = lambda s, x: F.struct((s["m"] * decay + x["m"] * (1 - decay)).alias("m"), (s["v"] * decay + x["v"] * (1 - decay)).alias("v"))
-    state = F.aggregate(F.slice("_all", F.lit(2), F.greatest(F.size("_all") - 1, F.lit(0))), start, move)
-    return grouped.select(key, state["m"].alias("mean"), state["v"].alias("var"), F.size("_all").cast("long").alias("n_batches"))
+    placed = numbered(batches, [key], [batch, "mean", "var"])
+    later = F.col("_all") - 1 - F.col("_at")
+    weight = F.pow(F.lit(decay), later) * F.when(F.col("_at") == 0, 1.0).otherwise(1 - decay)
+    # A batch without a value leaves the state without one.
+    state = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.sum(weight * F.col(c))).alias(c)
+    return placed.groupBy(key).agg(state("mean"), state("var"), F.count(F.lit(1)).alias("n_batches"))

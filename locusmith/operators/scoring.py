@@ -1,7 +1,7 @@
 """Scores against labels: thresholds, average precision, ROC-AUC, calibration, conformal sets, strata and transfer.
 
 Every operator works on any number of groups (arm, seed, fraction ...) at once. Rows are first summed by distinct
-score with partial aggregation, so the running sums see a row per distinct score of a group.
+score with partial aggregation, so the running sums see a row per distinct score of a group, and no task a whole group.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import places, running
+
 GRID = 512
 
 
@@ -34,28 +36,61 @@ def by_score(df: DataFrame, groups: list[str]) -> DataFrame:
     return df.groupBy(*groups, "score").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("cnt"))
 
 
+def _curve(df: DataFrame, groups: list[str]) -> DataFrame:
+    """Distinct scores of each group with pos, cnt, and their sums up to the score (``_upto``) and in the group (``_all``)."""
+    return running(by_score(df, groups), groups, ["score"], ["pos", "cnt"])
+
+
+def _precision_steps() -> Column:
+    above = lambda c: F.col(f"{c}_all") - F.col(f"{c}_upto") + F.col(c)
+    ap = F.sum(F.when(F.col("pos_all") > 0, F.col("pos") / F.col("pos_all") * above("pos") / above("cnt")))
+    one_class = (F.first("pos_all") == 0) | (F.first("pos_all") == F.first("cnt_all"))
+    return F.when(~one_class, ap)
+
+
+def _rank_area() -> Column:
+    rank = F.col("cnt_upto") - F.col("cnt") + (F.col("cnt") + 1) / 2
+    p, q = F.sum("pos"), F.sum(F.col("cnt") - F.col("pos"))
+    return F.when((p > 0) & (q > 0), (F.sum(F.col("pos") * rank) - p * (p + 1) / 2) / (p * q))
+
+
 def average_precision(df: DataFrame, groups: list[str]) -> DataFrame:
     """Step sum of precision over recall, ties stepping together; null for a group of one class."""
-    order = Window.partitionBy(*groups).orderBy(F.desc("score"))
-    total = Window.partitionBy(*groups)
-    steps = by_score(df, groups).withColumns({"tp": F.sum("pos").over(order), "seen": F.sum("cnt").over(order), "n_pos": F.sum("pos").over(total), "n": F.sum("cnt").over(total)})
-    ap = F.sum(F.when(F.col("n_pos") > 0, F.col("pos") / F.col("n_pos") * F.col("tp") / F.col("seen")))
-    one_class = (F.first("n_pos") == 0) | (F.first("n_pos") == F.first("n"))
-    return steps.groupBy(*groups).agg(F.when(~one_class, ap).alias("auprc"))
+    return _curve(df, groups).groupBy(*groups).agg(_precision_steps().alias("auprc"))
 
 
 def roc_auc(df: DataFrame, groups: list[str]) -> DataFrame:
     """Mann-Whitney AUC from tie-averaged ranks; null for a group of one class."""
-    order = Window.partitionBy(*groups).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score(df, groups).withColumn("rank", F.coalesce(F.sum("cnt").over(order), F.lit(0)) + (F.col("cnt") + 1) / 2)
-    sums = ranked.groupBy(*groups).agg(F.sum("pos").alias("p"), F.sum(F.col("cnt") - F.col("pos")).alias("q"), F.sum(F.col("pos") * F.col("rank")).alias("r"))
-    auc = F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q")))
-    return sums.select(*groups, auc.alias("roc_auc"))
+    return _curve(df, groups).groupBy(*groups).agg(_rank_area().alias("roc_auc"))
 
 
 def threshold_free(df: DataFrame, groups: list[str]) -> DataFrame:
-    rate = df.groupBy(*groups).agg(F.avg("label").alias("pos_rate"))
-    return average_precision(df, groups).join(roc_auc(df, groups), groups).join(rate, groups)
+    return _curve(df, groups).groupBy(*groups).agg(_precision_steps().alias("auprc"), _rank_area().alias("roc_auc"), (F.sum("pos") / F.sum("cnt")).alias("pos_rate"))
+
+
+def _cut_arrays(df: DataFrame, groups: list[str], most: int) -> DataFrame:
+    """The thresholds of ``cuts`` as one ascending array ``taus`` of each group.
+
+    Quantiles lie linearly between their neighbours. A score fills the places cnt_upto - cnt to cnt_upto - 1 of its
+    group and takes part in every quantile of which a neighbouring place is one of these; of a group with few
+    distinct scores it stands for itself.
+    """
+    distinct = running(by_score(df, groups).withColumn("one", F.lit(1).cast("long")), groups, ["score"], ["one", "cnt"])
+    last, begin, end = F.col("cnt_all") - 1, F.col("cnt_upto") - F.col("cnt"), F.col("cnt_upto") - 1
+    place = lambda i: last * (i / F.lit(most - 1))
+    within = lambda at: (at >= begin) & (at <= end)
+    nearest = lambda at, step: F.greatest(F.lit(0), F.least(F.lit(most - 1), F.floor(at * (most - 1) / F.greatest(last, F.lit(1))) + step))
+    touched = F.filter(F.sequence(nearest(begin - 1, -1), nearest(end + 1, 1)), lambda i: within(F.floor(place(i))) | within(F.ceil(place(i))))
+    spread = F.transform(touched, lambda i: F.struct(i.cast("long").alias("i"), place(i).alias("at")))
+    itself = F.array(F.struct(F.col("one_upto").alias("i"), begin.cast("double").alias("at")))
+    near = distinct.withColumn("_q", F.explode(F.when(F.col("one_all") <= most, itself).otherwise(spread)))
+    low, high = (F.max(F.when(within(f("_q.at")), F.col("score"))) for f in (F.floor, F.ceil))
+    points = near.groupBy(*groups, "_q").agg(low.alias("low"), high.alias("high"))
+    between = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.ceil("_q.at") - F.col("_q.at")) * F.col("low") + (F.col("_q.at") - F.floor("_q.at")) * F.col("high"))
+    arrays = points.groupBy(*groups).agg(F.sort_array(F.collect_set(between)).alias("us"))
+    middle = F.transform(F.slice("us", F.lit(2), F.size("us")), lambda u, i: (u + F.get("us", i)) / 2)
+    ends = F.when(F.size("us") > 1, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)))
+    return arrays.select(*groups, F.array_sort(F.array_union(ends, middle)).alias("taus"))
 
 
 def cuts(df: DataFrame, groups: list[str], most: int = GRID) -> DataFrame:
@@ -63,30 +98,27 @@ def cuts(df: DataFrame, groups: list[str], most: int = GRID) -> DataFrame:
 
     Where a group has over ``most`` distinct scores, the distinct values of as many quantiles of all scores stand for them.
     """
-    distinct = by_score(df, groups)
-    counted = distinct.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-    few = distinct.join(counted.where(F.col("n") <= most).select(*groups), groups).select(*groups, F.col("score").alias("u"))
-    wide = df.join(counted.where(F.col("n") > most).select(*groups), groups)
-    places = ", ".join(repr(i / (most - 1)) for i in range(most))
-    many = wide.groupBy(*groups).agg(F.array_distinct(F.expr(f"percentile(score, array({places}))")).alias("us")).select(*groups, F.explode("us").alias("u"))
-    points = few.unionByName(many)
-    middle = points.withColumn("tau", (F.col("u") + F.lead("u").over(Window.partitionBy(*groups).orderBy("u"))) / 2)
-    single = points.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).select(*groups, F.explode(F.when(F.col("n") > 1, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)))).alias("tau"))
-    return middle.where("tau IS NOT NULL").select(*groups, "tau").unionByName(single)
+    return _cut_arrays(df, groups, most).select(*groups, F.explode("taus").alias("tau"))
 
 
 def select_threshold(df: DataFrame, groups: list[str], most: int = GRID) -> DataFrame:
     """The least threshold of the greatest F1 on ``df``; 0.5 for a group of one class.
 
-    Scores and thresholds are sorted together, so counts at or above a threshold are one running sum.
+    A group has few thresholds, so its scores are counted by the number of thresholds at or below them; sums of these
+    counts from above are the predictions of each threshold.
     """
-    scores = by_score(df, groups).select(*groups, F.col("score").alias("at"), "pos", "cnt", F.lit(1).alias("is_score"))
-    marks = cuts(df, groups, most).select(*groups, F.col("tau").alias("at"), F.lit(0).alias("pos"), F.lit(0).alias("cnt"), F.lit(0).alias("is_score"))
-    order = Window.partitionBy(*groups).orderBy(F.desc("at"), F.desc("is_score"))
-    total = Window.partitionBy(*groups)
-    swept = scores.unionByName(marks).withColumns({"tp": F.sum("pos").over(order), "seen": F.sum("cnt").over(order), "n_pos": F.sum("pos").over(total), "n": F.sum("cnt").over(total)})
+    own = F.struct(F.lit(0).alias("none"), *groups).alias("_group")
+    taus = _cut_arrays(df, groups, most).select(own, F.col("taus").alias("_taus"))
+    placed = by_score(df, groups).withColumn("_group", own).join(taus, "_group").withColumn("_place", places(F.col("_taus"), F.col("score"), most + 1))
+    counted = placed.groupBy("_group", "_place").agg(F.sum("pos").alias("pos"), F.sum("cnt").alias("cnt"), F.first("_taus").alias("_taus"))
+    # Places without a score count as the next place above that has one; a group has most + 2 of them.
+    filled = counted.groupBy("_group").agg(F.first("_taus").alias("_taus"), F.map_from_entries(F.collect_list(F.struct("_place", F.struct("pos", "cnt")))).alias("_counts"), F.sum("pos").alias("n_pos"), F.sum("cnt").alias("n"))
+    each = filled.select("_group", "n_pos", "n", "_counts", F.posexplode("_taus").alias("_at", "at")).withColumn("_own", F.try_element_at("_counts", F.col("_at") + 1))
+    above = Window.partitionBy("_group").orderBy(F.desc("_at"))
+    sums = {name: F.sum(F.coalesce(F.col(f"_own.{c}"), F.lit(0))).over(above) for name, c in (("tp", "pos"), ("seen", "cnt"))}
+    swept = each.withColumns(sums).select("_group.*", "at", "tp", "seen", "n_pos", "n")
     f1 = f1_columns(F.col("tp"), F.col("seen") - F.col("tp"), F.col("n_pos") - F.col("tp"))[2]
-    best = swept.where("is_score = 0").withColumn("f1", F.round(f1, 12)).groupBy(*groups).agg(F.max_by("at", F.struct(F.col("f1"), -F.col("at"))).alias("tau"), F.first("n_pos").alias("p"), F.first("n").alias("n"))
+    best = swept.withColumn("f1", F.round(f1, 12)).groupBy(*groups).agg(F.max_by("at", F.struct(F.col("f1"), -F.col("at"))).alias("tau"), F.first("n_pos").alias("p"), F.first("n").alias("n"))
     return best.select(*groups, F.when((F.col("p") == 0) | (F.col("p") == F.col("n")), 0.5).otherwise(F.col("tau")).alias("tau"))
 
 
@@ -127,19 +159,25 @@ def calibration_error(df: DataFrame, groups: list[str], bins: int = 15) -> DataF
 
 
 def temperature(df: DataFrame, groups: list[str], grid: tuple[float, ...]) -> DataFrame:
-    """The temperature of the grid that minimises the mean negative log likelihood of sigmoid(logit / T); ``df`` has logit and label."""
-    z = F.col("logit") / F.col("t")
-    loss = F.when(z > 0, F.log1p(F.exp(-z)) + z * (1 - F.col("label"))).otherwise(F.log1p(F.exp(z)) - z * F.col("label"))
-    tried = df.withColumn("t", F.explode(F.array(*[F.lit(float(t)) for t in grid]))).groupBy(*groups, "t").agg(F.avg(loss).alias("nll"))
-    best = F.min_by(F.struct("t", "nll"), F.struct(F.round("nll", 12), F.col("t")))
-    return tried.groupBy(*groups).agg(best.alias("b")).select(*groups, F.col("b.t").alias("temperature"), F.col("b.nll").alias("nll"))
+    """The temperature of the grid that minimises the mean negative log likelihood of sigmoid(logit / T); ``df`` has logit and label.
+
+    Every temperature is an aggregate of its own, so no row is repeated for one.
+    """
+
+    def loss(t: float) -> Column:
+        z = F.col("logit") / F.lit(t)
+        return F.avg(F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - z * F.col("label"))
+
+    losses = df.groupBy(*groups).agg(*[loss(float(t)).alias(f"_{i}") for i, t in enumerate(grid)])
+    each = [F.struct(F.round(f"_{i}", 12).alias("r"), F.lit(float(t)).alias("t"), F.col(f"_{i}").alias("nll")) for i, t in enumerate(grid)]
+    return losses.withColumn("b", F.array_min(F.array(*each))).select(*groups, F.col("b.t").alias("temperature"), F.col("b.nll").alias("nll"))
 
 
 def conformal_threshold(df: DataFrame, groups: list[str], alpha: float = 0.1) -> DataFrame:
     """Order statistic of the nonconformity of calibration rows at ceil((n + 1)(1 - alpha)) / n, at most 1, taken from above."""
     s = F.when(F.col("label") == 1, 1 - F.col("score")).otherwise(F.col("score"))
     counts = df.select(*groups, s.alias("s")).groupBy(*groups, "s").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = counts.withColumns({"upto": F.sum("cnt").over(Window.partitionBy(*groups).orderBy("s")), "n": F.sum("cnt").over(Window.partitionBy(*groups))})
+    ranked = running(counts, groups, ["s"], ["cnt"]).withColumnsRenamed({"cnt_upto": "upto", "cnt_all": "n"})
     q = F.least(F.ceil((F.col("n") + 1) * (1 - alpha)) / F.col("n"), F.lit(1.0))
     place = F.ceil(F.round(q * (F.col("n") - 1), 9)) + 1
     return ranked.where(F.col("upto") >= place).groupBy(*groups).agg(F.min("s").alias("qhat"))

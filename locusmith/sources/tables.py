@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
+
 SENTINELS = {"label": -1, "geno": -1, "del_len": -1, "bp0": float("nan"), "bp1": float("nan")}
 
 
@@ -15,8 +17,7 @@ def write_windows(windows: DataFrame, path: str, rows: int = 1024) -> None:
 
 def with_shards(windows: DataFrame, groups: list[str], order: list[str], rows: int = 1024) -> DataFrame:
     """Numbers rows within each group and cuts them into shards of ``rows``."""
-    at = F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1
-    return windows.withColumn("shard", F.floor(at / rows).cast("long"))
+    return numbered(windows, groups, order).withColumn("shard", F.floor(F.col("_at") / rows).cast("long")).drop("_at", "_all")
 
 
 def manifest(sharded: DataFrame, groups: list[str]) -> DataFrame:

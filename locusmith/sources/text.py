@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.intervals import merge_intervals
 from ..operators.windows import normal_chrom
 
+#: Bases of a block of a stored sequence.
+BLOCK = 1 << 16
 VCF = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 
 
@@ -97,6 +99,23 @@ def load_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parse_fasta(spark.read.option("lineSep", ">").text(path))
 
 
-def slices(sequences: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The bases of each range (chrom, start, stop)."""
-    return ranges.join(sequences, "chrom").select(*ranges.columns, F.substring("sequence", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("bases"))
+def blocks(sequences: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(chrom, block, bases): sequences in pieces of ``size`` bases, numbered from 0."""
+    pieces = F.regexp_extract_all("sequence", F.lit("(?s).{1,%d}" % size), F.lit(0))
+    return sequences.select("chrom", F.posexplode(pieces).alias("block", "bases")).withColumn("block", F.col("block").cast("long"))
+
+
+def slices(sequences: DataFrame, ranges: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The bases of each range (chrom, start, stop) of a known chrom, as far as its sequence goes.
+
+    Ranges meet blocks of the sequence in an equi join, so no row holds a whole sequence beside a range.
+    """
+    keys = ["chrom", "start", "stop"]
+    first, last = F.floor(F.col("start") / size), F.floor((F.greatest(F.col("stop"), F.col("start") + 1) - 1) / size)
+    asked = ranges.select(*keys).distinct().withColumn("block", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.col("start") - F.col("block") * size, F.lit(0))
+    end = F.least(F.col("stop") - F.col("block") * size, F.lit(size))
+    piece = F.substring("bases", (begin + 1).cast("int"), (end - begin).cast("int"))
+    met = asked.join(blocks(sequences, size), ["chrom", "block"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", piece.alias("piece")))).alias("_pieces"))
+    known = ranges.join(sequences.select("chrom"), "chrom", "left_semi")
+    return known.join(met, keys, "left").select(*ranges.columns, F.coalesce(F.array_join("_pieces.piece", ""), F.lit("")).alias("bases"))
