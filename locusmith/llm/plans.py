@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, langid, licenses, mixing, neardup, ogg, resample, secrets, sharding, toxicity
-from .common import documents, table
+from . import conversations, decontaminate, filter_audit, langid, licenses, mixing, neardup, ogg, resample, secrets, sharding, toxicity, warc
+from .common import documents, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,9 +54,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_resample_quality, op2_mix_sources, op3_decontaminate, op4_ogg_media, op5_toxicity, op6_license_scan, op7_language_id, op8_shard_documents, op9_near_duplicates, op10_secret_scan)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_resample_quality, op2_mix_sources, op3_decontaminate, op4_ogg_media, op5_toxicity, op6_license_scan, op7_language_id, op8_shard_documents, op9_near_duplicates, op10_secret_scan, op11_filter_audit, op12_conversation_repair, op13_warc_archives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.SQL, "op3_decontaminate": decontaminate.SQL}
+    return {"op2_mix_sources": mixing.SQL, "op3_decontaminate": decontaminate.SQL, "op11_filter_audit": filter_audit.SQL, "op13_warc_archives": warc.SQL}
