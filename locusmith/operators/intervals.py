@@ -28,10 +28,28 @@ def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_island")
 
 
-def merge_intervals(df: DataFrame, width: int = 1 << 20) -> DataFrame:
-    """Disjoint union per chrom; touching intervals merge. Merged inside wide bins first, then across them."""
-    local = _islands(df.select("chrom", "start", "stop", bin_of("start", width).alias("_wide")), ["chrom", "_wide"])
-    return _islands(local.select("chrom", "start", "stop"), ["chrom"]).select("chrom", "start", "stop")
+def merge_intervals(df: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Disjoint union per chrom; touching intervals merge.
+
+    Every wide bin merges the intervals that begin in it, at most one a start. An island that begins within the reach of
+    earlier bins goes on with what they hold; of each bin only these, as one, and its last other island can meet another
+    bin's, so the second level sees two rows a bin.
+    """
+    longest = df.groupBy("chrom", "start").agg(F.max("stop").alias("stop")).withColumn("_wide", bin_of("start", width))
+    local = _islands(longest, ["chrom", "_wide"])
+    along = Window.partitionBy("chrom").orderBy("_wide")
+    reach = local.groupBy("chrom", "_wide").agg(F.max("stop").alias("_stop"))
+    reach = reach.select("chrom", "_wide", F.max("_stop").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_reach"))
+    placed = local.join(reach, ["chrom", "_wide"]).withColumn("_head", F.col("_reach").isNull() | (F.col("start") > F.col("_reach")))
+    last = Window.partitionBy("chrom", "_wide", "_head").orderBy(F.desc("start"))
+    ranked = placed.withColumn("_last", F.col("_head") & (F.row_number().over(last) == 1))
+    inner = ranked.where("_head AND NOT _last").select("chrom", "start", "stop")
+    edges = ranked.where("_last OR NOT _head").groupBy("chrom", "_wide", "_last").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    # In a bin, what goes on from earlier bins comes before the last island of its own.
+    order = Window.partitionBy("chrom").orderBy("_wide", "_last")
+    owned = edges.withColumn("_from", F.last(F.when(F.col("_last"), F.col("start")), ignorenulls=True).over(order))
+    outer = owned.groupBy("chrom", "_from").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return inner.unionByName(outer.select("chrom", "start", "stop"))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, prefix: str = "r_", width: int = WIDTH, bin_left: bool = True) -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from .intervals import bin_of, overlap_join
 from .ranges import numbered
+from .scans import step_profile, sums_before
 from .windows import WIN, hash_key
 
 #: Bases of a bin, rows of a window, depth of full scale, base channels and names of the window statistics.
 BIN, ROWS_KEPT, DEPTH_NORM = 64, 64, 60
+#: Bins of a wide bin.
+WIDE = 4096
 BASES = "ACGTN"
 FEATURES = (
     "depth_mean", "depth_sd", "depth_min", "depth_centre_flank_ratio", "depth_max_drop", "discordant_rate", "clip_rate", "isize_absz_mean",
@@ -24,32 +27,28 @@ FEATURES = (
 def coverage(reads: DataFrame, bin_bp: int = BIN) -> DataFrame:
     """(chrom, bin, depth): reads over each bin from the first to the last that a chrom's reads touch, from +1 and -1 steps.
 
-    A read covers the bins from start // bin_bp to stop // bin_bp, both included. Steps are summed by bin before the
-    running sum, so the sum sees a row a bin, not a row a read.
+    A read covers the bins from start // bin_bp to stop // bin_bp, both included. Steps are summed by bin, and run over
+    in wide bins of ``WIDE`` bins, so no task sees a chrom.
     """
     first, last = bin_of("start", bin_bp), bin_of("stop", bin_bp)
     steps = reads.select("chrom", F.explode(F.array(F.struct(first.alias("bin"), F.lit(1).alias("step")), F.struct((last + 1).alias("bin"), F.lit(-1).alias("step")))).alias("s"))
     summed = steps.groupBy("chrom", "s.bin").agg(F.sum("s.step").alias("step"))
-    order = Window.partitionBy("chrom").orderBy("bin")
-    runs = summed.withColumn("depth", F.sum("step").over(order)).withColumn("until", F.lead("bin").over(order)).where("until IS NOT NULL")
-    return runs.select("chrom", F.explode(F.sequence("bin", F.col("until") - 1)).alias("bin"), "depth")
+    return step_profile(summed, ["chrom"], "bin", "step", WIDE, "depth")
 
 
 def centre_flank(profile: DataFrame, windows: DataFrame, bin_bp: int = BIN) -> DataFrame:
     """Windows (chrom, start, span) with the depth of the middle half over that of the outer quarters; null where these are empty.
 
-    Prefix sums of the profile turn each of four positions into one equi join.
+    The four corners of each distinct window are rows of the profile's running sum, and meet again by their window.
     """
-    sums = profile.select("chrom", (F.col("bin") + 1).alias("_at"), F.sum("depth").over(Window.partitionBy("chrom").orderBy("bin")).alias("_upto"))
-    ends = sums.groupBy("chrom").agg(F.max("_at").alias("_last"), F.max("_upto").alias("_all"))
-    corners = {"_a": F.col("start"), "_b": F.col("start") + F.floor(F.col("span") / 4), "_c": F.col("start") + F.floor(F.col("span") * 3 / 4), "_d": F.col("start") + F.col("span")}
-    out = windows.join(ends, "chrom", "left")
-    for name, position in corners.items():
-        own = sums.select("chrom", F.col("_at").alias(f"{name}_bin"), F.col("_upto").alias(f"{name}_sum"))
-        out = out.withColumn(f"{name}_bin", bin_of(position, bin_bp)).join(own, ["chrom", f"{name}_bin"], "left")
-        out = out.withColumn(name, F.coalesce(f"{name}_sum", F.when(F.col(f"{name}_bin") >= F.col("_last"), F.col("_all")), F.lit(0)))
-    centre, flank = F.col("_c") - F.col("_b"), F.col("_b") - F.col("_a") + F.col("_d") - F.col("_c")
-    return out.select(*windows.columns, F.when(flank > 0, centre / flank).alias("ratio"))
+    at = [F.col("start"), F.col("start") + F.floor(F.col("span") / 4), F.col("start") + F.floor(F.col("span") * 3 / 4), F.col("start") + F.col("span")]
+    corners = F.array(*[F.struct(F.lit(i).alias("i"), bin_of(position, bin_bp).alias("bin")) for i, position in enumerate(at)])
+    points = windows.select("chrom", "start", "span").distinct().withColumn("c", F.explode(corners)).select("chrom", "start", "span", "c.i", "c.bin")
+    sums = sums_before(profile, points, ["chrom"], "bin", "depth", WIDE, "upto")
+    corner = lambda i: F.max(F.when(F.col("i") == i, F.col("upto")))
+    centre, flank = corner(2) - corner(1), corner(1) - corner(0) + corner(3) - corner(2)
+    ratios = sums.groupBy("chrom", "start", "span").agg(F.when(flank > 0, centre / flank).alias("ratio"))
+    return windows.join(ratios, ["chrom", "start", "span"], "left").select(*windows.columns, "ratio")
 
 
 def insert_size(reads: DataFrame, first: int = 2000) -> DataFrame:
