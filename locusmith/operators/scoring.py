@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import places, running
+from .ranges import halves, places, running
+from .stored import stored
 
 GRID = 512
 
@@ -28,6 +29,18 @@ def prf_at(df: DataFrame, groups: list[str], tau: Column | float = 0.5, suffix:
     """Precision, recall and F1 of predicting positive from ``tau`` on (a constant or a column that is constant in a group)."""
     hit = F.col("score") >= (tau if isinstance(tau, Column) else F.lit(float(tau)))
     counts = df.groupBy(*groups).agg(F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit & (F.col("label") == 0)).alias("fp"), F.count_if(~hit & (F.col("label") == 1)).alias("fn"))
+    return _from_counts(counts, groups, suffix)
+
+
+def _prf(scores: DataFrame, groups: list[str], tau: Column | float, suffix: str) -> DataFrame:
+    """``prf_at`` of counted scores (see ``by_score``)."""
+    hit = F.col("score") >= (tau if isinstance(tau, Column) else F.lit(float(tau)))
+    total = lambda test, value: F.coalesce(F.sum(F.when(test, value)), F.lit(0)).cast("long")
+    counts = scores.groupBy(*groups).agg(total(hit, F.col("pos")).alias("tp"), total(hit, F.col("cnt") - F.col("pos")).alias("fp"), total(~hit, F.col("pos")).alias("fn"))
+    return _from_counts(counts, groups, suffix)
+
+
+def _from_counts(counts: DataFrame, groups: list[str], suffix: str) -> DataFrame:
     p, r, f = f1_columns(F.col("tp"), F.col("fp"), F.col("fn"))
     return counts.select(*groups, p.alias(f"p_{suffix}"), r.alias(f"r_{suffix}"), f.alias(f"f1_{suffix}"))
 
@@ -36,9 +49,9 @@ def by_score(df: DataFrame, groups: list[str]) -> DataFrame:
     return df.groupBy(*groups, "score").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("cnt"))
 
 
-def _curve(df: DataFrame, groups: list[str]) -> DataFrame:
+def _curve(scores: DataFrame, groups: list[str], kept: bool = False) -> DataFrame:
     """Distinct scores of each group with pos, cnt, and their sums up to the score (``_upto``) and in the group (``_all``)."""
-    return running(by_score(df, groups), groups, ["score"], ["pos", "cnt"])
+    return running(scores, groups, ["score"], ["pos", "cnt"], kept)
 
 
 def _precision_steps() -> Column:
@@ -56,26 +69,30 @@ def _rank_area() -> Column:
 
 def average_precision(df: DataFrame, groups: list[str]) -> DataFrame:
     """Step sum of precision over recall, ties stepping together; null for a group of one class."""
-    return _curve(df, groups).groupBy(*groups).agg(_precision_steps().alias("auprc"))
+    return _curve(by_score(df, groups), groups).groupBy(*groups).agg(_precision_steps().alias("auprc"))
 
 
 def roc_auc(df: DataFrame, groups: list[str]) -> DataFrame:
     """Mann-Whitney AUC from tie-averaged ranks; null for a group of one class."""
-    return _curve(df, groups).groupBy(*groups).agg(_rank_area().alias("roc_auc"))
+    return _curve(by_score(df, groups), groups).groupBy(*groups).agg(_rank_area().alias("roc_auc"))
 
 
 def threshold_free(df: DataFrame, groups: list[str]) -> DataFrame:
-    return _curve(df, groups).groupBy(*groups).agg(_precision_steps().alias("auprc"), _rank_area().alias("roc_auc"), (F.sum("pos") / F.sum("cnt")).alias("pos_rate"))
+    return _free(by_score(df, groups), groups)
+
+
+def _free(scores: DataFrame, groups: list[str], kept: bool = False) -> DataFrame:
+    return _curve(scores, groups, kept).groupBy(*groups).agg(_precision_steps().alias("auprc"), _rank_area().alias("roc_auc"), (F.sum("pos") / F.sum("cnt")).alias("pos_rate"))
 
 
-def _cut_arrays(df: DataFrame, groups: list[str], most: int) -> DataFrame:
-    """The thresholds of ``cuts`` as one ascending array ``taus`` of each group.
+def _cut_arrays(scores: DataFrame, groups: list[str], most: int, kept: bool = False) -> DataFrame:
+    """The thresholds of ``cuts`` as one ascending array ``taus`` of each group of counted scores.
 
     Quantiles lie linearly between their neighbours. A score fills the places cnt_upto - cnt to cnt_upto - 1 of its
     group and takes part in every quantile of which a neighbouring place is one of these; of a group with few
     distinct scores it stands for itself.
     """
-    distinct = running(by_score(df, groups).withColumn("one", F.lit(1).cast("long")), groups, ["score"], ["one", "cnt"])
+    distinct = running(scores.withColumn("one", F.lit(1).cast("long")), groups, ["score"], ["one", "cnt"], kept)
     last, begin, end = F.col("cnt_all") - 1, F.col("cnt_upto") - F.col("cnt"), F.col("cnt_upto") - 1
     place = lambda i: last * (i / F.lit(most - 1))
     within = lambda at: (at >= begin) & (at <= end)
@@ -98,7 +115,7 @@ def cuts(df: DataFrame, groups: list[str], most: int = GRID) -> DataFrame:
 
     Where a group has over ``most`` distinct scores, the distinct values of as many quantiles of all scores stand for them.
     """
-    return _cut_arrays(df, groups, most).select(*groups, F.explode("taus").alias("tau"))
+    return _cut_arrays(by_score(df, groups), groups, most).select(*groups, F.explode("taus").alias("tau"))
 
 
 def select_threshold(df: DataFrame, groups: list[str], most: int = GRID) -> DataFrame:
@@ -108,8 +125,9 @@ def select_threshold(df: DataFrame, groups: list[str], most: int = GRID) -> Data
     counts from above are the predictions of each threshold.
     """
     own = F.struct(F.lit(0).alias("none"), *groups).alias("_group")
-    taus = _cut_arrays(df, groups, most).select(own, F.col("taus").alias("_taus"))
-    placed = by_score(df, groups).withColumn("_group", own).join(taus, "_group").withColumn("_place", places(F.col("_taus"), F.col("score"), most + 1))
+    scores = stored(by_score(df, groups))
+    taus = _cut_arrays(scores, groups, most, True).select(own, F.col("taus").alias("_taus"), halves(F.size("taus")).alias("_halves"))
+    placed = scores.withColumn("_group", own).join(taus, "_group").withColumn("_place", places(F.col("_taus"), F.col("score"), F.col("_halves")))
     counted = placed.groupBy("_group", "_place").agg(F.sum("pos").alias("pos"), F.sum("cnt").alias("cnt"), F.first("_taus").alias("_taus"))
     # Places without a score count as the next place above that has one; a group has most + 2 of them.
     filled = counted.groupBy("_group").agg(F.first("_taus").alias("_taus"), F.map_from_entries(F.collect_list(F.struct("_place", F.struct("pos", "cnt")))).alias("_counts"), F.sum("pos").alias("n_pos"), F.sum("cnt").alias("n"))
@@ -124,11 +142,12 @@ def select_threshold(df: DataFrame, groups: list[str], most: int = GRID) -> Data
 
 def score_arms(test: DataFrame, validation: DataFrame | None, groups: list[str]) -> DataFrame:
     """The full metric record of each group: threshold-free metrics, and P, R and F1 at 0.5 and at the selected threshold."""
-    record = threshold_free(test, groups).join(prf_at(test, groups), groups)
+    scores = stored(by_score(test, groups))
+    record = _free(scores, groups, True).join(_prf(scores, groups, 0.5, "at_half"), groups)
     taus = select_threshold(validation, groups).withColumn("tau_selected", F.lit(True)) if validation is not None else None
     keyed = record.join(taus, groups, "left") if taus is not None else record.withColumns({"tau": F.lit(0.5), "tau_selected": F.lit(False)})
     keyed = keyed.withColumns({"tau": F.coalesce("tau", F.lit(0.5)), "tau_selected": F.coalesce("tau_selected", F.lit(False))})
-    at_tau = prf_at(test.join(keyed.select(*groups, "tau"), groups), groups, F.col("tau"), "at_tau")
+    at_tau = _prf(scores.join(keyed.select(*groups, "tau"), groups), groups, F.col("tau"), "at_tau")
     return keyed.join(at_tau, groups).withColumns({"F1": F.col("f1_at_half"), "P": F.col("p_at_half"), "R": F.col("r_at_half")})
 
 

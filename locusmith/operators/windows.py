@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import contained_in, not_overlapping
+from .ranges import firsts, mark_firsts, meet, quantiles
+from .stored import stored
 
 WIN = 256
 SCALES = (1, 2, 4, 8, 16, 32, 64)
@@ -93,8 +95,8 @@ def quotas(positives: DataFrame, groups: list[str], per_positive: int = 3) -> Da
 
 def sample_to_quota(pool: DataFrame, wanted: DataFrame, groups: list[str], seed: int | str = 0) -> DataFrame:
     """The first rows of each group by hash, up to the group's quota."""
-    ranked = pool.withColumn("_rank", F.row_number().over(Window.partitionBy(*groups).orderBy(hash_key(seed, "chrom", "start", "bin_size"), "chrom", "start", "bin_size")))
-    return ranked.join(wanted, groups).where(F.col("_rank") <= F.col("quota")).drop("_rank", "quota")
+    placed = pool.withColumn("_hash", hash_key(seed, "chrom", "start", "bin_size"))
+    return firsts(placed, groups, ["_hash", "chrom", "start", "bin_size"], wanted, "quota").drop("_hash")
 
 
 def unplaced(sampled: DataFrame, wanted: DataFrame, groups: list[str]) -> DataFrame:
@@ -106,31 +108,30 @@ def match_strata(positives: DataFrame, pool: DataFrame, groups: list[str], value
     """Rows of the pool whose distribution of ``value`` follows the positives', within each group.
 
     Strata are the positives' quantiles; each takes its share of the quota at random (by hash), and what that leaves
-    open is filled by closeness to the positives' median.
+    open is filled by closeness to the positives' median. Both tables are read several times, so they had best be stored
+    (see ``stored``). Quantiles come from counted values, and both draws sort the
+    range of a group in which its limit lies, so no group is in one task.
     """
     inner = [i / strata for i in range(1, strata)]
-    cuts = positives.groupBy(*groups).agg(
-        F.array_sort(F.array_distinct(F.expr(f"percentile({value}, array({', '.join(map(str, inner))}))"))).alias("cuts"),
-        F.expr(f"percentile({value}, 0.5)").alias("median"),
-        F.count(F.lit(1)).alias("n_pos"),
-    )
+    total = positives.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_pos"))
+    found = quantiles(positives, groups, value, [*inner, 0.5]).join(total, groups)
+    cuts = found.select(*groups, F.array_sort(F.array_distinct(F.slice("quantiles", 1, len(inner)))).alias("cuts"), F.element_at("quantiles", -1).alias("median"), "n_pos")
     stratum = F.size(F.filter("cuts", lambda c: c <= F.col(value)))
-    of_pos = positives.join(cuts, groups).withColumn("stratum", stratum).groupBy(*groups, "stratum").agg(F.count(F.lit(1)).alias("n_in"))
+    of_pos = meet(positives, cuts.drop("n_pos"), groups, [value]).withColumn("stratum", stratum).groupBy(*groups, "stratum").agg(F.count(F.lit(1)).alias("n_in"))
     size = pool.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_pool"))
     limits = cuts.join(size, groups).withColumn("keep", F.least(F.col("n_pos") * per_positive, F.col("n_pool")))
     wants = of_pos.join(limits, groups).select(*groups, "stratum", F.floor(F.col("n_in") / F.col("n_pos") * F.col("keep")).cast("long").alias("want"))
-    placed = pool.join(limits.select(*groups, "cuts", "median", "keep"), groups).withColumn("stratum", stratum)
-    at_random = Window.partitionBy(*groups, "stratum").orderBy(hash_key(seed, *keys), *keys)
-    ranked = placed.withColumn("_rank", F.row_number().over(at_random)).join(wants, [*groups, "stratum"], "left").withColumn("first", F.col("_rank") <= F.coalesce("want", F.lit(0)))
-    whole = Window.partitionBy(*groups)
-    closest = Window.partitionBy(*groups, "first").orderBy(F.abs(F.col(value) - F.col("median")), *keys)
-    filled = ranked.withColumn("_got", F.sum(F.col("first").cast("long")).over(whole)).withColumn("_next", F.row_number().over(closest))
-    return filled.where(F.col("first") | (F.col("_next") <= F.col("keep") - F.col("_got"))).select(*pool.columns, "stratum", "first")
+    placed = meet(pool, limits.select(*groups, "cuts", "median"), groups, keys).withColumns({"stratum": stratum, "_hash": hash_key(seed, *keys), "_gap": F.abs(F.col(value) - F.col("median"))})
+    drawn = stored(mark_firsts(placed.drop("cuts", "median"), [*groups, "stratum"], ["_hash", *keys], wants, "want", "first"))
+    got = drawn.where("first").groupBy(*groups).agg(F.count(F.lit(1)).alias("got"))
+    open_ = limits.join(got, groups, "left").select(*groups, (F.col("keep") - F.coalesce("got", F.lit(0))).alias("open"))
+    filled = firsts(drawn.where("NOT first"), groups, ["_gap", *keys], open_, "open")
+    return drawn.where("first").unionByName(filled).select(*pool.columns, "stratum", "first")
 
 
 def match_offset(positives: DataFrame, kept: DataFrame, groups: list[str], value: str) -> DataFrame:
     """|median of positives - median of kept| of each group."""
-    middle = lambda df, name: df.groupBy(*groups).agg(F.expr(f"percentile({value}, 0.5)").alias(name))
+    middle = lambda df, name: quantiles(df, groups, value, [0.5]).select(*groups, F.col("quantiles")[0].alias(name))
     return middle(positives, "pos_median").join(middle(kept, "neg_median"), groups).withColumn("offset", F.abs(F.col("pos_median") - F.col("neg_median")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import intervals as iv
 from ..operators import pileup as pl
 from ..operators import windows as wn
+from ..operators.stored import stored
 from .interval_queries import POOL, SCALES, _pool
 from .pileup_queries import COVER, round_all
 from .registry import register
@@ -35,7 +36,7 @@ offsets AS (SELECT p.chrom, p.bin_size, pos_median, neg_median, abs(pos_median -
 
 def _scored(spark, d):
     """Positives and pool with finite depth ratios."""
-    profile = pl.coverage(view(spark, d, "reads"))
+    profile = stored(pl.coverage(view(spark, d, "reads")))
     placed = wn.positive_windows(view(spark, d, "truth"), view(spark, d, "contigs")).where(F.col("bin_size").isin(*SCALES))
     pos = placed.select("chrom", "bin_size", F.col("win_start").alias("start"), "span")
     pool = _pool(spark, d, True).withColumn("span", F.col("stop") - F.col("start"))
@@ -43,7 +44,7 @@ def _scored(spark, d):
 
 
 def _matched(spark, d):
-    pos, pool = _scored(spark, d)
+    pos, pool = map(stored, _scored(spark, d))
     return pos, wn.match_strata(pos, pool, GROUPS, "ratio", ["chrom", "start", "bin_size"])
 
 
@@ -68,7 +69,7 @@ def c7(spark, d):
 
 @register("c8_matched_groups", sql_over("WITH " + MATCHED + " SELECT k.chrom, k.bin_size, count(*) AS n_kept, count(*) FILTER (first) AS n_by_stratum, min(keep) AS quota FROM kept k GROUP BY k.chrom, k.bin_size"))
 def c8(spark, d):
-    pos, pool = _scored(spark, d)
+    pos, pool = map(stored, _scored(spark, d))
     kept = wn.match_strata(pos, pool, GROUPS, "ratio", ["chrom", "start", "bin_size"])
     size = pool.groupBy(*GROUPS).agg(F.count(F.lit(1)).alias("n_pool"))
     quota = pos.groupBy(*GROUPS).agg((F.count(F.lit(1)) * 3).alias("want")).join(size, GROUPS).select(*GROUPS, F.least("want", "n_pool").alias("quota"))

@@ -8,11 +8,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset, on this machine, on a local master only."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder of this machine, on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-tables-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
