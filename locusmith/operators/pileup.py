@@ -96,28 +96,52 @@ def aligned_runs(reads: DataFrame) -> DataFrame:
     return runs.withColumns({"run_q": F.col("run.q"), "run_r": F.col("run.r"), "run_len": F.col("run.len")}).drop("run")
 
 
-def aligned_pairs(windows: DataFrame, reads: DataFrame) -> DataFrame:
-    """(window columns, read columns, q, col): the aligned bases of reads inside windows (chrom, start, stop, bin_size, window_id).
+def window_runs(windows: DataFrame, reads: DataFrame) -> DataFrame:
+    """(window columns, read columns with r_): the aligned runs of reads that lie in windows (chrom, start, stop, bin_size, window_id).
 
-    Reads meet windows in a binned range join; a run is cut to the window before its bases are made rows.
+    Reads meet windows in one binned range join; depth and cells both follow from it, so it is best stored once.
     """
-    met = overlap_join(windows, aligned_runs(reads).withColumns({"start": F.col("run_r"), "stop": F.col("run_r") + F.col("run_len")}), "r_")
-    first = F.greatest(F.lit(0), F.col("start") - F.col("r_run_r"))
-    last = F.least(F.col("r_run_len"), F.col("stop") - F.col("r_run_r")) - 1
-    based = met.withColumn("_i", F.explode(F.sequence(first, last)))
-    return based.withColumns({"q": F.col("r_run_q") + F.col("_i"), "col": F.floor((F.col("r_run_r") + F.col("_i") - F.col("start")) / F.col("bin_size")).cast("long")}).drop("_i")
+    return overlap_join(windows, aligned_runs(reads).withColumns({"start": F.col("run_r"), "stop": F.col("run_r") + F.col("run_len")}), "r_")
+
+
+def _ends() -> tuple[Column, Column]:
+    """First and last base, counted from the run's beginning, of a run in its window."""
+    return F.greatest(F.lit(0), F.col("start") - F.col("r_run_r")), F.least(F.col("r_run_len"), F.col("stop") - F.col("r_run_r")) - 1
+
+
+def _column(i: Column) -> Column:
+    return F.floor((F.col("r_run_r") + i - F.col("start")) / F.col("bin_size")).cast("long")
+
+
+def spelt(runs: DataFrame) -> DataFrame:
+    """A row for each base of window runs, with its place ``q`` in the read and its column ``col``."""
+    based = runs.withColumn("_i", F.explode(F.sequence(*_ends())))
+    return based.withColumns({"q": F.col("r_run_q") + F.col("_i"), "col": _column(F.col("_i"))}).drop("_i")
+
 
+def aligned_pairs(windows: DataFrame, reads: DataFrame) -> DataFrame:
+    """(window columns, read columns, q, col): the aligned bases of reads inside windows; a run is cut to the window before its bases are made rows."""
+    return spelt(window_runs(windows, reads))
+
+
+def column_depth(runs: DataFrame) -> DataFrame:
+    """(window_id, col, depth): reads over each column, each once, over 60 times the column's bases, at most 1.
+
+    A run is a row for each column that it touches, not for each base.
+    """
+    first, last = _ends()
+    touched = runs.select("window_id", "bin_size", "r_read_id", F.explode(F.sequence(_column(first), _column(last))).alias("col"))
+    return touched.groupBy("window_id", "col", "bin_size").agg(F.count_distinct("r_read_id").alias("n")).select("window_id", "col", F.least(F.col("n") / (F.col("bin_size") * DEPTH_NORM), F.lit(1.0)).alias("depth"))
 
-def column_depth(pairs: DataFrame) -> DataFrame:
-    """(window_id, col, depth): reads over each column, each once, over 60 times the column's bases, at most 1."""
-    return pairs.groupBy("window_id", "col", "bin_size").agg(F.count_distinct("r_read_id").alias("n")).select("window_id", "col", F.least(F.col("n") / (F.col("bin_size") * DEPTH_NORM), F.lit(1.0)).alias("depth"))
 
+def keep_rows(runs: DataFrame, rows: int = ROWS_KEPT, seed: int | str = 0) -> DataFrame:
+    """The runs of up to ``rows`` reads of each window, by hash, drawn before bases are made rows.
 
-def keep_rows(pairs: DataFrame, rows: int = ROWS_KEPT, seed: int | str = 0) -> DataFrame:
-    """The pairs of up to ``rows`` reads of each window, by hash."""
-    reads = pairs.select("window_id", "r_read_id").distinct()
-    ranked = reads.withColumn("_rank", F.row_number().over(Window.partitionBy("window_id").orderBy(hash_key(seed, "r_read_id"), "r_read_id")))
-    return pairs.join(ranked.where(F.col("_rank") <= rows).drop("_rank"), ["window_id", "r_read_id"], "left_semi")
+    The limit on the rank lets each task keep its first reads of a window before the shuffle.
+    """
+    reads = runs.select("window_id", "r_read_id").distinct().withColumn("_hash", hash_key(seed, "r_read_id"))
+    ranked = reads.withColumn("_rank", F.row_number().over(Window.partitionBy("window_id").orderBy("_hash", "r_read_id")))
+    return runs.join(ranked.where(F.col("_rank") <= rows).select("window_id", "r_read_id"), ["window_id", "r_read_id"], "left_semi")
 
 
 def cells(pairs: DataFrame) -> DataFrame:
@@ -128,12 +152,19 @@ def cells(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("window_id", F.col("r_read_id").alias("read_id"), "col").agg(*[fraction(b).alias(f"base_{b.lower()}") for b in BASES[:4]], quality.alias("base_quality"), *signals)
 
 
-def reference_columns(windows: DataFrame, reference: DataFrame) -> DataFrame:
-    """(window_id, col) base fractions of reference bases (chrom, pos, base) in each column; what is unknown is N."""
-    at = reference.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop"), "base")
-    met = overlap_join(windows, at, "b_").withColumn("col", F.floor((F.col("b_start") - F.col("start")) / F.col("bin_size")).cast("long"))
-    counts = met.groupBy("window_id", "col", "bin_size").agg(*[(F.count_if(F.col("b_base") == b) / F.col("bin_size")).alias(f"ref_{b.lower()}") for b in BASES[:4]])
-    return counts.withColumn("ref_n", 1 - sum((F.col(f"ref_{b.lower()}") for b in BASES[:4]), F.lit(0.0))).drop("bin_size")
+def reference_columns(windows: DataFrame, bases: DataFrame) -> DataFrame:
+    """(window_id, col) base fractions in each column of the windows' reference bases (chrom, start, stop, bases); what is unknown is N.
+
+    ``bases`` are slices of stored blocks (see ``sources.text.slices_of``). Columns are substrings, and a base is counted
+    by what a column loses without it, so no base is a row. A column of gaps (``.``) or beyond the sequence has no row.
+    """
+    met = windows.join(bases.select("chrom", "start", "stop", "bases").distinct(), ["chrom", "start", "stop"])
+    columns = F.sequence(F.lit(0).cast("long"), F.floor((F.length("bases") - 1) / F.col("bin_size")))
+    cut = met.where("bases != ''").withColumn("col", F.explode(columns))
+    cut = cut.select("window_id", "col", "bin_size", F.substring("bases", (F.col("col") * F.col("bin_size") + 1).cast("int"), F.col("bin_size")).alias("own")).where(F.translate("own", ".", "") != "")
+    share = lambda b: (F.length("own") - F.length(F.translate("own", b, ""))) / F.col("bin_size")
+    counts = cut.select("window_id", "col", *[share(b).alias(f"ref_{b.lower()}") for b in BASES[:4]])
+    return counts.withColumn("ref_n", 1 - sum((F.col(f"ref_{b.lower()}") for b in BASES[:4]), F.lit(0.0)))
 
 
 def column_profile(cell: DataFrame, depth: DataFrame) -> DataFrame:

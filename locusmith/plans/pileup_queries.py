@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import pileup as pl
 from ..operators import windows as wn
+from ..operators.stored import stored
+from ..sources import text
 from .interval_queries import WINDOWED
 from .registry import register
 from .views import sql_over, view
@@ -68,18 +70,22 @@ def _windows(spark, d):
     return w.select(F.concat_ws(":", "chrom", F.col("win_start").cast("string"), F.col("bin_size").cast("string")).alias("window_id"), "chrom", F.col("win_start").alias("start"), (F.col("win_start") + F.col("span")).alias("stop"), "bin_size").distinct()
 
 
-def _pairs(spark, d):
+def _runs(spark, d):
     reads = short_reads(spark, d)
-    return pl.aligned_pairs(_windows(spark, d), pl.read_signals(reads, pl.insert_size(reads)))
+    return pl.window_runs(_windows(spark, d), pl.read_signals(reads, pl.insert_size(reads)))
+
+
+def _pairs(spark, d):
+    return pl.spelt(_runs(spark, d))
 
 
 def _cells(spark, d):
-    return pl.cells(pl.keep_rows(_pairs(spark, d)))
+    return pl.cells(pl.spelt(pl.keep_rows(stored(_runs(spark, d)))))
 
 
 def _features(spark, d):
-    pairs = _pairs(spark, d)
-    return pl.window_features(_windows(spark, d), pl.column_depth(pairs), pl.cells(pl.keep_rows(pairs)))
+    runs = stored(_runs(spark, d))
+    return pl.window_features(_windows(spark, d), pl.column_depth(runs), pl.cells(pl.spelt(pl.keep_rows(runs))))
 
 
 @register("a1_coverage_profile", sql_over("WITH " + COVER + " SELECT * FROM cover"))
@@ -125,7 +131,7 @@ def a4(spark, d):
 
 @register("a5_column_depth", sql_over("WITH " + BASED + " SELECT window_id, col, " + rounded("depth") + " FROM depth"))
 def a5(spark, d):
-    return round_all(pl.column_depth(_pairs(spark, d)), "depth")
+    return round_all(pl.column_depth(_runs(spark, d)), "depth")
 
 
 CONSENSUS = """consensus AS (SELECT chrom, pos, min(base) AS base FROM (SELECT s.chrom, s.start + i AS pos, substr('ACGTN', cast((base_seed + (n_clip + i) * (n_clip + i)) % 5 + 1 AS int), 1) AS base FROM (SELECT *, unnest(range(0, n_first)) AS i FROM {short_reads}) s) GROUP BY chrom, pos)"""
@@ -141,13 +147,15 @@ def a6(spark, d):
     r = short_reads(spark, d).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_first") - 1)))
     base = F.substring("seq", (F.col("n_clip") + F.col("i") + 1).cast("int"), F.lit(1))
     reference = r.groupBy("chrom", (F.col("start") + F.col("i")).alias("pos")).agg(F.min(base).alias("base"))
-    return round_all(pl.reference_columns(_windows(spark, d), reference), "ref_a", "ref_c", "ref_g", "ref_t", "ref_n")
+    windows = _windows(spark, d)
+    slices = text.slices_of(text.packed(reference), windows.select("chrom", "start", "stop"))
+    return round_all(pl.reference_columns(windows, slices), "ref_a", "ref_c", "ref_g", "ref_t", "ref_n")
 
 
 @register("a7_column_profile", sql_over("WITH " + BASED + " SELECT c.window_id, c.col, " + ", ".join(f"round(avg({n}), 11) + 0.0 AS {n}" for n in CELL) + ", round(min(depth), 11) + 0.0 AS depth FROM cells c JOIN depth d ON c.window_id = d.window_id AND c.col = d.col GROUP BY c.window_id, c.col"))
 def a7(spark, d):
-    pairs = _pairs(spark, d)
-    return round_all(pl.column_profile(pl.cells(pl.keep_rows(pairs)), pl.column_depth(pairs)), *CELL, "depth", digits=11)
+    runs = stored(_runs(spark, d))
+    return round_all(pl.column_profile(pl.cells(pl.spelt(pl.keep_rows(runs))), pl.column_depth(runs)), *CELL, "depth", digits=11)
 
 
 @register("a8_window_features", sql_over("WITH " + FEATURED + " SELECT window_id, " + rounded(*pl.FEATURES, digits=11) + " FROM features"))

@@ -8,6 +8,7 @@ from ..operators import intervals as iv
 from ..operators import models
 from ..operators import windows as wn
 from ..sources import tables, text
+from ..sources.folders import shared_folder
 from .interval_queries import CONFIDENT
 from .registry import register
 from .views import sql_over, view
@@ -73,13 +74,41 @@ def p5(spark, d):
 
 @register("s5_alignment_scan", sql_over("SELECT read_id, chrom, start, stop, least(mapq, 60) AS mapq, is_reverse FROM {short_reads} WHERE chrom = '3' AND start < 400000 AND stop > 100000"))
 def s5(spark, d):
+    lines = _read_lines(spark, d)
+    region = lines.limit(1).select(F.lit("3").alias("chrom"), F.lit(100000).cast("long").alias("start"), F.lit(400000).cast("long").alias("stop"))
+    return iv.overlapping(text.parse_sam(lines), region).select("read_id", "chrom", "start", "stop", F.col("mapq").cast("long").alias("mapq"), "is_reverse")
+
+
+def _read_lines(spark, d):
+    """SAM lines of the short reads, one aligned run each."""
     r = view(spark, d, "short_reads")
     flag = 1 + F.when(F.col("is_reverse"), 16).otherwise(0) + F.when(F.col("is_proper"), 2).otherwise(0)
     cigar = F.concat((F.col("n_first") + F.col("n_second")).cast("string"), F.lit("M"))
     length = (F.col("n_first") + F.col("n_second")).cast("int")
-    lines = _lines(r, F.col("read_id"), flag.cast("string"), F.col("chrom"), (F.col("start") + 1).cast("string"), _string("mapq"), cigar, "=", "0", _string("tlen"), F.repeat(F.lit("A"), length), F.repeat(F.lit("I"), length))
-    region = lines.limit(1).select(F.lit("3").alias("chrom"), F.lit(100000).cast("long").alias("start"), F.lit(400000).cast("long").alias("stop"))
-    return iv.overlapping(text.parse_sam(lines), region).select("read_id", "chrom", "start", "stop", F.col("mapq").cast("long").alias("mapq"), "is_reverse")
+    return _lines(r, F.col("read_id"), flag.cast("string"), F.col("chrom"), (F.col("start") + 1).cast("string"), _string("mapq"), cigar, "=", "0", _string("tlen"), F.repeat(F.lit("A"), length), F.repeat(F.lit("I"), length))
+
+
+REGIONS = "regions AS (SELECT DISTINCT cast(c_custkey % 5 + 1 AS string) AS chrom, (c_custkey * 15013) % 900000 AS start, (c_custkey * 15013) % 900000 + 500 AS stop FROM {customer} WHERE c_custkey % 50 = 0)"
+
+
+@register("s5_region_store", sql_over("WITH " + REGIONS + " SELECT read_id, r.chrom, r.start, r.stop, least(mapq, 60) AS mapq, is_reverse FROM {short_reads} r WHERE EXISTS (SELECT 1 FROM regions g WHERE g.chrom = r.chrom AND r.start < g.stop AND r.stop > g.start)"))
+def s5_store(spark, d):
+    """Reads written by chrom and wide bin, and those of many regions read back, whose bins alone are opened."""
+    path = shared_folder(spark, "reads")
+    text.write_reads(text.parse_sam(_read_lines(spark, d)).drop("seq", "quals"), path, 1 << 16)
+    regions = spark.sql(f"SELECT * FROM ({REGIONS[REGIONS.index('(') + 1 : -1]})", customer=view(spark, d, "customer"))
+    return text.read_regions(spark, path, regions, 1 << 16).select("read_id", "chrom", "start", "stop", F.col("mapq").cast("long").alias("mapq"), "is_reverse")
+
+
+@register("s6_fasta_blocks", sql_over("SELECT cast(doc_id AS string) AS chrom, length(b) AS n, md5(b) AS digest FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS b FROM {documents})"))
+def s6_blocks(spark, d):
+    """Letters of all documents written as wrapped FASTA, read by lines into blocks, and put together again."""
+    path = shared_folder(spark, "fasta")
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    view(spark, d, "documents").select(F.concat(F.lit(">"), _string("doc_id"), F.lit(" note\n"), F.regexp_replace(letters, "(.{60})(?=.)", "$1\n"))).write.text(path)
+    blocks = text.load_fasta_blocks(spark, path, 4096)
+    whole = blocks.groupBy("chrom").agg(F.array_join(F.array_sort(F.collect_list(F.struct("block", "bases")))["bases"], "").alias("b"))
+    return whole.select("chrom", F.length("b").cast("long").alias("n"), F.md5("b").alias("digest"))
 
 
 @register("s6_reference_slices", sql_over("SELECT cast(item_id AS string) AS chrom, cast(s AS bigint) AS start, cast(s + 20 AS bigint) AS stop, substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), cast(s + 1 AS int), 20) AS bases FROM {benchmark} CROSS JOIN (VALUES (0), (10), (25)) AS v(s)"))

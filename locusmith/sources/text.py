@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.intervals import merge_intervals
+from ..operators.intervals import bin_of, merge_intervals, over_bins
+from ..operators.stored import stored
 from ..operators.windows import normal_chrom
 
+#: Rows up to which regions are broadcast.
+BROADCAST_ROWS = 200_000
 #: Bases of a block of a stored sequence.
 BLOCK = 1 << 16
 VCF = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
@@ -105,17 +108,97 @@ def blocks(sequences: DataFrame, size: int = BLOCK) -> DataFrame:
     return sequences.select("chrom", F.posexplode(pieces).alias("block", "bases")).withColumn("block", F.col("block").cast("long"))
 
 
-def slices(sequences: DataFrame, ranges: DataFrame, size: int = BLOCK) -> DataFrame:
-    """The bases of each range (chrom, start, stop) of a known chrom, as far as its sequence goes.
+def load_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, piece, at, value): the lines of text files; ``piece`` is where a task's part of the file begins, ``at`` orders the lines of a part."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("at"), "value")
+
 
-    Ranges meet blocks of the sequence in an equi join, so no row holds a whole sequence beside a range.
+def fasta_blocks(lines: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(chrom, block, bases) of FASTA lines (see ``load_lines``), with no record in one row or task.
+
+    Parts of files are summed, and the sums run over per file: how many bases lie before a part, and which record it goes
+    on with. In a part, a line's place in its record is the bases so far less those before the record's header. Lines are
+    cut where blocks end, and a block is put together from its lines. Records without bases have one empty block, lines
+    before any header go. The bases of one line are one row, so records should be wrapped.
     """
+    header = F.col("value").startswith(">")
+    rows = lines.select("file", "piece", "at", F.when(header, F.regexp_extract("value", r"^>\s*(\S*)", 1)).alias("name"), F.when(header, "").otherwise(F.regexp_replace("value", r"\s", "")).alias("bases"))
+    rows = rows.withColumn("n", F.length("bases").cast("long"))
+    inside = Window.partitionBy("file", "piece").orderBy("at")
+    placed = rows.withColumn("upto", F.sum("n").over(inside)).withColumn("mark", F.last(F.when(F.col("name").isNotNull(), F.struct("name", F.col("upto").alias("begin"))), ignorenulls=True).over(inside))
+    parts = placed.groupBy("file", "piece").agg(F.sum("n").alias("sum"), F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("at"))).alias("mark"))
+    along = Window.partitionBy("file").orderBy("piece")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    started = parts.withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+    marked = F.when(F.col("mark").isNotNull(), F.struct(F.col("mark.name").alias("name"), (F.col("base") + F.col("mark.begin")).alias("begin")))
+    given = started.select("file", "piece", "base", F.last(marked, ignorenulls=True).over(before).alias("given"))
+    met = placed.join(given, ["file", "piece"])
+    chrom = F.when(F.col("mark").isNotNull(), F.col("mark.name")).otherwise(F.col("given.name"))
+    begin = F.when(F.col("mark").isNotNull(), F.col("base") + F.col("mark.begin")).otherwise(F.col("given.begin"))
+    spans = met.select(chrom.alias("chrom"), (F.col("base") + F.col("upto") - F.col("n") - begin).alias("start"), "bases", "n", F.col("name").isNotNull().alias("head")).where("chrom IS NOT NULL AND (n > 0 OR head)")
+    blocks_of = F.sequence(bin_of("start", size), bin_of(F.col("start") + F.greatest("n", F.lit(1)) - 1, size))
+    cut = spans.withColumn("block", F.explode(blocks_of)).withColumn("skip", F.greatest(F.col("block") * size - F.col("start"), F.lit(0)))
+    end = F.least(F.col("n"), (F.col("block") + 1) * size - F.col("start"))
+    pieces = cut.select("chrom", "block", (F.col("start") + F.col("skip")).alias("start"), F.substring("bases", (F.col("skip") + 1).cast("int"), (end - F.col("skip")).cast("int")).alias("piece"))
+    return pieces.groupBy("chrom", "block").agg(F.array_join(F.array_sort(F.collect_list(F.struct("start", "piece")))["piece"], "").alias("bases"))
+
+
+def load_fasta_blocks(spark: SparkSession, path: str, size: int = BLOCK) -> DataFrame:
+    return fasta_blocks(load_lines(spark, path), size)
+
+
+def packed(bases: DataFrame, size: int = BLOCK, gap: str = ".") -> DataFrame:
+    """(chrom, block, bases) of single bases (chrom, pos, base; one a place), from 0 to each chrom's last; ``gap`` stands where there is none."""
+    placed = bases.select("chrom", bin_of("pos", size).alias("block"), F.col("pos").alias("at"), "base")
+    own = placed.groupBy("chrom", "block").agg(F.array_sort(F.collect_list(F.struct((F.col("at") - F.col("block") * size).cast("int").alias("at"), "base"))).alias("own"))
+    # Each base brings the gap before it.
+    piece = lambda x, i: F.concat(F.repeat(F.lit(gap), x["at"] - F.coalesce(F.get("own", i - 1)["at"], F.lit(-1)) - 1), x["base"])
+    known = own.select("chrom", "block", F.array_join(F.transform("own", piece), "").alias("front"))
+    last = placed.groupBy("chrom").agg(F.max("at").alias("last"))
+    whole = last.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), bin_of("last", size)))).join(known, ["chrom", "block"], "left")
+    length = F.least(F.col("last") + 1 - F.col("block") * size, F.lit(size)).cast("int")
+    return whole.select("chrom", "block", F.rpad(F.coalesce("front", F.lit("")), length, F.lit(gap)).alias("bases"))
+
+
+def slices(sequences: DataFrame, ranges: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The bases of each range (chrom, start, stop) of a known chrom, as far as its sequence goes."""
+    return slices_of(blocks(sequences, size), ranges, size, sequences.select("chrom"))
+
+
+def slices_of(stored_blocks: DataFrame, ranges: DataFrame, size: int = BLOCK, chroms: DataFrame | None = None) -> DataFrame:
+    """``slices`` of stored blocks (chrom, block, bases), which ranges meet in an equi join; known chroms are those with a block unless given."""
     keys = ["chrom", "start", "stop"]
     first, last = F.floor(F.col("start") / size), F.floor((F.greatest(F.col("stop"), F.col("start") + 1) - 1) / size)
     asked = ranges.select(*keys).distinct().withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("start") - F.col("block") * size, F.lit(0))
     end = F.least(F.col("stop") - F.col("block") * size, F.lit(size))
     piece = F.substring("bases", (begin + 1).cast("int"), (end - begin).cast("int"))
-    met = asked.join(blocks(sequences, size), ["chrom", "block"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", piece.alias("piece")))).alias("_pieces"))
-    known = ranges.join(sequences.select("chrom"), "chrom", "left_semi")
+    met = asked.join(stored_blocks, ["chrom", "block"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", piece.alias("piece")))).alias("_pieces"))
+    known = ranges.join(chroms if chroms is not None else stored_blocks.select("chrom"), "chrom", "left_semi")
     return known.join(met, keys, "left").select(*ranges.columns, F.coalesce(F.array_join("_pieces.piece", ""), F.lit("")).alias("bases"))
+
+
+def write_reads(reads: DataFrame, path: str, width: int = 1 << 20, rows: int = 1_000_000) -> None:
+    """A store of reads (chrom, start, stop, ...) by chrom and wide bin; a read is in each bin that it touches.
+
+    Reads are dealt by ranges of their place, so a bin of any depth is written by as many tasks as it needs.
+    """
+    placed = over_bins(reads, width, "wide").withColumn("of", F.concat(F.lit("_"), "chrom"))
+    placed.repartitionByRange("of", "wide", "start").sortWithinPartitions("of", "wide", "start").write.partitionBy("of", "wide").option("maxRecordsPerFile", rows).parquet(path)
+
+
+def read_regions(spark: SparkSession, path: str, regions: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """The reads of a store that overlap any of the regions (chrom, start, stop), each row once; other bins' files aren't read.
+
+    Merged regions meet the store by its partition columns, so they prune its files when the query runs. A read counts
+    for the first region that it overlaps, in the bin in which the later of the two begins.
+    """
+    merged = stored(merge_intervals(regions.where("stop > start")))
+    before = F.lag("stop").over(Window.partitionBy("chrom").orderBy("start"))
+    wide = stored(over_bins(merged.withColumn("_before", before), width, "_wide")).select(F.concat(F.lit("_"), "chrom").alias("_of"), "_wide", F.col("start").alias("_start"), F.col("stop").alias("_stop"), "_before")
+    # Pruning needs the broadcast; more regions than that meet the whole store by shuffle.
+    wide = F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide
+    reads = spark.read.parquet(path)
+    met = reads.join(wide.where("_stop > _start"), (F.col("of") == F.col("_of")) & (F.col("wide") == F.col("_wide")))
+    met = met.where((F.col("start") < F.col("_stop")) & (F.col("stop") > F.col("_start")) & (F.col("_before").isNull() | (F.col("_before") <= F.col("start"))))
+    return met.where(F.col("wide") == bin_of(F.greatest("start", "_start"), width)).select(*[c for c in reads.columns if c not in ("of", "wide")])

@@ -86,3 +86,57 @@ def test_quotes_are_sought_in_other_texts(spark):
     quotes = [(1, "at sat on the mat an"), (2, 'multiline "word"  here and'), (3, "cat sat on a mat and then"), (4, "sat on th"), (5, "on the"), (6, ""), (7, None), (8, "dog sat on the mat and")]
     got = inf.literal_spans(spark.createDataFrame(quotes, "quote_id long, text string"), spark.createDataFrame(sources, "doc_id long, text string"))
     assert {r["quote_id"]: (r["n_sources"], r["verified"]) for r in got.collect()} == {i: (int(i in (1, 2, 4, 5)), i in (1, 2, 4, 5)) for i in range(1, 9)}
+
+
+def test_fasta_by_lines(spark, tmp_path):
+    """Records of many sizes in several files, read by parts of 4 kB, equal the records, however parts and blocks fall."""
+    import random
+
+    rng = random.Random(2)
+    want = {}
+    for f in range(3):
+        out = ["stray line before any header"] if f == 1 else []
+        for i, n in enumerate((0, 1, 59, 60, 61, 5000, 20_000, 3)):
+            name, width = f"r{f}_{i}", rng.choice((7, 60, 100))
+            want[name] = "".join(rng.choice("ACGTN") for _ in range(n))
+            out += [f">{name} a note", *[want[name][k : k + width] for k in range(0, n, width)]]
+        (tmp_path / f"{f}.fa").write_text("\n".join(out) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        blocks = text.load_fasta_blocks(spark, str(tmp_path), 1000)
+        assert text.load_lines(spark, str(tmp_path)).select("file", "piece").distinct().count() > 15
+        rows = sorted((r["chrom"], r["block"], r["bases"]) for r in blocks.collect())
+        ranges = spark.createDataFrame([(c, s, s + n) for c in want for s in (0, 999, 4321) for n in (1, 2500)], "chrom string, start long, stop long")
+        pieces = text.slices_of(blocks, ranges, 1000).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert rows == sorted((c, k, b[k * 1000 : k * 1000 + 1000]) for c, b in want.items() for k in range(max(1, -(-len(b) // 1000))))
+    assert {(r["chrom"], r["start"], r["stop"]): r["bases"] for r in pieces} == {(c, s, s + n): want[c][s : s + n] for c in want for s in (0, 999, 4321) for n in (1, 2500)}
+
+
+def test_read_store_prunes(spark, tmp_path):
+    """Regions open the files of their own bins alone, and every read comes once however many regions and bins it meets."""
+    reads = spark.range(3000).selectExpr("id % 3 AS chrom_no", "concat('', id % 3) AS chrom", "(id * 733) % 100000 AS start", "(id * 733) % 100000 + 50 + id % 2500 AS stop", "id % 7 AS tag").drop("chrom_no")
+    reads = reads.unionByName(reads.where("start < 300"))
+    text.write_reads(reads, str(tmp_path / "reads"), 1000)
+    given = [("0", 500, 900), ("0", 950, 1000), ("0", 1400, 3300), ("2", 99_990, 105_000), ("2", 10, 20), ("1", 5, 5), ("9", 0, 10)]
+    found = text.read_regions(spark, str(tmp_path / "reads"), spark.createDataFrame(given, "chrom string, start long, stop long"), 1000)
+    want = [tuple(r) for r in reads.collect() if any(c == r["chrom"] and r["start"] < e and r["stop"] > s and e > s for c, s, e in given)]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 30
+    plan = found._jdf.queryExecution().executedPlan()
+    assert "dynamicpruning" in plan.toString()
+
+    def leaves(node):
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            node = node.executedPlan()
+        if hasattr(node, "plan") and node.getClass().getSimpleName().endswith("QueryStageExec"):
+            node = node.plan()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        return [node] if not children else [x for c in children for x in leaves(c)]
+
+    opened = [n.metrics().get("numFiles").get().value() for n in leaves(plan) if n.metrics().contains("numFiles")]
+    total = sum(1 for _ in (tmp_path / "reads").rglob("*.parquet"))
+    assert opened and max(opened) < total / 5
