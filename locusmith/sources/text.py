@@ -196,9 +196,11 @@ def read_regions(spark: SparkSession, path: str, regions: DataFrame, width: int
     merged = stored(merge_intervals(regions.where("stop > start")))
     before = F.lag("stop").over(Window.partitionBy("chrom").orderBy("start"))
     wide = stored(over_bins(merged.withColumn("_before", before), width, "_wide")).select(F.concat(F.lit("_"), "chrom").alias("_of"), "_wide", F.col("start").alias("_start"), F.col("stop").alias("_stop"), "_before")
-    # Pruning needs the broadcast; more regions than that meet the whole store by shuffle.
-    wide = F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide
+    # The bounds prune when the query is planned, the broadcast when it runs; more regions than that meet the bins within the bounds by shuffle.
+    n, low, high = wide.agg(F.count(F.lit(1)), F.min("_wide"), F.max("_wide")).first()
+    wide = wide.where(F.col("_wide").between(low, high)) if n else wide
+    wide = F.broadcast(wide) if n <= BROADCAST_ROWS else wide
     reads = spark.read.parquet(path)
-    met = reads.join(wide.where("_stop > _start"), (F.col("of") == F.col("_of")) & (F.col("wide") == F.col("_wide")))
+    met = reads.join(wide, (F.col("of") == F.col("_of")) & (F.col("wide") == F.col("_wide")))
     met = met.where((F.col("start") < F.col("_stop")) & (F.col("stop") > F.col("_start")) & (F.col("_before").isNull() | (F.col("_before") <= F.col("start"))))
     return met.where(F.col("wide") == bin_of(F.greatest("start", "_start"), width)).select(*[c for c in reads.columns if c not in ("of", "wide")])
