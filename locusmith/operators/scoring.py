@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import halves, places, running
+from .ranges import halves, meet, places, running
 from .stored import stored
 
 GRID = 512
@@ -192,6 +192,34 @@ def temperature(df: DataFrame, groups: list[str], grid: tuple[float, ...]) -> Da
     return losses.withColumn("b", F.array_min(F.array(*each))).select(*groups, F.col("b.t").alias("temperature"), F.col("b.nll").alias("nll"))
 
 
+def fitted_temperature(df: DataFrame, groups: list[str], grid: tuple[float, ...], rounds: int = 6) -> DataFrame:
+    """The temperature within the grid's ends that minimises the mean negative log likelihood, to about 1e-9 (see ``temperature``).
+
+    Logits are counted and stored once. Newton's steps on log T begin at the best of the grid; each round is one grouped
+    sum of both derivatives, and groups meet their temperature in parts.
+    """
+    counts = stored(df.groupBy(*groups, "logit", "label").agg(F.count(F.lit(1)).alias("_n")))
+    mean = lambda c: F.sum(F.col("_n") * c) / F.sum("_n")
+    loss = lambda z: F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - z * F.col("label")
+    losses = counts.groupBy(*groups).agg(*[mean(loss(F.col("logit") / F.lit(float(t)))).alias(f"_{i}") for i, t in enumerate(grid)])
+    best = F.array_min(F.array(*[F.struct(F.col(f"_{i}").alias("nll"), F.lit(float(t)).alias("t")) for i, t in enumerate(grid)]))
+    at = losses.select(*groups, best["t"].alias("temperature"))
+    for _ in range(rounds):
+        at = stored(at)
+        s = 1 / F.col("temperature")
+        p = 1 / (1 + F.exp(-F.col("logit") * s))
+        slope, bend = F.col("logit") * (p - F.col("label")), F.col("logit") * F.col("logit") * p * (1 - p)
+        sums = meet(counts, at, groups, ["logit", "label"]).groupBy(*groups, "temperature").agg(mean(slope).alias("_g"), mean(bend).alias("_h"))
+        # Derivatives by log T of a loss that is convex in s = 1 / T.
+        first, second = -s * F.col("_g"), s * F.col("_g") + s * s * F.col("_h")
+        curve = F.when(second > 0, second).otherwise(s * s * F.col("_h"))
+        step = F.when(curve > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -first / curve))).otherwise(F.lit(0.0))
+        moved = F.greatest(F.lit(float(min(grid))), F.least(F.lit(float(max(grid))), F.col("temperature") * F.exp(step)))
+        at = sums.select(*groups, moved.alias("temperature"))
+    at = stored(at)
+    return meet(counts, at, groups, ["logit", "label"]).groupBy(*groups, "temperature").agg(mean(loss(F.col("logit") / F.col("temperature"))).alias("nll"))
+
+
 def conformal_threshold(df: DataFrame, groups: list[str], alpha: float = 0.1) -> DataFrame:
     """Order statistic of the nonconformity of calibration rows at ceil((n + 1)(1 - alpha)) / n, at most 1, taken from above."""
     s = F.when(F.col("label") == 1, 1 - F.col("score")).otherwise(F.col("score"))

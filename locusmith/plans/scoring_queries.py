@@ -117,6 +117,21 @@ def e10(spark, d):
     return round_all(sc.temperature(logits, KEYS, TEMPS), "nll", digits=6)
 
 
+@register(
+    "e10_temperature",
+    sql_over(f"""WITH RECURSIVE c AS (SELECT {K}, (score - 0.5) * 6 AS z, label AS y, count(*)::DOUBLE AS n FROM {{predictions}} GROUP BY {K}, score, label),
+l AS (SELECT {K}, list(struct_pack(z := z, y := y, n := n)) AS c FROM c GROUP BY {K}),
+r AS (SELECT {K}, 0 AS i, 1.0::DOUBLE / {max(TEMPS)} AS lo, 1.0::DOUBLE / {min(TEMPS)} AS hi FROM l
+  UNION ALL SELECT {K}, i + 1, CASE WHEN g > 0 THEN lo ELSE mid END, CASE WHEN g > 0 THEN mid ELSE hi END FROM (SELECT r.*, (lo + hi) / 2 AS mid, list_sum(list_transform(c, lambda x: x.n * x.z * (1 / (1 + exp(-x.z * (lo + hi) / 2)) - x.y))) AS g FROM r JOIN l USING ({K}) WHERE i < 60)),
+t AS (SELECT {K}, lo AS s FROM r WHERE i = 60)
+SELECT {K}, round(1 / min(s), 6) + 0.0 AS temperature, round(sum(n * (ln(1 + exp(-abs(z * s))) + greatest(z * s, 0) - z * s * y)) / sum(n), 9) + 0.0 AS nll FROM t JOIN c USING ({K}) GROUP BY {K}"""),
+)
+def e10_fitted(spark, d):
+    """The continuous minimum; its twin halves the interval of 1 / T in which the derivative changes sign."""
+    logits = predictions(spark, d).withColumn("logit", (F.col("score") - 0.5) * 6)
+    return round_all(round_all(sc.fitted_temperature(logits, KEYS, TEMPS), "temperature", digits=6), "nll", digits=9)
+
+
 QHAT = f"""s AS (SELECT {K}, CASE WHEN label = 1 THEN 1 - score ELSE score END AS s FROM {{predictions}} WHERE part = 'val'),
 ranked AS (SELECT {K}, s, row_number() OVER (PARTITION BY {K} ORDER BY s) AS rn, count(*) OVER (PARTITION BY {K}) AS n FROM s),
 qhats AS (SELECT {K}, min(s) AS qhat FROM ranked WHERE rn >= ceil(round(least(ceil((n + 1) * (1 - 0.1::DOUBLE)) / n, 1.0) * (n - 1), 9)) + 1 GROUP BY {K})"""

@@ -214,4 +214,4 @@ def m2(spark, d):
 @register("m3_budget_sweep")
 def m3(spark, d):
     train, test = _features(spark, d)
-    return models.sweep(train, test, FEATS, "vec_id", (0.01, 0.05, 0.1, 0.25, 0.5, 1.0), (0, 1))
+    return models.logistic_sweep(train, test, FEATS, "vec_id", (0.01, 0.05, 0.1, 0.25, 0.5, 1.0), tuple(range(10)))

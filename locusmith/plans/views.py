@@ -94,4 +94,6 @@ def sql_over(sql: str) -> str:
     heads = ",\n".join(f"{n} AS ({re.sub(r'[{}]', '', body)})" for n, body in found.items())
     if not heads:
         return bare
+    if bare[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {heads},\n{bare[15:]}"
     return f"WITH {heads},\n{bare[5:]}" if bare[:5].upper() == "WITH " else f"WITH {heads}\n{bare}"

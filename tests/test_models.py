@@ -115,3 +115,52 @@ def test_quoted_texts_and_audit_problems(spark):
     eligible = spark.createDataFrame([(1,), (4,), (5,)], "doc_id long")
     got = {r["problem"]: r["n"] for r in inf.audit_problems(axes, quotes, eligible).collect()}
     assert got == {"not_one_quote": 2, "other_code": 1, "quote_of_no_axis": 1, "not_verified": 1, "coded_not_eligible": 1, "eligible_not_coded": 2}
+
+
+def newton(rows, one_step=60):
+    """Slopes of the logistic control in numpy, standardised and balanced as the library's."""
+    x, y = np.array([r[2:] for r in rows], float), np.array([r[1] for r in rows], float)
+    mean, sd = x.mean(axis=0), x.std(axis=0, ddof=1)
+    z = np.column_stack([np.divide(x - mean, sd, out=np.zeros_like(x), where=sd > 0), np.ones(len(x))])
+    weight, w, penalty = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum())), np.zeros(z.shape[1]), np.array([1.0] * x.shape[1] + [0.0])
+    for _ in range(one_step):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (weight * (p - y)) + penalty * w)
+    return mean, sd, w
+
+
+def test_grouped_fits_equal_single_ones(spark, points):
+    rows = [(g, *p[:4], 7.0) for g in ("a", "b") for p in points if g == "a" or p[0] % 3] + [("c", i, 0, 1.0 * i, 2.0, 7.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, id long, label int, x double, y double, flat double")
+    got = {r["g"]: r for r in models.logistic_fits(df, ["g"], ["x", "y", "flat"]).collect()}
+    for g in ("a", "b"):
+        mean, sd, w = newton([r[1:] for r in rows if r[0] == g])
+        assert np.allclose(got[g]["center"], mean) and np.allclose(got[g]["scale"], sd) and np.allclose(got[g]["slopes"], w, atol=1e-8)
+    assert got["c"]["slopes"] is None
+
+
+def test_grouped_sweep_equals_fits_one_by_one(spark, points):
+    train, test = split(spark, points)
+    fracs, seeds = (0.01, 0.3, 1.0), (0, 4)
+    grouped = {(r["seed"], r["frac"]): r for r in models.logistic_sweep(train, test, FEATURES, "id", fracs, seeds).collect()}
+    single = {(r["seed"], r["frac"]): r for r in models.sweep(train, test, FEATURES, "id", fracs, seeds).collect()}
+    assert set(grouped) == set(single) and len(grouped) == 6
+    for key, r in grouped.items():
+        assert r["roc_auc"] == pytest.approx(single[key]["roc_auc"], abs=5e-3) and r["tau_selected"] == single[key]["tau_selected"]
+
+
+def test_fitted_temperature_equals_a_dense_search(spark):
+    rng = random.Random(11)
+    rows = [(g, round(rng.gauss(0, 3), 2), int(rng.random() < (0.5 if g == "flat" else 1 / (1 + math.exp(-rng.gauss(0, 1)))))) for g in ("a", "flat") for _ in range(300)]
+    rows = [(g, z, y if g == "flat" else int(rng.random() < 1 / (1 + math.exp(-z / 1.7)))) for g, z, y in rows] + [("sure", z, int(z > 0)) for z in (-2.0, -1.0, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, logit double, label int")
+    got = {r["g"]: r for r in sc.fitted_temperature(df, ["g"], (0.25, 0.5, 1.0, 2.0, 4.0, 8.0)).collect()}
+    for g in ("a", "flat", "sure"):
+        z, y = (np.array([r[i] for r in rows if r[0] == g]) for i in (1, 2))
+        nll = lambda t: float(np.mean(np.logaddexp(0, z / t) - z / t * y))  # noqa: B023, E731
+        low, high = 0.25, 8.0
+        for _ in range(4):
+            grid = np.linspace(low, high, 401)
+            best = int(np.argmin([nll(t) for t in grid]))
+            low, high = grid[max(0, best - 1)], grid[min(400, best + 1)]
+        assert got[g]["temperature"] == pytest.approx(grid[best], abs=1e-4) and got[g]["nll"] <= nll(grid[best]) + 1e-9
