@@ -3,8 +3,10 @@
 Each language's labelled text becomes a suffix automaton, which accepts exactly the substrings of that text. A
 document is parsed from left to right into longest matches: the automaton is followed as far as it goes, a phrase
 ends there, and the parse starts again at the root. Fewer phrases mean that the document is built from longer pieces
-of the language's text; phrases * log2(length of the text) / length of the document estimates the cross entropy, and
-the language of the least estimate wins (the first in order if equal).
+of the language's text. A phrase costs log2(length of the text) for its place there and ``ESCAPE`` bits for its length
+and the byte that ends it, so a language with a tiny text, in which every byte is a phrase, isn't cheap; the phrases'
+cost by the length of the document estimates the cross entropy, and the language of the least estimate wins (the
+first in order if equal).
 
 Texts are sequences of the UTF-8 bytes of their lower-cased letters, with a space for each run of other characters, so
 an automaton has at most 256 symbols, those of its language's own sample, whatever the number of letters. The
@@ -12,10 +14,11 @@ automata of all languages are one table, and all segments of a batch of document
 a step is a few numpy operations over all segments and languages. Segments are cut from whole texts at fixed lengths,
 which costs each language at most one phrase a segment.
 
-The automata are built from a bounded sample: ``per_language`` documents by hash of the id, ``chars`` characters of
-each language, at most a twentieth of them from one document, from a place that the hash of its id gives. With so many
-languages that their tables would exceed ``most_bytes``, every language gets fewer characters; the bound is proven
-before anything is broadcast.
+The automata are built from a bounded sample: ``per_language`` distinct ids by hash, ``chars`` characters of each
+language, at most a twentieth of them from one document, from a place that the hash of its id gives (of several rows
+of an id, the least such part). At most ``most_languages`` are learnt, those with the most labelled rows that have a
+letter; a language without letters isn't. With so many languages that their tables would exceed ``most_bytes``, every
+language gets fewer characters; the bound is proven before anything is broadcast.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; equal texts get equal results; a
 table without learnable rows makes every text ``und``; other columns don't matter.
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, checkpoint, hash_bits
 
-CHARS, PER_LANGUAGE, SEGMENT, BATCH_CHARS, MOST_BYTES = 16_000, 150, 512, 3_000_000, 1 << 28
+CHARS, PER_LANGUAGE, MOST_LANGUAGES, SEGMENT, BATCH_CHARS, MOST_BYTES, ESCAPE = 16_000, 150, 256, 512, 3_000_000, 1 << 28, 16
 
 
 @lru_cache(1)
@@ -95,8 +98,8 @@ class Parser:
     of its own sample and one for all others."""
 
     def __init__(self, samples: dict[str, str], most_bytes: int = MOST_BYTES) -> None:
-        self.languages = sorted(samples)
-        own = {k: plain(samples[k]) for k in self.languages}
+        own = {k: t for k, text in sorted(samples.items()) if (t := plain(text)).strip()}
+        self.languages = list(own)
         # Twice as many states as bytes and two more rows, of four bytes for each code.
         room = most_bytes // (4 * max(1, len(self.languages)))
         own = {k: t[: max(1, room // (2 * (len(set(t)) + 2)) - 2)] for k, t in own.items()}
@@ -119,7 +122,7 @@ class Parser:
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         if self.table.nbytes > max(most_bytes, 1 << 20):
             raise ValueError(f"{len(self.languages)} languages need {self.table.nbytes} bytes")
-        self.bits = np.array([np.log2(max(len(own[k]), 2)) for k in self.languages])
+        self.bits = np.array([np.log2(len(own[k])) + ESCAPE for k in self.languages])
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each plain text in each language."""
@@ -181,16 +184,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, chars: int = CHARS, per_language: int = PER_LANGUAGE, most_bytes: int = MOST_BYTES) -> Parser:
-    """Builds the automata from a bounded sample of every language's documents."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
+def learn(docs: DataFrame, chars: int = CHARS, per_language: int = PER_LANGUAGE, most_bytes: int = MOST_BYTES, most_languages: int = MOST_LANGUAGES) -> Parser:
+    """Builds the automata from a bounded sample of every language's documents; the driver gets at most ``per_language`` parts of each."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     usable = usable.select("lang", "doc_id", hash_bits(F.col("doc_id"), 15).alias("at"))
-    first = usable.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).where(F.col("rank") <= per_language).select("lang", "doc_id", "rank", "at")
-    first = checkpoint(first)
+    largest = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).select("lang")
+    ids = usable.distinct().join(F.broadcast(largest), "lang")
+    first = checkpoint(ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).where(F.col("rank") <= per_language))
     chosen = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
     size = chars // 20
     place = F.pmod(F.col("at"), F.greatest(F.length("text") - size + 1, F.lit(1))).cast("int") + 1
-    rows = docs.select("lang", "doc_id", "text").join(chosen, ["lang", "doc_id"]).select("lang", "rank", F.substring("text", place, F.lit(size)).alias("part")).orderBy("lang", "rank", "part").collect()
+    parts = docs.select("lang", "doc_id", "text").where("text IS NOT NULL").join(chosen, ["lang", "doc_id"]).select("lang", "rank", F.substring("text", place, F.lit(size)).alias("part"))
+    rows = parts.groupBy("lang", "rank").agg(F.min("part").alias("part")).orderBy("lang", "rank").collect()
     samples: dict[str, str] = {}
     for r in rows:
         own = samples.setdefault(str(r["lang"]), "")

@@ -147,6 +147,29 @@ def test_many_languages_keep_the_bound_of_bytes():
     assert parser.predict([samples["l007"][:40]])[0][0] in samples
 
 
+def test_tiny_samples_win_nothing():
+    rng = random.Random(12)
+    parts = {"xx": ["the", "ing", "er", "tion", "an"], "yy": ["der", "sch", "ung", "ein", "ich"]}
+    text = lambda k, n: " ".join("".join(rng.choice(parts[k]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    own = {k: text(k, 4000)[:16_000] for k in parts}
+    asked = [(k, text(k, 20)) for k in parts for _ in range(50)]
+    other = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    for tiny in ("7", "x", "x x", "e", "th", other(10), other(100), text("yy", 3)):
+        parser = langid.Parser({**own, "tiny": tiny})
+        assert parser.predict([t for _, t in asked])[0] == [k for k, _ in asked], tiny
+    assert langid.Parser({"xx": own["xx"], "none": "7 !"}).languages == ["xx"]
+
+
+def test_learning_is_bounded_under_repeated_ids_and_junk_labels(spark):
+    """An id that is repeated takes one of a language's places; of a thousand labels the largest are learnt."""
+    rows = [(7, f"repeated words {i % 3}", "xx") for i in range(3000)] + [(100 + i, f"some words of xx {i}", "xx") for i in range(40)] + [(1000 + i, "lettres de yy", "yy") for i in range(30)]
+    rows += [(5000 + i, "junk", f"label {i}") for i in range(1000)] + [(9000 + i, "123 !", "digits") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = langid.learn(df, per_language=20, most_languages=3)
+    assert {"xx", "yy"} <= set(parser.languages) and len(parser.languages) == 3 and "digits" not in parser.languages
+    assert parser.predict(["some words of xx", "lettres de yy"])[0] == ["xx", "yy"]
+
+
 def test_language_accuracy(spark, edges):
     rng = random.Random(5)
     parts = {"xx": ["the", "ing", "er", "tion", "an"], "yy": ["der", "sch", "ung", "ein", "ich"], "zz": ["eau", "les", "ou", "ment", "qui"]}
