@@ -241,6 +241,66 @@ def audit_problems(axes: DataFrame, quotes: DataFrame, eligible: DataFrame) -> D
     return reduce(DataFrame.unionByName, parts)
 
 
+def exclusion_problems(population: DataFrame, coded: DataFrame) -> DataFrame:
+    """Numbers of what breaks a screen: (problem, n).
+
+    ``population`` has a row a paper screened (doc_id, eligible, reason), ``coded`` the papers coded (doc_id). A paper that
+    isn't eligible needs a reason that isn't blank; every eligible one is coded or counted as unavailable.
+    """
+    own = population.withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+    of = coded.select("doc_id").distinct().withColumn("_coded", F.lit(True))
+    met = own.join(of, "doc_id", "left")
+    problems = {
+        "excluded_without_reason": met.where(~F.col("eligible") & (F.trim(F.coalesce("reason", F.lit(""))) == "")),
+        "excluded_but_coded": met.where(~F.col("eligible") & F.col("_coded").isNotNull()),
+        "eligible_unavailable": met.where(F.col("eligible") & F.col("_coded").isNull()),
+        "coded_not_screened": of.join(own.select("doc_id"), "doc_id", "left_anti"),
+    }
+    parts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("problem"), "n") for name, rows in problems.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Number words of stated counts.
+NUMBER_WORDS = {"two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
+
+
+def table_cells(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, line, heading, cell): the cells of Markdown tables, a row each, with the heading of their column.
+
+    Consecutive lines that begin with a bar are a table; its first line has the headings, lines of dashes and colons are
+    rules. Tables are found inside a text's lines, without a window over texts.
+    """
+    cells = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+    lines = texts.select(key, F.split(text, "\n").alias("_lines"))
+    bar = lambda i: F.coalesce(F.trim(F.get("_lines", i)).startswith("|"), F.lit(False))
+    numbers = F.sequence(F.lit(0), F.size("_lines") - 1)
+    # The line of the headings of every line: the last line up to it that begins a table.
+    heads = F.aggregate(
+        numbers, F.array().cast("array<int>"), lambda s, i: F.concat(s, F.array(F.when(~bar(i), F.lit(None).cast("int")).when((i > 0) & bar(i - 1), F.element_at(s, -1)).otherwise(i)))
+    )
+    placed = lines.where(F.exists("_lines", lambda x: F.trim(x).startswith("|"))).withColumn("_heads", heads)
+    rows = placed.select(key, "_lines", F.posexplode("_heads").alias("line", "_head")).where("_head IS NOT NULL AND line > _head")
+    own = rows.select(key, "line", cells(F.get("_lines", F.col("line"))).alias("_own"), cells(F.get("_lines", F.col("_head"))).alias("_names")).where(~F.forall("_own", lambda c: c.rlike("^[-: ]*$")))
+    return own.select(key, "line", F.explode(F.arrays_zip(F.col("_names").alias("heading"), F.col("_own").alias("cell"))).alias("_c")).select(key, "line", "_c.heading", "_c.cell")
+
+
+def stated_counts(texts: DataFrame, key: str, noun: str = "seeds", text: str = "text") -> DataFrame:
+    """(key, token, n): every count of ``noun`` that texts state, in digits (one or two), in words, or in a table's column of that name."""
+    digits = F.regexp_extract_all(text, F.lit(rf"\b[0-9]{{1,2}}\s+{noun}\b"), 0)
+    words = F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:{'|'.join(NUMBER_WORDS)})\s+{noun}\b"), 0)
+    first = F.lower(F.regexp_extract("token", r"^(\w+)", 1))
+    number = F.coalesce(first.try_cast("long"), F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])[first].cast("long"))
+    prose = texts.select(key, F.explode(F.concat(digits, words)).alias("token")).select(key, "token", number.alias("n"))
+    cells = table_cells(texts, key, text).where(F.lower("heading").isin(noun, f"n_{noun}"))
+    shown = cells.select(key, F.concat_ws(" ", "heading", "cell").alias("token"), F.col("cell").try_cast("long").alias("n")).where("n IS NOT NULL")
+    return prose.unionByName(shown)
+
+
+def unsupported_counts(stated: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The stated counts (.., n) that no source table has (allowed: n)."""
+    return stated.join(allowed.select("n").distinct(), "n", "left_anti")
+
+
 def normal_text(text: Column) -> Column:
     """Text with typographic quotes and dashes made plain, words joined over hyphenated line breaks, and white space made single."""
     plain = F.translate(text, "“”‘’–— ", "\"\"''-- ")

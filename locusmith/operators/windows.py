@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import contained_in, not_overlapping
-from .ranges import firsts, mark_firsts, meet, quantiles
+from .intervals import contained_in, not_overlapping, overlap_join
+from .ranges import firsts, halves, mark_firsts, meet, places, quantiles
 from .stored import stored
 
 WIN = 256
@@ -57,6 +57,56 @@ def tile(contigs: DataFrame, scales: tuple[int, ...] = (1,), stride: int | None
     return starts.select("chrom", "start", (F.col("start") + F.col("span")).alias("stop"), "bin_size")
 
 
+def unit_draw(seed: int | str, number: str, what: str) -> Column:
+    """A reproducible number in [0, 1) of the column ``number``: 52 bits of an md5."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(what), F.col(number).cast("string"))), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
+
+
+def tries(contigs: DataFrame, first: int, last: int, scales: tuple[int, ...], weights: tuple[float, ...], margin: int, seed: int | str, win: int = WIN) -> DataFrame:
+    """(draw, chrom, start, stop, bin_size) of the draws from ``first`` to before ``last``.
+
+    A contig is drawn by its length through the cumulative lengths (those of at most three margins are left out), a scale
+    by its weight, a place between the margins evenly. Contigs are one row of arrays: a table of names, not of data.
+    """
+    spark = contigs.sparkSession
+    usable = contigs.where(F.col("length") > 3 * margin).select("chrom", F.col("length").cast("long").alias("length"))
+    ordered = F.array_sort(F.collect_list(F.struct("chrom", "length")))
+    cumulated = F.aggregate("c", F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x["length"])))
+    table = usable.agg(ordered.alias("c")).where("size(c) > 0").select("c", cumulated.alias("upto")).select("c", "upto", halves(F.size("upto")).alias("halves"))
+    at = spark.range(first, last).withColumnRenamed("id", "draw").join(F.broadcast(table))
+    point = F.floor(unit_draw(seed, "draw", "chrom") * F.element_at("upto", -1)).cast("long")
+    share = [sum(weights[: i + 1]) / sum(weights) for i in range(len(weights))]
+    scale = F.coalesce(*[F.when(unit_draw(seed, "draw", "scale") < c, s) for c, s in zip(share, scales, strict=True)], F.lit(scales[-1]))
+    drawn = at.withColumn("own", F.get("c", places(F.col("upto"), point, F.col("halves")) - 1)).withColumn("bin_size", scale.cast("int")).withColumn("span", (F.col("bin_size") * win).cast("long"))
+    room = F.greatest(F.lit(1), F.col("own.length") - F.col("span") - 2 * margin)
+    begin = margin + F.floor(unit_draw(seed, "draw", "start") * room).cast("long")
+    return drawn.select("draw", F.col("own.chrom").alias("chrom"), begin.alias("start"), (begin + F.col("span")).alias("stop"), "bin_size")
+
+
+def random_windows(
+    contigs: DataFrame, reads: DataFrame, n: int, scales: tuple[int, ...] = SCALES, weights: tuple[float, ...] | None = None, margin: int = 100_000, least_reads: int = 5, seed: int | str = 0, most_tries: int | None = None
+) -> DataFrame:
+    """The first ``n`` random windows, in the order of their draws, with at least ``least_reads`` reads; (draw, chrom, start, stop, bin_size, n_reads).
+
+    Draws are made and met with reads in rounds, each as large as what is missing needs at the rate so far, until ``n``
+    are kept or ``most_tries`` (a thousand times ``n``) are made. The rows don't depend on the rounds.
+    """
+    weights = weights or tuple(1.0 for _ in scales)
+    most_tries, made, kept, found = most_tries or 1000 * n, 0, 0, None
+    while kept < n and made < most_tries:
+        size = min(most_tries - made, max(1000, 2 * (n - kept) if not kept else int(1.2 * (n - kept) * made / kept)))
+        asked = tries(contigs, made, made + size, scales, weights, margin, seed)
+        met = overlap_join(asked, reads.select("chrom", "start", "stop")).groupBy(*asked.columns).agg(F.count(F.lit(1)).alias("n_reads"))
+        passed = stored(met.where(F.col("n_reads") >= least_reads))
+        found = passed if found is None else found.unionByName(passed)
+        made, kept = made + size, kept + passed.count()
+    if found is None:
+        raise ValueError("no windows are asked for")
+    limit = contigs.sparkSession.createDataFrame([(0, n)], "_all int, n int")
+    return firsts(found.withColumn("_all", F.lit(0)), ["_all"], ["draw"], limit, "n").drop("_all")
+
+
 def hash_key(seed: int | str, *columns: str) -> Column:
     """A reproducible random order: md5 of the seed and the columns."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))

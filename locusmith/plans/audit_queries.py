@@ -128,3 +128,46 @@ def s13(spark, d):
     values = F.flatten(F.transform("label_efficiency", lambda r: F.array(*[r[f"arm_{a}"][m] for a in "ANR" for m in ("auprc", "f1_at_tau")])))
     read = spark.read.json(path).select("benchmark", F.col("seed").cast("int").alias("seed"), F.size("label_efficiency").cast("long").alias("n_budgets"), F.filter(values, lambda v: v.isNotNull()).alias("v"))
     return round_all(read.select("benchmark", "seed", "n_budgets", F.size("v").cast("long").alias("n_values"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total")), "total", digits=6)
+
+
+SCREENED = """population AS (SELECT doc_id, n_chars >= 500 AS eligible, CASE WHEN n_chars >= 500 THEN NULL WHEN doc_id % 5 = 0 THEN '  ' WHEN doc_id % 7 = 0 THEN NULL ELSE 'too short' END AS reason FROM {documents}), coded AS (SELECT DISTINCT doc_id FROM {axes})"""
+
+
+@register("j14_exclusion_reasons", sql_over("WITH " + SCREENED + """ SELECT 'excluded_without_reason' AS problem, count(*) AS n FROM population WHERE NOT eligible AND trim(coalesce(reason, '')) = ''
+UNION ALL SELECT 'excluded_but_coded', count(*) FROM population p WHERE NOT eligible AND EXISTS (SELECT 1 FROM coded c WHERE c.doc_id = p.doc_id)
+UNION ALL SELECT 'eligible_unavailable', count(*) FROM population p WHERE eligible AND NOT EXISTS (SELECT 1 FROM coded c WHERE c.doc_id = p.doc_id)
+UNION ALL SELECT 'coded_not_screened', count(*) FROM coded c WHERE NOT EXISTS (SELECT 1 FROM population p WHERE c.doc_id = p.doc_id)"""))
+def j14_reasons(spark, d):
+    """Every screened document is coded, unavailable, or excluded for a reason that is recorded."""
+    reason = F.when(F.col("n_chars") >= 500, F.lit(None).cast("string")).when(F.col("doc_id") % 5 == 0, "  ").when(F.col("doc_id") % 7 == 0, F.lit(None).cast("string")).otherwise("too short")
+    population = view(spark, d, "documents").select("doc_id", (F.col("n_chars") >= 500).alias("eligible"), reason.alias("reason"))
+    return inf.exclusion_problems(population, view(spark, d, "axes").select("doc_id"))
+
+
+WORDS = list(inf.NUMBER_WORDS)
+STATED = """notes AS (SELECT l_suppkey AS note_id, l_suppkey % 12 AS k, l_suppkey % 15 AS j, l_suppkey % 13 AS i FROM {lineitem} GROUP BY l_suppkey),
+allowed AS (SELECT DISTINCT count(DISTINCT seed) AS n FROM {runs} GROUP BY benchmark, arm, frac, metric)"""
+
+
+@register("x1_unsupported_counts", sql_over("WITH " + STATED + f""", stated AS (SELECT note_id, j AS n, cast(j AS string) || ' seeds' AS token FROM notes
+UNION ALL SELECT note_id, least(k, 10) + 2, ['{"', '".join(w.title() for w in WORDS)}'][cast(least(k, 10) + 1 AS int)] || ' seeds' FROM notes UNION ALL SELECT note_id, i, 'Seeds ' || cast(i AS string) FROM notes)
+SELECT note_id, token, cast(n AS bigint) AS n FROM stated WHERE n NOT IN (SELECT n FROM allowed)"""))
+def x1_counts(spark, d):
+    """Seed counts that notes state in digits, words and a table, less those that the runs have; the notes are spelt out from the line items."""
+    s = F.col("note_id")
+    title = F.element_at(F.array(*[F.lit(w.title()) for w in WORDS]), (F.least(s % 12, F.lit(10)) + 1).cast("int"))
+    table = F.concat(F.lit("\n\n| Arm | Seeds |\n|---|:-:|\n| a | "), (s % 13).cast("string"), F.lit(" |\n"))
+    text = F.concat(F.lit("An arm of "), (s % 15).cast("string"), F.lit(" seeds. "), title, F.lit(" seeds for the other; 7seeds and 123 seeds aren't counts."), table)
+    notes = view(spark, d, "lineitem").select(F.col("l_suppkey").alias("note_id")).distinct().withColumn("text", text)
+    allowed = view(spark, d, "runs").groupBy("benchmark", "arm", "frac", "metric").agg(F.count_distinct("seed").alias("n"))
+    return inf.unsupported_counts(inf.stated_counts(notes, "note_id"), allowed).select("note_id", "token", "n")
+
+
+@register("s9_shard_files", _flat(", whole AS (SELECT chrom, start, label, geno, del_len FROM flat UNION ALL SELECT chrom, start, -1, -1, -1 FROM {candidates}) SELECT chrom, label, geno, count(*) AS n, cast(sum(del_len) AS bigint) AS del_len FROM whole GROUP BY chrom, label, geno").replace(" , whole", ", whole"))
+def s9_files(spark, d):
+    """Labelled and unlabelled shards with sidecars beside them, made one store, whose rows are counted."""
+    shards, store = shared_folder(spark, "shards"), shared_folder(spark, "store")
+    _labelled(spark, d).write.parquet(f"{shards}/labelled")
+    view(spark, d, "candidates").select("chrom", "start").write.parquet(f"{shards}/unlabelled")
+    view(spark, d, "candidates").select("chrom").write.parquet(f"{shards}/meta.index")
+    return tables.consolidate_files(spark, [f"{shards}/labelled", f"{shards}/unlabelled", f"{shards}/meta.index"], store).groupBy("chrom", "label", "geno").agg(F.count(F.lit(1)).alias("n"), F.sum("del_len").alias("del_len"))

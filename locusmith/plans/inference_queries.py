@@ -240,9 +240,23 @@ def t3(spark, d):
     return round_all(round_all(inf.with_p(_paired(spark, d)), "mean_a", "mean_b", "diff", "diff_sd"), "t", "p", digits=6)
 
 
-@register("t4_interval_and_power")
+#: Quantiles of Student's t for the degrees of freedom at hand, by halving an interval in which Simpson's integral of the density passes p.
+QUANTILES = """asked AS (SELECT DISTINCT df0, p FROM tested CROSS JOIN (SELECT unnest([0.975::DOUBLE, 0.8::DOUBLE]) AS p) AS ps WHERE t0 IS NOT NULL),
+halved AS (SELECT df0, p, 0 AS i, 0.0::DOUBLE AS lo, 50.0::DOUBLE AS hi FROM asked
+  UNION ALL SELECT df0, p, i + 1, CASE WHEN below < p THEN mid ELSE lo END, CASE WHEN below < p THEN hi ELSE mid END FROM (SELECT *, (lo + hi) / 2 AS mid, 0.5 + (lo + hi) / 2 * exp(lgamma((df0 + 1) / 2) - lgamma(df0 / 2)) / sqrt(df0 * pi()) *
+    list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END / 6000.0::DOUBLE * pow(1 + ((lo + hi) / 2 * k / 2000.0::DOUBLE) * ((lo + hi) / 2 * k / 2000.0::DOUBLE) / df0, -(df0 + 1) / 2))) AS below FROM halved WHERE i < 48)),
+quants AS (SELECT df0, max(CASE WHEN p > 0.9 THEN lo END) AS q, max(CASE WHEN p < 0.9 THEN lo END) AS q80 FROM halved WHERE i = 48 GROUP BY df0)"""
+INTERVAL_COLS = ", ".join(f"round({e}, 6) + 0.0 AS {n}" for n, e in (("ci_lo", "diff - q * diff_sd / sqrt(n_seeds)"), ("ci_hi", "diff + q * diff_sd / sqrt(n_seeds)"), ("mde80", "(q + q80) * diff_sd / sqrt(n_seeds)")))
+INTERVALS = ("ci_lo", "ci_hi", "mde80")
+
+
+def _rounded_tests(df, *more):
+    return round_all(round_all(df, "mean_a", "mean_b", "diff", "diff_sd"), "t", *INTERVALS, *more, digits=6)
+
+
+@register("t4_interval_and_power", sql_over("WITH RECURSIVE " + DIFFS + ", " + TESTED + ", " + QUANTILES + f" SELECT {PAIRED_COLS}, {INTERVAL_COLS} FROM tested LEFT JOIN quants USING (df0)"))
 def t4(spark, d):
-    return inf.with_interval(_paired(spark, d))
+    return _rounded_tests(inf.with_interval(_paired(spark, d)))
 
 
 HOLM = """known AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p, test) AS rn FROM {tests} WHERE p IS NOT NULL),
@@ -352,10 +366,16 @@ def t13b(spark, d):
     return round_all(round_all(both, "statistic", "p", digits=6), "mean_a", "mean_b")
 
 
-@register("t12_primary_contrast")
+T12 = DIFFS + ", " + TESTED + ", " + QUANTILES + ", " + SIMPSON + f""", known AS (SELECT tested.*, {p_sql()} AS p FROM tested),
+ranked AS (SELECT *, count(p) OVER (PARTITION BY benchmark, metric) AS m, row_number() OVER (PARTITION BY benchmark, metric, p IS NULL ORDER BY p) AS rn FROM known),
+adjusted AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, max((m - rn + 1) * p) OVER (PARTITION BY benchmark, metric, p IS NULL ORDER BY rn ROWS UNBOUNDED PRECEDING)) END AS p_holm FROM ranked)"""
+
+
+@register("t12_primary_contrast", sql_over("WITH RECURSIVE " + T12 + f" SELECT {PAIRED_COLS}, {INTERVAL_COLS}, round(p, 6) + 0.0 AS p, round(p_holm, 6) + 0.0 AS p_holm, CASE WHEN p_holm < 0.05 THEN CASE WHEN diff > 0 THEN 'a better' ELSE 'b better' END ELSE 'not separated' END AS verdict FROM adjusted LEFT JOIN quants USING (df0)"))
 def t12(spark, d):
     tested = inf.holm(inf.with_p(inf.with_interval(_paired(spark, d))), ["benchmark", "metric"])
-    return tested.withColumn("verdict", F.when(F.col("p_holm") < 0.05, F.when(F.col("diff") > 0, "a better").otherwise("b better")).otherwise("not separated"))
+    verdict = F.when(F.col("p_holm") < 0.05, F.when(F.col("diff") > 0, "a better").otherwise("b better")).otherwise("not separated")
+    return _rounded_tests(tested.withColumn("verdict", verdict), "p", "p_holm")
 
 
 @register("t13_claims_table", sql_over("WITH " + SUMMED + ", " + PAIR + ", " + WELCH + ", " + DIFFS + f" SELECT concat_ws(' ', 'welch', benchmark, metric) AS claim, frac, CASE WHEN na > 1 AND nb > 1 AND x + y > 0 THEN round((ma - mb) / sqrt(x + y), 6) + 0.0 END AS statistic FROM w UNION ALL SELECT concat_ws(' ', 'paired', benchmark, metric), frac, CASE WHEN n_seeds > 2 AND diff_sd > 0 THEN round(diff / (diff_sd / sqrt(n_seeds)), 6) + 0.0 END FROM paired"))

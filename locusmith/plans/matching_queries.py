@@ -62,6 +62,21 @@ def c5(spark, d):
     return wn.sample_to_quota(counted, wanted.select("chrom", "quota"), ["chrom"], "random")
 
 
+C5_SCALES, C5_WEIGHTS, C5_TRIES = (1, 2, 4, 8, 16, 32, 64), (4, 3, 3, 2, 2, 1, 1), 40_000
+_unit = lambda what: f"(('0x' || substr(md5(concat_ws('|', 'random', '{what}', cast(draw AS string))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+_scale = "CASE " + " ".join(f"WHEN u < {sum(C5_WEIGHTS[: i + 1]) / sum(C5_WEIGHTS)!r}::DOUBLE THEN {s}" for i, s in enumerate(C5_SCALES)) + " ELSE 64 END"
+
+
+@register("c5_weighted_windows", sql_over(f"""WITH usable AS (SELECT chrom, length, coalesce(sum(length) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(length) OVER () AS total FROM {{contigs}} WHERE length > 300000),
+draws AS (SELECT draw, {_scale} AS bin_size, {_unit('chrom')} AS uc, {_unit('start')} AS us FROM (SELECT draw, {_unit('scale')} AS u FROM range(0, {C5_TRIES}) AS t(draw))),
+placed AS (SELECT draw, chrom, bin_size, 100000 + cast(floor(us * greatest(1, length - bin_size * 256 - 200000)) AS bigint) AS start FROM draws JOIN usable ON cast(floor(uc * total) AS bigint) >= before AND cast(floor(uc * total) AS bigint) < before + length),
+passed AS (SELECT p.draw, p.chrom, p.start, p.start + p.bin_size * 256 AS stop, p.bin_size, count(*) AS n_reads FROM placed p JOIN {{reads}} r ON r.chrom = p.chrom AND r.start < p.start + p.bin_size * 256 AND r.stop > p.start GROUP BY p.draw, p.chrom, p.start, p.bin_size HAVING count(*) >= 5)
+SELECT * FROM passed ORDER BY draw LIMIT 2000"""))
+def c5_weighted(spark, d):
+    """Exactly 2,000 windows of weighted scales, drawn and refilled until enough have five reads; the twin draws 40,000 times at once."""
+    return wn.random_windows(view(spark, d, "contigs"), view(spark, d, "reads"), 2000, C5_SCALES, C5_WEIGHTS, seed="random", most_tries=C5_TRIES)
+
+
 @register("c7_quantile_matched", sql_over("WITH " + MATCHED + " SELECT chrom, bin_size, start, round(ratio, 7) + 0.0 AS ratio, cast(stratum AS int) AS stratum, first FROM kept"))
 def c7(spark, d):
     return round_all(_matched(spark, d)[1].select("chrom", "bin_size", "start", "ratio", "stratum", "first"), "ratio")

@@ -161,11 +161,11 @@ def _documents(spark, d):
     return r.withColumnRenamed("n", "runs_n").withColumn("n", (F.col("frac") * 1000).cast("long")).select("benchmark", "seed", "frac", "n", "arm", "metric", "value")
 
 
-@register("s11_results_scan", sql_over("SELECT seed, cast(frac AS DOUBLE) AS frac, concat('arm_', arm) AS arm, metric, value FROM {runs} WHERE benchmark = 'O'"))
+@register("s11_results_scan", sql_over("SELECT seed, cast(frac AS DOUBLE) AS frac, concat('arm_', arm) AS arm, metric, value FROM {runs}"))
 def s11(spark, d):
-    r = _documents(spark, d).where("benchmark = 'O'")
+    r = _documents(spark, d)
     metrics = F.struct(*[F.max(F.when((F.col("metric") == m), F.col("value"))).alias(m) for m in ("auprc", "f1_at_tau")])
-    arms = r.groupBy("seed", "frac", "n", "arm").agg(metrics.alias("m")).groupBy("seed", "frac", "n")
+    arms = r.groupBy("benchmark", "seed", "frac", "n", "arm").agg(metrics.alias("m")).groupBy("benchmark", "seed", "frac", "n")
     nested = arms.agg(*[F.max(F.when(F.col("arm") == a, F.col("m"))).alias(f"arm_{a}") for a in ("A", "N", "R")])
     return tables.long_runs(nested.select("seed", F.struct("frac", "n", "arm_A", "arm_N", "arm_R").alias("r"))).select("seed", "frac", "arm", "metric", "value")
 

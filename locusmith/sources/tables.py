@@ -33,6 +33,22 @@ def consolidate(*tables: DataFrame, sentinels: dict | None = None) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in fill.items() if c in out.columns})
 
 
+def consolidate_files(spark: SparkSession, folders: list[str], path: str, sidecar: str = "meta.", sentinels: dict | None = None) -> DataFrame:
+    """One store of the shards in ``folders``, and its rows; folders whose name begins with ``sidecar`` are left out.
+
+    The store must have as many rows as the shards' files say that they hold, else ValueError.
+    """
+    shards = [f for f in sorted(folders) if not f.rstrip("/").rsplit("/", 1)[-1].startswith(sidecar)]
+    if not shards:
+        raise FileNotFoundError(f"no shards in {folders}")
+    parts = [spark.read.parquet(f) for f in shards]
+    consolidate(*parts, sentinels=sentinels).write.parquet(path)
+    store, expected = spark.read.parquet(path), sum(p.count() for p in parts)
+    if (found := store.count()) != expected:
+        raise ValueError(f"{found} rows of {expected} in {path}")
+    return store
+
+
 def read_windows(spark: SparkSession, path: str, split: str = "all", labelled: bool = True) -> DataFrame:
     """Windows of a split; the filter prunes partitions and an unlabelled read takes no label columns."""
     df = spark.read.parquet(path)
