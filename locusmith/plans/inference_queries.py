@@ -45,10 +45,10 @@ def g3(spark, d):
     return round_all(inf.efficiency_table(runs(spark, d), ["auprc", "f1_at_tau"]), *EFF)
 
 
-@register("g4_calibration_table", sql_over("SELECT benchmark, arm, round(avg(value), 7) + 0.0 AS mean, round(stddev_pop(value), 7) + 0.0 AS sd, round(quantile_cont(value, 0.5), 7) + 0.0 AS median FROM {runs} WHERE frac = 1.0 GROUP BY benchmark, arm"))
+@register("g4_calibration_table", sql_over("SELECT benchmark, arm, round(avg(value), 11) + 0.0 AS mean, round(stddev_pop(value), 11) + 0.0 AS sd, round(quantile_cont(value, 0.5), 11) + 0.0 AS median FROM {runs} WHERE frac = 1.0 GROUP BY benchmark, arm"))
 def g4(spark, d):
     full = runs(spark, d).where("frac = 1.0").groupBy("benchmark", "arm").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.expr("percentile(value, 0.5)").alias("median"))
-    return round_all(full, "mean", "sd", "median")
+    return round_all(full, "mean", "sd", "median", digits=11)
 
 
 @register("g5_strata_over_seeds", sql_over("WITH r AS (SELECT arm, seed, CASE WHEN del_len < 1000 THEN 'short' ELSE 'long' END AS stratum, avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE) AS recall FROM {predictions} WHERE label = 1 GROUP BY 1, 2, 3) SELECT arm, stratum, round(avg(recall), 7) + 0.0 AS mean, round(stddev_samp(recall), 7) + 0.0 AS sd, count(*) AS n FROM r GROUP BY arm, stratum"))
