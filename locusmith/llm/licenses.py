@@ -1,9 +1,10 @@
 """License scans by fuzzy short-notice search.
 
 A notice within k errors of a pattern holds one of any k + 1 pieces of the pattern unchanged (pigeonhole). So every
-pattern is split into k + 1 exact seeds; only around a seed's places does the regex library look for the whole
-pattern with at most k errors, and it reports the span and the errors it found. Base labels come from the exact
-word sequences of the contract; the fuzzy notices add theirs.
+pattern is split into k + 1 exact seeds; only around a seed's places is the whole pattern looked for with at most k
+errors. Areas in which no place can end a notice, by one bit-parallel pass of edit distances over them, are left out;
+in the others the regex library verifies the notice and reports the span and the errors it found. Base labels come
+from the exact word sequences of the contract; the fuzzy notices add theirs.
 
 Defined results: a null text is empty; equal texts get equal results; of overlapping notices of one pattern the one with
 the fewest errors stays, then the first; other columns don't matter; an empty table gives an empty result.
@@ -49,10 +50,58 @@ def seeds(pattern: str, errors: int) -> list[tuple[int, str]]:
     return [(a, pattern[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-_FUZZY = [(label, errors, len(pattern), seeds(pattern, errors), regex.compile(f"(?be)(?:{regex.escape(pattern)}){{e<={errors}}}")) for pattern, label, errors in NOTICES]
+def letter_masks(pattern: str) -> dict[str, int]:
+    """For each character of the pattern, the bits of its places."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+_FUZZY = [(label, errors, len(pattern), seeds(pattern, errors), regex.compile(f"(?be)(?:{regex.escape(pattern)}){{e<={errors}}}"), letter_masks(pattern)) for pattern, label, errors in NOTICES]
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def ends(text: str, left: int, right: int, masks: dict[str, int], size: int, errors: int) -> list[int]:
+    """Where text[left:right] may end a notice: the ends of all parts of it within ``errors`` edits of the pattern.
+
+    The column of edit distances is kept as bits of its rises and falls, so a character costs a few integer operations.
+    """
+    every, top = (1 << size) - 1, 1 << (size - 1)
+    rises, falls, distance, out = every, 0, size, []
+    for at in range(left, right):
+        same = masks.get(text[at], 0) | falls
+        level = ((rises + (same & rises)) ^ rises) | same
+        down, up = rises & level, falls | every & ~(rises | level)
+        if up & top:
+            distance += 1
+        elif down & top:
+            distance -= 1
+        up <<= 1
+        falls, rises = up & level & every, (down << 1 | ~(up | level)) & every
+        if distance <= errors:
+            out.append(at + 1)
+    return out
+
+
+def possible(text: str, areas: set[tuple[int, int]], own: tuple) -> list[tuple[int, int]]:
+    """The areas in which a notice may end; areas that overlap are passed over once."""
+    _, errors, size, _, _, masks = own
+    out: list[tuple[int, int]] = []
+    waiting, upto = sorted(areas), 0
+    while upto < len(waiting):
+        first, (left, right) = upto, waiting[upto]
+        while upto < len(waiting) and waiting[upto][0] <= right:
+            right = max(right, waiting[upto][1])
+            upto += 1
+        found = ends(text, left, right, masks, size, errors)
+        for a, b in waiting[first:upto] if found else ():
+            at = bisect.bisect_left(found, a + size - errors)
+            if at < len(found) and found[at] <= b:
+                out.append((a, b))
+    return out
+
+
 def _best(text: str, area: tuple[int, int], own: tuple) -> tuple[int, int, int, int, int] | None:
     """(errors, start, end, area) of the best notice in an area of a text, if there is any."""
     found = own[4].search(text, *area)
@@ -62,21 +111,21 @@ def _best(text: str, area: tuple[int, int], own: tuple) -> tuple[int, int, int,
 def notices(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, label, errors) of the notices in a text whose A-Z are lower-cased.
 
-    Every seed's area is searched by itself; it is too short for two notices. The best of all comes first; where a
+    Every seed's area that may hold one is searched by itself; it is too short for two notices. The best of all comes first; where a
     kept notice of the pattern overlaps the best of an area, what it leaves of the area is searched again. So every
     notice overlaps a kept one of its pattern with no more errors, or is kept. An area is searched a few times, and
     overlaps are looked up in order, so the time follows the number of seeds.
     """
     out: list[tuple[int, int, str, int]] = []
     for own in _FUZZY:
-        label, errors, size, parts, _ = own
+        label, errors, size, parts, _, _ = own
         areas: set[tuple[int, int]] = set()
         for offset, seed in parts:
             at = text.find(seed)
             while at >= 0:
                 areas.add((max(0, at - offset - errors), min(len(text), at - offset + size + errors)))
                 at = text.find(seed, at + 1)
-        heap = [best for area in areas if (best := _best(text, area, own))]
+        heap = [best for area in possible(text, areas, own) if (best := _best(text, area, own))]
         heapq.heapify(heap)
         starts: list[int] = []
         ends: dict[int, int] = {}

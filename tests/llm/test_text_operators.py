@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from math import log2
 
@@ -111,6 +112,31 @@ def test_licenses():
         assert regex.search(f"(?:{regex.escape(pattern)}){{e<={errors}}}", "".join(damaged))
 
 
+def test_license_areas_without_a_notice_are_left_out(monkeypatch):
+    """Edit distances by bits equal Sellers' table; many seeds without a notice are cheap; notices stay the same."""
+    rng = random.Random(8)
+    for pattern, _, errors in licenses.NOTICES:
+        parts = [pattern[:9], pattern[5:], pattern, "permission ", "xy ", "license"]
+        text = "".join(rng.choice(parts) for _ in range(30))
+        column, expected = list(range(len(pattern) + 1)), []
+        for end, c in enumerate(text, 1):
+            last, column[0] = column[0], 0
+            for i, p in enumerate(pattern, 1):
+                last, column[i] = column[i], min(last + (p != c), column[i] + 1, column[i - 1] + 1)
+            if column[-1] <= errors:
+                expected.append(end)
+        assert licenses.ends(text, 0, len(text), licenses.letter_masks(pattern), len(pattern), errors) == expected
+        damaged = [pattern if rng.random() < 0.3 else "".join(c for c in pattern if rng.random() > 0.06) for _ in range(12)]
+        mixed = " and ".join(damaged) + text
+        found = licenses.notices(mixed)
+        with monkeypatch.context() as patch:
+            patch.setattr(licenses, "possible", lambda text, areas, own: areas)
+            assert licenses.notices(mixed) == found
+    began = time.process_time()
+    assert licenses.notices("person obtaining a copy " * 4000) == []
+    assert time.process_time() - began < 4
+
+
 def test_cross_parsing_equals_brute_force():
     rng = random.Random(2)
     samples = {k: "".join(rng.choice(a) for _ in range(400)) for k, a in (("aa", "abcd "), ("bb", "bcde "), ("cc", "xyzé "))}
