@@ -7,7 +7,8 @@ Nothing but a row for each document and one for each verified hit leaves the sca
 document's hits.
 
 Windows are broadcast in blocks of up to WINDOW_ROWS rows and WINDOW_BYTES bytes, counted before; a benchmark of more
-blocks is scanned for block by block, so documents' positions are never shuffled, and no word or window can be a hot key.
+blocks is scanned for block by block, so documents' positions are never shuffled, and no word or window can be a hot
+key. The items of the windows meet the documents that hold these in the same way, in blocks of HIT_ROWS.
 
 Defined results: a null or wordless text has no words and no hits; null and wordless items have no windows; an item
 without an id hits words but isn't named; equal items with different ids all count; rows with equal id and text get
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, join_small
+from .common import checkpoint, fresh
 
 WINDOW = 13
 #: Rows and bytes of a block of windows that is broadcast; rows of hit documents up to which these are.
@@ -77,7 +78,10 @@ def per_document(found: DataFrame, links: DataFrame) -> DataFrame:
     """Hit words and items of the documents that have any; grouped by document, so a group is at most a document long."""
     own = found.where("start > 0")
     spans = own.groupBy("doc_id", "digest").agg(F.first("n_words").alias("n_words"), F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans"))
-    named = join_small(own.select("doc_id", "digest", "window").distinct(), links, ["window"], limit=HIT_ROWS)
+    held = own.select("doc_id", "digest", "window").distinct()
+    n_blocks = max(1, -(-links.count() // HIT_ROWS))
+    block = F.pmod(F.xxhash64("window", "item"), F.lit(n_blocks))
+    named = reduce(DataFrame.unionByName, [held.join(F.broadcast(links.where(block == k) if n_blocks > 1 else links), "window") for k in range(n_blocks)])
     named = named.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("item")).alias("items"))
     zero = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("upto"))
 

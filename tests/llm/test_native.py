@@ -162,3 +162,14 @@ def test_slots_of_many_equal_rows(spark):
     for r in sharding.shard_documents(df).collect():
         slots[r["shard"]].append(r["slot"])
     assert sum(map(len, slots.values())) == 3550 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_items_of_windows_meet_in_blocks(spark, monkeypatch):
+    """More links of windows and items than one broadcast holds: the same rows, with windows of one word that all documents have."""
+    rows = [(i, " ".join(["common", f"w{i}", "two words"] * (1 + i % 3)), None, 0) for i in range(40)]
+    items = [(i, ("Common", "two words", f"w{i} two", "words common")[i % 4]) for i in range(30)] + [(99, None)]
+    df, benchmark = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    usual = {tuple(r) for r in decontaminate.report(df, benchmark).collect()}
+    assert max(r[3] for r in usual) > 8
+    monkeypatch.setattr(decontaminate, "HIT_ROWS", 5)
+    assert {tuple(r) for r in decontaminate.report(df, benchmark).collect()} == usual
