@@ -45,6 +45,8 @@ WORD_BITS, LEVELS, RAREST = 20, 255, 1 / 1024
 BINNED_FROM, FULL_TO = 185, 250
 #: Texts of a bucket up to which all pairs are compared as rows; elements that are sampled at once.
 SMALL, AT_ONCE = 24, 4096
+#: Keys of larger buckets up to which these are broadcast; members of a bucket, or pairs of a text, above which a key is hot.
+KEYS, HOT = 1_000_000, 10_000
 #: Texts and bytes of a block of a larger bucket.
 BLOCK_TEXTS, BLOCK_BYTES = 256, 1 << 23
 _SEEDS = mix(np.arange(1, 2 * SLOTS + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -170,6 +172,27 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, words binary, bands array<long>")
 
 
+def _met(members: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The members of the checkpointed buckets (key, n and more), with what these hold.
+
+    Up to KEYS buckets are broadcast. Of more, the hot ones are met first and the others, of at most HOT members each,
+    by shuffle, so that no task gets a hot bucket.
+    """
+    if keyed.count() <= KEYS:
+        return members.join(F.broadcast(keyed), "key")
+    hot = checkpoint(keyed.where(F.col("n") > HOT))
+    cold = join_small(members, hot.select("key"), ["key"], "left_anti", limit=KEYS)
+    return join_small(members, hot, ["key"], limit=KEYS).unionByName(cold.join(keyed.where(F.col("n") <= HOT), "key"))
+
+
+def _unmet(members: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The members of no bucket of ``keyed``; hot buckets are left out before others are shuffled, as in ``_met``."""
+    if keyed.count() <= KEYS:
+        return members.join(F.broadcast(keyed.select("key")), "key", "left_anti")
+    hot = checkpoint(keyed.where(F.col("n") > HOT).select("key"))
+    return join_small(members, hot, ["key"], "left_anti", limit=KEYS).join(keyed.select("key"), "key", "left_anti")
+
+
 def _sized(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sets of ids in buckets of up to SMALL members, each set once; the members of larger ones with a leader.
 
@@ -177,11 +200,12 @@ def _sized(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     them, while two copies have each one's changes between them.
     """
     sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    small = members.join(sized.where(F.col("n") <= SMALL).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    large = checkpoint(members.join(sized.where(F.col("n") > SMALL), "key").select("key", "id", "n"))
+    many = checkpoint(sized.where(F.col("n") > SMALL))
+    small = _unmet(members, many).join(sized.where(F.col("n") <= SMALL).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    large = checkpoint(_met(members, many).select("key", "id", "n"))
     known = large.groupBy("id").agg(F.sum("n").alias("known"))
-    leaders = checkpoint(large.join(known, "id").groupBy("key").agg(F.max_by("id", F.struct("known", F.xxhash64("id"))).alias("leader")))
-    return small.select("ids").distinct(), join_small(large.select("key", "id"), leaders, ["key"])
+    leaders = checkpoint(large.join(known, "id").groupBy("key").agg(F.max_by("id", F.struct("known", F.xxhash64("id"))).alias("leader"), F.first("n").alias("n")))
+    return small.select("ids").distinct(), _met(large.select("key", "id"), leaders).select("key", "id", "leader")
 
 
 def _all_pairs(small: DataFrame) -> DataFrame:
@@ -210,8 +234,11 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return join_small(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, ["id"], limit=1_000_000)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, weights, threshold: float) -> DataFrame:
-    """The pairs whose whole texts are at least ``threshold`` alike by weighted Jaccard, with that similarity."""
+def _similar(pairs: DataFrame, docs: DataFrame, weights) -> DataFrame:
+    """The checkpointed pairs (u, v) with the weighted Jaccard similarity of their whole texts.
+
+    A text of over HOT pairs is repeated once for each HOT of them, which are dealt to the repeats by hash.
+    """
 
     @F.pandas_udf("double")
     def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -227,18 +254,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights, threshold: float) -> D
                 out += [_alike(*left_set, *right_set) for left_set, right_set in zip(sets[::2], sets[1::2], strict=True)]
             yield pd.Series(out, dtype="float64")
 
-    ids = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    texts = _texts(docs, ids)
-    left = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
-    both = left.join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    return both.select("u", "v", alike("a", "b").alias("similarity")).where(F.col("similarity") >= threshold).dropDuplicates(["u", "v"])
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("u"), F.lit(0).alias("v")), F.struct(F.col("v").alias("id"), F.lit(0).alias("u"), F.lit(1).alias("v")))).alias("e"))
+    parts = [F.ceil(F.sum(f"e.{side}") / F.lit(HOT)).cast("int").alias(f"parts_{side}") for side in "uv"]
+    ids = checkpoint(ends.groupBy(F.col("e.id").alias("id")).agg(*parts))
+    hot = checkpoint(ids.where("parts_u > 1 OR parts_v > 1"))
+    texts, met = _texts(docs, ids), pairs
+    for side, other, name in (("u", "v", "a"), ("v", "u", "b")):
+        own = texts.where(F.col(f"parts_{side}") > 0).select(F.col("id").alias(side), F.col("text").alias(name), F.explode(F.sequence(F.lit(0), F.col(f"parts_{side}") - 1)).alias("part"))
+        dealt = join_small(met, hot.select(F.col("id").alias(side), F.greatest(f"parts_{side}", F.lit(1)).alias("parts")), [side], "left")
+        met = dealt.withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts").join(own, [side, "part"]).drop("part")
+    return met.select("u", "v", alike("a", "b").alias("similarity"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, weights, threshold: float) -> DataFrame:
+    """The pairs whose whole texts are at least ``threshold`` alike by weighted Jaccard, with that similarity."""
+    return _similar(pairs, docs, weights).where(F.col("similarity") >= threshold).dropDuplicates(["u", "v"])
 
 
 def _bridged(rows: pd.DataFrame, weigh: Weights, threshold: float) -> pd.DataFrame:
-    """Links (u < v) that join the components of a block: each text of its rest against all its members.
+    """Links (u < v) with similarities that join the components of a block: each text of its rest against all its members.
 
     A pair is compared in the least bucket that it shares, and not once the links found here join its components.
     """
+    rows = rows.sort_values(["id", "query"], ignore_index=True)
     texts = rows.drop_duplicates("id").reset_index(drop=True)
     found, weight, first = [], [], [np.zeros(1, np.int64)]
     for _, _, raw, bounds in blocks(pa.array(texts["text"], pa.large_string())):
@@ -273,10 +311,11 @@ def _bridged(rows: pd.DataFrame, weigh: Weights, threshold: float) -> pd.DataFra
                 continue
             u, v = (r, m) if ids[r] < ids[m] else (m, r)
             a, b = slice(first[u], first[u + 1]), slice(first[v], first[v + 1])
-            if _alike(found[a], weight[a], found[b], weight[b]) >= threshold:
+            similarity = _alike(found[a], weight[a], found[b], weight[b])
+            if similarity >= threshold:
                 inverse[inverse == inverse[m]] = inverse[r]
-                links.append((ids[u], ids[v]))
-    return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+                links.append((int(ids[u]), int(ids[v]), float(similarity)))
+    return pd.DataFrame(links, columns=["u", "v", "similarity"]).astype({"u": "int64", "v": "int64", "similarity": "float64"})
 
 
 def _bridges(large: DataFrame, links: DataFrame, texts: DataFrame, docs: DataFrame, weights, threshold: float) -> DataFrame:
@@ -307,26 +346,22 @@ def _bridges(large: DataFrame, links: DataFrame, texts: DataFrame, docs: DataFra
     def bridged(rows: pd.DataFrame) -> pd.DataFrame:
         return _bridged(rows, weights.value, threshold)
 
-    return members.union(queries).join(whole, "id").groupBy("key", "a", "b").applyInPandas(bridged, "u long, v long")
+    return members.union(queries).join(whole, "id").groupBy("key", "a", "b").applyInPandas(bridged, "u long, v long, similarity double")
 
 
 def _links(texts: DataFrame, docs: DataFrame, weights, threshold: float) -> DataFrame:
-    """Verified links (u < v) between texts (id, bands), which connect all that verified pairs of a common bucket do."""
+    """Verified links (u < v, similarity) between texts (id, bands), which connect all that verified pairs of a common bucket do."""
     small, large = _sized(texts.select(F.explode("bands").alias("key"), "id"))
     large = checkpoint(large)
     pairs = checkpoint(_all_pairs(small).union(_led(large)).distinct())
-    links = checkpoint(_verified(pairs, docs, weights, threshold).select("u", "v"))
+    links = checkpoint(_verified(pairs, docs, weights, threshold))
     if not large.count():
         return links
-    return checkpoint(links.union(_bridges(large, links, texts, docs, weights, threshold)).distinct())
-
+    return checkpoint(links.union(_bridges(large, links, texts, docs, weights, threshold)).dropDuplicates(["u", "v"]))
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rarest: float = RAREST) -> DataFrame:
-    """One row per distinct doc_id: doc_id, text_id (least id with the same words) and class_id.
 
-    A class_id is the least id of all documents that similar or equal texts connect. Links aren't counted: in large
-    buckets only those are sought that join components, so their number would follow from the size of the bucket.
-    """
+def _compared(docs: DataFrame, threshold: float, rarest: float) -> tuple:
+    """The broadcast weights; (doc_id, words) of the documents; (words, text_id) of the different texts; their links."""
     kind = docs.schema["doc_id"].dataType
     if not isinstance(kind, IntegralType):
         raise TypeError(f"doc_id has to be an integer column, not {kind.simpleString()}")
@@ -336,11 +371,55 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rarest: float
     alone = F.col("words").isNull() | (F.col("words") != F.col("other")) | (F.col("n_with") != F.col("n"))
     signed = checkpoint(signed.select("doc_id", F.when(~alone, F.col("words")).alias("words"), "bands"))
     texts = checkpoint(signed.where("words IS NOT NULL").groupBy("words").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    links = _links(texts, docs, weights, threshold)
-    named = texts.select("words", F.col("id").alias("text_id"))
-    label = components(links).select(F.col("node").alias("text_id"), "component")
-    named = named.join(label, "text_id", "left")
-    return signed.select("doc_id", "words").join(named, "words", "left").select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("component", "text_id", "doc_id").alias("class_id"))
+    return weights, signed.select("doc_id", "words"), texts.select("words", F.col("id").alias("text_id")), _links(texts, docs, weights, threshold)
+
+
+def _classes(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """The texts with the component of those that have links."""
+    return texts.join(components(links).select(F.col("node").alias("text_id"), "component"), "text_id", "left")
+
+
+def _members(signed: DataFrame, named: DataFrame, *more: str) -> DataFrame:
+    whole = signed.join(named, "words", "left")
+    return whole.select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("component", "text_id", "doc_id").alias("class_id"), *more)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rarest: float = RAREST) -> DataFrame:
+    """One row per distinct doc_id: doc_id, text_id (least id with the same words) and class_id.
+
+    A class_id is the least id of all documents that similar or equal texts connect. Links aren't counted: in large
+    buckets only those are sought that join components, so their number would follow from the size of the bucket.
+    """
+    _, signed, texts, links = _compared(docs, threshold, rarest)
+    return _members(signed, _classes(texts, links))
+
+
+def verified_links(docs: DataFrame, threshold: float = THRESHOLD, rarest: float = RAREST) -> DataFrame:
+    """(u, v, similarity), u < v: verified pairs of different texts, named by their text_id, which connect each class.
+
+    Buckets of up to SMALL texts give all their pairs, larger ones those with their leader and those that join what is
+    left apart. With the text_id of every document these are the pairs of representatives and the membership.
+    """
+    return _compared(docs, threshold, rarest)[3]
+
+
+def represented(docs: DataFrame, threshold: float = THRESHOLD, rarest: float = RAREST) -> DataFrame:
+    """``near_duplicates``, and ``similarity``: that of a document's whole text with the text of its class_id.
+
+    This pairs each text with its class's representative, whatever buckets they met in. It is 1 for equal words, null
+    for documents that are classes of their own because they have no words or several texts, and may be below
+    ``threshold`` where only a chain of links joins the two. What links already verified isn't compared again.
+    """
+    weights, signed, texts, links = _compared(docs, threshold, rarest)
+    named = checkpoint(_classes(texts, links))
+    pairs = named.where("component != text_id").select(F.col("component").alias("u"), F.col("text_id").alias("v"))
+    known = checkpoint(pairs.join(links, ["u", "v"], "left"))
+    others = checkpoint(known.where("similarity IS NULL").select("u", "v"))
+    found = known.where("similarity IS NOT NULL")
+    if others.count():
+        found = found.unionByName(_similar(others, docs, weights).dropDuplicates(["u", "v"]))
+    found = found.select(F.col("v").alias("text_id"), "similarity")
+    return _members(signed, named.join(found, "text_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(1.0))), "similarity")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

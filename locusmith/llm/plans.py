@@ -47,7 +47,7 @@ def op8_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(documents(spark, sf_dir))
+    return neardup.represented(documents(spark, sf_dir))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,3 +155,90 @@ def test_large_group_around_the_threshold(spark):
     assert 50 < len(joined) < len(rows) - 1
     assert sum(got[i] == 0 for i in joined) >= 0.98 * len(joined)
     assert all(expected[i] == 0 for i, c in got.items() if c == 0)
+
+
+def test_similarity_to_the_representative(spark):
+    """Links are verified pairs of different texts that connect each class; every text is compared with its class's own."""
+    rows = [*corpus(25, seed=21), (9000, None), (9001, "...")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    classes = brute_classes(rows)
+    got = {r["doc_id"]: r for r in neardup.represented(df).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == classes
+    similar = exact_similarity(rows)
+    for i, r in got.items():
+        own = similar(i, r["class_id"])
+        assert (r["similarity"] is None) == (own is None) and (own is None or math.isclose(r["similarity"], own, abs_tol=0.02)), i
+    links = neardup.verified_links(df).collect()
+    text_of = {i: r["text_id"] for i, r in got.items()}
+    parent = {i: text_of[i] for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for u, v, s in links:
+        assert u < v and text_of[u] == u and text_of[v] == v and s >= 0.8 and math.isclose(s, similar(u, v), abs_tol=0.02)
+        x, y = sorted((find(u), find(v)))
+        parent[y] = x
+    assert {i: find(i) for i, _ in rows} == classes
+
+
+def exact_similarity(rows):
+    words = {i: tokens(text) for i, text in rows}
+    df = Counter(w for own in words.values() for w in set(own))
+    idf = {w: 1 - math.log(max(n / len(rows), neardup.RAREST)) for w, n in df.items()}
+
+    def weighted(own):
+        n = min(5, len(own))
+        grams = Counter(tuple(own[k : k + n]) for k in range(len(own) - n + 1))
+        return {g: tf * sum(idf[w] for w in g) / n for g, tf in grams.items()}
+
+    def similar(a, b):
+        if not words[a] or not words[b]:
+            return None
+        x, y = weighted(words[a]), weighted(words[b])
+        both = sum(min(w, y[g]) for g, w in x.items() if g in y)
+        return both / (sum(x.values()) + sum(y.values()) - both)
+
+    return similar
+
+
+def test_hot_buckets_and_hot_texts(spark, monkeypatch):
+    """Rows are those of one plan, where more buckets than are broadcast are met in tiers and hot texts are repeated."""
+    rng = random.Random(15)
+    base = [f"b{rng.randrange(5000)}" for _ in range(150)]
+    rows = [*corpus(10, seed=16), (800, " ".join(base))]
+    for i in range(60):
+        own = list(base)
+        own[rng.randrange(150)] = f"x{i}"
+        rows.append((801 + i, " ".join(own)))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    usual = {tuple(r) for r in neardup.represented(df).collect()}
+    monkeypatch.setattr(neardup, "HOT", 7)
+    assert {tuple(r) for r in neardup.represented(df).collect()} == usual
+    monkeypatch.setattr(neardup, "HOT", 40)
+    monkeypatch.setattr(neardup, "KEYS", 3)
+    assert {tuple(r) for r in neardup.represented(df).collect()} == usual
+
+
+def test_long_texts_near_the_threshold_share_a_band():
+    """Pairs of 150 to 10,000 words and a similarity of 0.80 to 0.85 are candidates, in either form of signatures."""
+    rng = random.Random(31)
+    weights = neardup.Weights(neardup.np.zeros(1 << neardup.WORD_BITS), 1_000_000)
+    for n, pairs in ((150, 40), (1_000, 40), (10_000, 12)):
+        near = met = 0
+        while near < pairs:
+            own = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            other = list(own)
+            for k in rng.sample(range(n), max(1, round(n * rng.uniform(0.018, 0.022)))):
+                other[k] = f"y{rng.randrange(10**6)}"
+            (_, _, raw, bounds), *more = list(neardup.blocks(neardup.pa.array([" ".join(own), " ".join(other)])))
+            assert not more
+            found, weight, first = weights.shingles(raw, bounds)
+            a, b = slice(first[0], first[1]), slice(first[1], first[2])
+            if not 0.80 <= neardup._alike(found[a], weight[a], found[b], weight[b]) <= 0.85:
+                continue
+            left, right = neardup.bands(found, weight, first)
+            near, met = near + 1, met + bool(set(left) & set(right))
+        assert met >= 0.98 * near, (n, met, near)
