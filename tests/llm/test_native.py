@@ -6,6 +6,8 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from locusmith.llm import decontaminate, mixing, sharding
 
 SCHEMA = "doc_id long, text string, source string, n_chars long"
@@ -114,6 +116,20 @@ def test_empty_texts_of_a_full_source(spark):
     assert mixing.mix(df).where("source = 'a'").count() == 80
 
 
+def test_rows_of_one_id_come_near_the_target(spark):
+    """Null ids with unlike texts are drawn apart, and of rows that are alike in id and text as many are taken as fit."""
+    rows = [(None, f"w{i} " * 10, "a", i) for i in range(300)] + [(None, "same " * 10, "b", i) for i in range(300)] + [(i, "x " * 10, "c", i) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = mixing.mixed_sizes(df).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r["n"] for r in got) == 900
+    targets = {"a": 6000.0, "b": 2500.0, "c": 5000.0}
+    mixed = mixing.mix(df).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("n_chars").alias("distinct")).collect()
+    for r in mixed:
+        assert abs(10 * r["n"] - targets[r["source"]]) <= 10 and r["distinct"] == 300 if r["source"] == "a" else abs(10 * r["n"] - targets[r["source"]]) <= 10
+    alike = mixing.mixed_sizes(df.where("source = 'b'"), weights=(1,), share=0.37, most=2.0).groupBy("taken").count().collect()
+    assert {r["taken"]: r["count"] for r in alike} == {0: 189, 10: 111}
+
+
 def test_many_windows_in_blocks_and_a_common_word(spark, monkeypatch):
     rng = random.Random(3)
     items = [(i, " ".join(f"q{rng.randrange(10**6)}" for _ in range(60))) for i in range(640)] + [(9000, "the"), (None, "nobody asked this short question")]
