@@ -60,9 +60,9 @@ def g5(spark, d):
     return round_all(inf.summary(recall.withColumnRenamed("recall", "value"), ["arm", "stratum"]), "mean", "sd")
 
 
-@register("g6_ablation_table", sql_over("WITH " + SUMMED + f" SELECT arm, metric, {rounded('mean', 'sd')}, n FROM summed WHERE benchmark = 'O' AND frac = 0.1"))
+@register("g6_ablation_table", sql_over("WITH " + SUMMED + f" SELECT benchmark, cast(frac AS DOUBLE) AS frac, arm, metric, {rounded('mean', 'sd')}, n FROM summed"))
 def g6(spark, d):
-    return round_all(summed(spark, d).where("benchmark = 'O' AND frac = 0.1").select("arm", "metric", "mean", "sd", "n"), "mean", "sd")
+    return round_all(summed(spark, d).select("benchmark", F.col("frac").cast("double").alias("frac"), "arm", "metric", "mean", "sd", "n"), "mean", "sd")
 
 
 @register("g7_transfer_table", sql_over("WITH " + SUMMED + " SELECT arm, frac, metric, round(avg(mean) FILTER (benchmark = 'F'), 7) + 0.0 AS in_dist, round(avg(mean) FILTER (benchmark = 'O'), 7) + 0.0 AS held_out, round(avg(mean) FILTER (benchmark = 'F') - avg(mean) FILTER (benchmark = 'O'), 7) + 0.0 AS gap FROM summed GROUP BY arm, frac, metric"))

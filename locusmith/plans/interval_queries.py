@@ -124,9 +124,9 @@ def p7(spark, d):
     return view(spark, d, "predictions").groupBy(wn.length_stratum(F.col("del_len")).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("c1_tile_windows", sql_over("WITH t AS (SELECT chrom, bin_size, unnest(range(0, greatest(1, length - bin_size * 256), 1024)) AS start FROM {contigs} CROSS JOIN (VALUES (4), (16)) AS b(bin_size)) SELECT t.chrom, bin_size, count(DISTINCT t.start) AS n_windows, count(DISTINCT r.read_id) AS n_reads FROM t LEFT JOIN {reads} r ON r.chrom = t.chrom AND r.start >= t.start AND r.start < t.start + 1024 GROUP BY t.chrom, bin_size"))
+@register("c1_tile_windows", sql_over("WITH t AS (SELECT chrom, bin_size, unnest(range(0, greatest(1, length - bin_size * 256), 1024)) AS start FROM {contigs} CROSS JOIN (VALUES (1), (2), (4), (8), (16), (32), (64)) AS b(bin_size)) SELECT t.chrom, bin_size, count(DISTINCT t.start) AS n_windows, count(DISTINCT r.read_id) AS n_reads FROM t LEFT JOIN {reads} r ON r.chrom = t.chrom AND r.start >= t.start AND r.start < t.start + 1024 GROUP BY t.chrom, bin_size"))
 def c1(spark, d):
-    tiles = wn.tile(view(spark, d, "contigs"), (4, 16), 1024).withColumn("cell", iv.bin_of("start", 1024))
+    tiles = wn.tile(view(spark, d, "contigs"), SCALES, 1024).withColumn("cell", iv.bin_of("start", 1024))
     reads = view(spark, d, "reads").select("chrom", "read_id", iv.bin_of("start", 1024).alias("cell"))
     return tiles.join(reads, ["chrom", "cell"], "left").groupBy("chrom", "bin_size").agg(F.count_distinct("start").alias("n_windows"), F.count_distinct("read_id").alias("n_reads"))
 
@@ -195,7 +195,7 @@ def c12(spark, d):
 
 def _subset_sql(nested: bool) -> str:
     key = "md5(concat_ws('|', '3', cast(o_orderkey AS string)))" if nested else "md5(concat_ws('|', '3', cast(frac AS string), cast(o_orderkey AS string)))"
-    return f"""WITH many AS (SELECT o_orderstatus, o_orderkey, frac FROM {{orders}} CROSS JOIN (VALUES (0.05::DOUBLE), (0.25), (1.0)) AS f(frac)),
+    return f"""WITH many AS (SELECT o_orderstatus, o_orderkey, frac FROM {{orders}} CROSS JOIN (VALUES (0.01::DOUBLE), (0.05), (0.1), (0.25), (0.5), (1.0)) AS f(frac)),
 ranked AS (SELECT *, count(*) OVER (PARTITION BY o_orderstatus, frac) AS n, row_number() OVER (PARTITION BY o_orderstatus, frac ORDER BY {key}, o_orderkey) AS rn FROM many),
 chosen AS (SELECT *, greatest(2, least(n, cast(round_even(frac * n, 0) AS bigint))) AS budget FROM ranked),
 valid AS (SELECT *, cast(round_even(budget * 0.2, 0) AS bigint) AS nv FROM chosen WHERE rn <= budget)
@@ -204,7 +204,7 @@ SELECT o_orderstatus, o_orderkey, frac, budget, CASE WHEN nv >= 12 AND budget -
 
 def _subsets(spark, d, nested: bool):
     rows = view(spark, d, "orders").select("o_orderstatus", "o_orderkey")
-    return wn.budget_subsets(rows, (0.05, 0.25, 1.0), "o_orderkey", 3, nested, ["o_orderstatus"])
+    return wn.budget_subsets(rows, (0.01, 0.05, 0.1, 0.25, 0.5, 1.0), "o_orderkey", 3, nested, ["o_orderstatus"])
 
 
 @register("c13_nested_subsets", sql_over(_subset_sql(True)))

@@ -11,8 +11,9 @@ SENTINELS = {"label": -1, "geno": -1, "del_len": -1, "bp0": float("nan"), "bp1":
 
 
 def write_windows(windows: DataFrame, path: str, rows: int = 1024) -> None:
-    """Parquet by sample and split, with at most ``rows`` rows a file."""
-    windows.write.mode("overwrite").partitionBy("sample", "split").option("maxRecordsPerFile", rows).parquet(path)
+    """Parquet by sample and split, with at most ``rows`` rows a file; rows are dealt by ranges first, so a task writes few splits and no split is one task's."""
+    ranged = windows.repartitionByRange("sample", "split", F.xxhash64(*windows.columns))
+    ranged.write.mode("overwrite").partitionBy("sample", "split").option("maxRecordsPerFile", rows).parquet(path)
 
 
 def with_shards(windows: DataFrame, groups: list[str], order: list[str], rows: int = 1024) -> DataFrame:
