@@ -4,7 +4,8 @@ A candidate is a run of 20 or more characters of the Base64 alphabet with a digi
 class that holds all its characters (digits, hex, letters and digits, any), and each class has its own least entropy.
 A window of WINDOW characters slides over the candidate; the counts of its characters change by one in and one out,
 and with them the sum of n * log2(n), so a step costs the same for any window. Runs of windows at or above the class's
-least entropy become spans of kind ``entropy``. Allow-listed candidates (placeholders, UUIDs, words joined by marks)
+least entropy become spans of kind ``entropy``. Runs of digits alone are numbers, and their class asks for more bits than
+ten characters can have, so it is never reported. Allow-listed candidates (placeholders, UUIDs, words joined by marks)
 and those that a base span covers are left out.
 
 Defined results: a null text is empty; spans are code points with the end exclusive, ordered by start, kind and end;
