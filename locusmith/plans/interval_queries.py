@@ -127,8 +127,10 @@ def p7(spark, d):
 @register("c1_tile_windows", sql_over("WITH t AS (SELECT chrom, bin_size, unnest(range(0, greatest(1, length - bin_size * 256), 1024)) AS start FROM {contigs} CROSS JOIN (VALUES (1), (2), (4), (8), (16), (32), (64)) AS b(bin_size)) SELECT t.chrom, bin_size, count(DISTINCT t.start) AS n_windows, count(DISTINCT r.read_id) AS n_reads FROM t LEFT JOIN {reads} r ON r.chrom = t.chrom AND r.start >= t.start AND r.start < t.start + 1024 GROUP BY t.chrom, bin_size"))
 def c1(spark, d):
     tiles = wn.tile(view(spark, d, "contigs"), SCALES, 1024).withColumn("cell", iv.bin_of("start", 1024))
-    reads = view(spark, d, "reads").select("chrom", "read_id", iv.bin_of("start", 1024).alias("cell"))
-    return tiles.join(reads, ["chrom", "cell"], "left").groupBy("chrom", "bin_size").agg(F.count_distinct("start").alias("n_windows"), F.count_distinct("read_id").alias("n_reads"))
+    # Tiles of a scale are all cells from 0 to its last, so a read counts where its first cell has one: ids are grouped once for all scales.
+    reads = view(spark, d, "reads").select("chrom", "read_id", iv.bin_of("start", 1024).alias("cell")).where("cell >= 0 AND read_id IS NOT NULL")
+    counts = reads.groupBy("chrom", "read_id").agg(F.min("cell").alias("cell")).groupBy("chrom", "cell").agg(F.count(F.lit(1)).alias("n"))
+    return tiles.join(counts, ["chrom", "cell"], "left").groupBy("chrom", "bin_size").agg(F.count_distinct("start").alias("n_windows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_reads"))
 
 
 @register("c2_seeded_subsample", sql_over("SELECT * FROM (SELECT chrom, start, stop FROM {candidates} ORDER BY md5(concat_ws('|', '7', chrom, cast(start AS string), cast(stop AS string))), chrom, start, stop LIMIT 100) ORDER BY chrom, start, stop"))
