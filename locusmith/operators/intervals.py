@@ -103,11 +103,20 @@ def reciprocal_pairs(candidates: DataFrame, truth: DataFrame, width: int = WIDTH
     return pairs.withColumn("ro", reciprocal(F.col("start"), F.col("stop"), F.col("t_start"), F.col("t_stop")))
 
 
+def _best_overlaps(keys: DataFrame, truth: DataFrame, width: int) -> DataFrame:
+    """(chrom, start, stop, _best): the largest reciprocal overlap of each interval met; whole rows of numbers, so pairs are reduced where they are made."""
+    return reciprocal_pairs(keys, truth.select("chrom", "start", "stop"), width).groupBy("chrom", "start", "stop").agg(F.max("ro").alias("_best"))
+
+
 def best_match(candidates: DataFrame, truth: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The best truth interval of each candidate that overlaps one; the first in truth order among equals."""
-    ranked = reciprocal_pairs(candidates, truth, width).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("chrom", "start", "stop").orderBy(F.desc("ro"), "t_start", "t_stop", "t_geno"))
-    )
+    """The best truth interval of each candidate that overlaps one; the first in truth order among equals.
+
+    Pairs are made twice: first for the largest overlap alone, then only those that reach it are ranked, so neither a shuffle nor a sort sees all pairs.
+    """
+    on = ["chrom", "start", "stop"]
+    best = _best_overlaps(candidates.select(*on).distinct(), truth, width)
+    pairs = reciprocal_pairs(candidates.join(best, on), truth, width).where("ro = _best")
+    ranked = pairs.drop("_best").withColumn("_rank", F.row_number().over(Window.partitionBy(*on).orderBy(F.desc("ro"), "t_start", "t_stop", "t_geno")))
     return ranked.where("_rank = 1").drop("_rank")
 
 
@@ -115,11 +124,15 @@ def label_candidates(candidates: DataFrame, truth: DataFrame, exclude: DataFrame
     """Outcome, label and genotype of each distinct candidate, by the cascade: unconfident, true, ambiguous, partial, false."""
     on = ["chrom", "start", "stop"]
     keys = candidates.select(*on).distinct()
-    # Truth and exclusions meet the candidates in one range join, which partial aggregation reduces to a row for each candidate met.
-    others = truth.select(*on, "geno").unionByName(exclude.select(*on).withColumn("geno", F.lit(None).cast(truth.schema["geno"].dataType)).withColumn("out", F.lit(True)), allowMissingColumns=True)
-    pairs = overlap_join(keys, others, "t_").withColumn("ro", F.when(F.col("t_out").isNull(), reciprocal(F.col("start"), F.col("stop"), F.col("t_start"), F.col("t_stop"))))
-    best = F.min_by("t_geno", F.when(F.col("t_out").isNull(), F.struct(-F.col("ro"), "t_start", "t_stop", "t_geno")))
-    met = pairs.groupBy(*on).agg(F.max("ro").alias("ro"), best.alias("geno"), F.max("t_out").alias("touched"))
+    # Truth and exclusions meet the candidates in one range join, which numbers alone reduce to a row for each candidate met;
+    # only pairs of the largest overlap are made again for their genotype, as ordering all by structs would sort them.
+    true = truth.groupBy(*on).agg(F.min("geno").alias("geno"))
+    others = true.select(*on, F.lit(False).alias("out")).unionByName(exclude.select(*on, F.lit(True).alias("out")).distinct())
+    pairs = overlap_join(keys, others, "t_").withColumn("ro", F.when(~F.col("t_out"), reciprocal(F.col("start"), F.col("stop"), F.col("t_start"), F.col("t_stop"))))
+    found = pairs.groupBy(*on).agg(F.max("ro").alias("ro"), F.max(F.when(F.col("t_out"), F.lit(1))).alias("touched"))
+    top = reciprocal_pairs(found.where("ro > 0").select(*on, F.col("ro").alias("_best")), true).where("ro = _best")
+    best = top.groupBy(*on).agg(F.min_by("t_geno", F.struct("t_start", "t_stop")).alias("geno"))
+    met = found.join(best, on, "left")
     padded = keys.withColumns({"_start": F.col("start"), "_stop": F.col("stop"), "start": F.col("start") - slop, "stop": F.col("stop") + slop})
     inside = contained_in(padded, merge_intervals(confident), "left").select("chrom", F.col("_start").alias("start"), F.col("_stop").alias("stop"), F.when(F.col("_s").isNotNull(), F.lit(True)).alias("sure"))
     flags = inside.join(met, on, "left")
