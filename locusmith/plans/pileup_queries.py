@@ -60,7 +60,7 @@ def short_reads(spark, d):
         {
             "cigar": cigar,
             "seq": F.array_join(F.transform(places, lambda q: F.substring(F.lit("ACGTN"), ((F.col("base_seed") + q * q) % 5 + 1).cast("int"), F.lit(1))), ""),
-            "quals": F.transform(places, lambda q: (F.col("qual_seed") + q * 7) % 70),
+            "quals": F.transform(places, lambda q: ((F.col("qual_seed") + q * 7) % 70).cast("byte")),
         }
     )
 
@@ -70,22 +70,18 @@ def _windows(spark, d):
     return w.select(F.concat_ws(":", "chrom", F.col("win_start").cast("string"), F.col("bin_size").cast("string")).alias("window_id"), "chrom", F.col("win_start").alias("start"), (F.col("win_start") + F.col("span")).alias("stop"), "bin_size").distinct()
 
 
-def _runs(spark, d):
+def _signals(spark, d):
     reads = short_reads(spark, d)
-    return pl.window_runs(_windows(spark, d), pl.read_signals(reads, pl.insert_size(reads)))
+    return pl.read_signals(reads, stored(pl.insert_size(reads)))
 
 
-def _pairs(spark, d):
-    return pl.spelt(_runs(spark, d))
-
-
-def _cells(spark, d):
-    return pl.cells(pl.spelt(pl.keep_rows(stored(_runs(spark, d)))))
+def _cells(spark, d, windows=None):
+    return pl.cells(stored(_windows(spark, d)) if windows is None else windows, _signals(spark, d))
 
 
 def _features(spark, d):
-    runs = stored(_runs(spark, d))
-    return pl.window_features(_windows(spark, d), pl.column_depth(runs), pl.cells(pl.spelt(pl.keep_rows(runs))))
+    windows = stored(_windows(spark, d))
+    return pl.window_features(windows, pl.depth_rows(windows, short_reads(spark, d)), _cells(spark, d, windows))
 
 
 @register("a1_coverage_profile", sql_over("WITH " + COVER + " SELECT * FROM cover"))
@@ -118,7 +114,7 @@ def p6(spark, d):
 
 @register("j8_aligned_pairs", sql_over("WITH " + BASED + " SELECT window_id, read_id, count(*) AS n_bases, cast(sum(q) AS bigint) AS sum_q, cast(sum(col) AS bigint) AS sum_col FROM pairs GROUP BY window_id, read_id"))
 def j8(spark, d):
-    return _pairs(spark, d).groupBy("window_id", F.col("r_read_id").alias("read_id")).agg(F.count(F.lit(1)).alias("n_bases"), F.sum("q").alias("sum_q"), F.sum("col").alias("sum_col"))
+    return pl.pair_sums(_windows(spark, d), short_reads(spark, d))
 
 
 CELL = ("base_a", "base_c", "base_g", "base_t", "base_quality", "mapq_s", "strand_s", "disc_s", "clip_s", "isize_z")
@@ -131,7 +127,7 @@ def a4(spark, d):
 
 @register("a5_column_depth", sql_over("WITH " + BASED + " SELECT window_id, col, " + rounded("depth") + " FROM depth"))
 def a5(spark, d):
-    return round_all(pl.column_depth(_runs(spark, d)), "depth")
+    return round_all(pl.column_depth(stored(_windows(spark, d)), short_reads(spark, d)), "depth")
 
 
 CONSENSUS = """consensus AS (SELECT chrom, pos, min(base) AS base FROM (SELECT s.chrom, s.start + i AS pos, substr('ACGTN', cast((base_seed + (n_clip + i) * (n_clip + i)) % 5 + 1 AS int), 1) AS base FROM (SELECT *, unnest(range(0, n_first)) AS i FROM {short_reads}) s) GROUP BY chrom, pos)"""
@@ -154,8 +150,8 @@ def a6(spark, d):
 
 @register("a7_column_profile", sql_over("WITH " + BASED + " SELECT c.window_id, c.col, " + ", ".join(f"round(avg({n}), 11) + 0.0 AS {n}" for n in CELL) + ", round(min(depth), 11) + 0.0 AS depth FROM cells c JOIN depth d ON c.window_id = d.window_id AND c.col = d.col GROUP BY c.window_id, c.col"))
 def a7(spark, d):
-    runs = stored(_runs(spark, d))
-    return round_all(pl.column_profile(pl.cells(pl.spelt(pl.keep_rows(runs))), pl.column_depth(runs)), *CELL, "depth", digits=11)
+    windows = stored(_windows(spark, d))
+    return round_all(pl.column_profile(_cells(spark, d, windows), pl.column_depth(windows, short_reads(spark, d))), *CELL, "depth", digits=11)
 
 
 @register("a8_window_features", sql_over("WITH " + FEATURED + " SELECT window_id, " + rounded(*pl.FEATURES, digits=11) + " FROM features"))
