@@ -92,10 +92,11 @@ def a1(spark, d):
 @register(
     "a2_centre_flank_ratio",
     sql_over("WITH " + WINDOWED + ", " + COVER + """, edge AS (SELECT chrom, win_start AS start, span, cast(floor(win_start / 64) AS bigint) AS a, cast(floor((win_start + floor(span / 4)) / 64) AS bigint) AS b, cast(floor((win_start + floor(span * 3 / 4)) / 64) AS bigint) AS c, cast(floor((win_start + span) / 64) AS bigint) AS e, start AS call FROM placed),
-parts AS (SELECT w.chrom, w.start, w.span, w.call, coalesce(sum(CASE WHEN v.bin >= b AND v.bin < c THEN depth END), 0) AS centre, coalesce(sum(CASE WHEN v.bin < b OR v.bin >= c THEN depth END), 0) AS flank FROM edge w LEFT JOIN cover v ON v.chrom = w.chrom AND v.bin >= w.a AND v.bin < w.e GROUP BY w.chrom, w.start, w.span, w.call)
-SELECT chrom, start, span, call, CASE WHEN flank > 0 THEN round(centre / flank::DOUBLE, 7) + 0.0 END AS ratio FROM parts"""),
+parts AS (SELECT w.chrom, w.start, w.span, w.call, coalesce(sum(CASE WHEN v.bin >= b AND v.bin < c THEN depth END), 0) AS centre, coalesce(sum(CASE WHEN v.bin < b OR v.bin >= c THEN depth END), 0) AS flank FROM (SELECT DISTINCT * FROM edge) w LEFT JOIN cover v ON v.chrom = w.chrom AND v.bin >= w.a AND v.bin < w.e GROUP BY w.chrom, w.start, w.span, w.call)
+SELECT w.chrom, w.start, w.span, w.call, CASE WHEN flank > 0 THEN round(centre / flank::DOUBLE, 7) + 0.0 END AS ratio FROM edge w JOIN parts p ON w.chrom = p.chrom AND w.start = p.start AND w.span = p.span AND w.call = p.call"""),
 )
 def a2(spark, d):
+    """A row for each call, also where calls are alike."""
     w = wn.positive_windows(view(spark, d, "truth"), view(spark, d, "contigs")).select("chrom", F.col("win_start").alias("start"), "span", F.col("start").alias("call"))
     return round_all(pl.centre_flank(pl.coverage(view(spark, d, "reads")), w), "ratio")
 
