@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import pileup as pl
 from ..operators import windows as wn
 from ..operators.stored import stored
-from ..sources import text
 from .interval_queries import WINDOWED
 from .registry import register
 from .views import sql_over, view
@@ -54,12 +53,16 @@ def short_reads(spark, d):
     r = view(spark, d, "short_reads")
     total = F.col("n_clip") + F.col("n_first") + F.col("n_insert") + F.col("n_second")
     places = F.sequence(F.lit(0).cast("long"), total - 1)
+    spelt = F.array_join(F.transform(places, lambda q: F.substring(F.lit("ACGTN"), ((F.col("base_seed") + q * q) % 5 + 1).cast("int"), F.lit(1))), "")
+    # Squares repeat every five places.
+    period = F.get(F.array(*[F.lit("".join("ACGTN"[(seed + q * q) % 5] for q in range(5))) for seed in range(5)]), (F.col("base_seed") % 5).cast("int"))
+    repeated = F.substring(F.repeat(period, F.ceil(total / 5).cast("int")), F.lit(1), total.cast("int"))
     op = lambda name, n: F.struct(F.lit(name).alias("op"), F.col(n).cast("long").alias("len"))
     cigar = F.filter(F.array(op("S", "n_clip"), op("M", "n_first"), op("I", "n_insert"), op("M", "n_second")), lambda c: c["len"] > 0)
     return r.withColumns(
         {
             "cigar": cigar,
-            "seq": F.array_join(F.transform(places, lambda q: F.substring(F.lit("ACGTN"), ((F.col("base_seed") + q * q) % 5 + 1).cast("int"), F.lit(1))), ""),
+            "seq": F.when(F.col("base_seed") >= 0, repeated).otherwise(spelt),
             "quals": F.transform(places, lambda q: ((F.col("qual_seed") + q * 7) % 70).cast("byte")),
         }
     )
@@ -141,12 +144,9 @@ f AS (SELECT window_id, col, count(*) FILTER (base = 'A') / bin_size::DOUBLE AS
 SELECT window_id, col, """ + rounded("ref_a", "ref_c", "ref_g", "ref_t") + ", round(1 - ref_a - ref_c - ref_g - ref_t, 7) + 0.0 AS ref_n FROM f"),
 )
 def a6(spark, d):
-    r = short_reads(spark, d).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_first") - 1)))
-    base = F.substring("seq", (F.col("n_clip") + F.col("i") + 1).cast("int"), F.lit(1))
-    reference = r.groupBy("chrom", (F.col("start") + F.col("i")).alias("pos")).agg(F.min(base).alias("base"))
-    windows = _windows(spark, d)
-    slices = text.slices_of(text.packed(reference), windows.select("chrom", "start", "stop"))
-    return round_all(pl.reference_columns(windows, slices), "ref_a", "ref_c", "ref_g", "ref_t", "ref_n")
+    first = F.substring("seq", (F.col("n_clip") + 1).cast("int"), F.col("n_first").cast("int"))
+    places = pl.least_bases(short_reads(spark, d).select("chrom", "start", first.alias("bases")))
+    return round_all(pl.reference_columns(stored(_windows(spark, d)), places), "ref_a", "ref_c", "ref_g", "ref_t", "ref_n")
 
 
 @register("a7_column_profile", sql_over("WITH " + BASED + " SELECT c.window_id, c.col, " + ", ".join(f"round(avg({n}), 11) + 0.0 AS {n}" for n in CELL) + ", round(min(depth), 11) + 0.0 AS depth FROM cells c JOIN depth d ON c.window_id = d.window_id AND c.col = d.col GROUP BY c.window_id, c.col"))

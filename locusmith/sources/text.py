@@ -147,19 +147,6 @@ def load_fasta_blocks(spark: SparkSession, path: str, size: int = BLOCK) -> Data
     return fasta_blocks(load_lines(spark, path), size)
 
 
-def packed(bases: DataFrame, size: int = BLOCK, gap: str = ".") -> DataFrame:
-    """(chrom, block, bases) of single bases (chrom, pos, base; one a place), from 0 to each chrom's last; ``gap`` stands where there is none."""
-    placed = bases.select("chrom", bin_of("pos", size).alias("block"), F.col("pos").alias("at"), "base")
-    own = placed.groupBy("chrom", "block").agg(F.array_sort(F.collect_list(F.struct((F.col("at") - F.col("block") * size).cast("int").alias("at"), "base"))).alias("own"))
-    # Each base brings the gap before it.
-    piece = lambda x, i: F.concat(F.repeat(F.lit(gap), x["at"] - F.coalesce(F.get("own", i - 1)["at"], F.lit(-1)) - 1), x["base"])
-    known = own.select("chrom", "block", F.array_join(F.transform("own", piece), "").alias("front"))
-    last = placed.groupBy("chrom").agg(F.max("at").alias("last"))
-    whole = last.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), bin_of("last", size)))).join(known, ["chrom", "block"], "left")
-    length = F.least(F.col("last") + 1 - F.col("block") * size, F.lit(size)).cast("int")
-    return whole.select("chrom", "block", F.rpad(F.coalesce("front", F.lit("")), length, F.lit(gap)).alias("bases"))
-
-
 def slices(sequences: DataFrame, ranges: DataFrame, size: int = BLOCK) -> DataFrame:
     """The bases of each range (chrom, start, stop) of a known chrom, as far as its sequence goes."""
     return slices_of(blocks(sequences, size), ranges, size, sequences.select("chrom"))
