@@ -77,20 +77,32 @@ def parse_candidate_vcf(lines: DataFrame, least: int = 50, most: int = 1_000_000
     return r.where(keep).select("chrom", "start", F.col("end").alias("stop")), r.agg(F.count(F.lit(1)).alias("n_read"), F.count_if(keep).alias("n_kept"))
 
 
-def parse_sam(lines: DataFrame) -> DataFrame:
-    """Mapped primary alignments of SAM text with flags, cigar operations and base qualities spelt out."""
-    p = lines.where(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("p"))
+def _sam_fields(lines: DataFrame) -> DataFrame:
+    """The fields of SAM lines of mapped primary alignments in one array ``p``; generators hand on each line and split it, so filters neither make nor split it again."""
+    body = lines.select(F.explode(F.array("value")).alias("value")).where(~F.col("value").startswith("@"))
+    p = body.select(F.explode(F.array(F.split("value", "\t"))).alias("p"))
+    return p.where(F.col("p")[1].cast("int").bitwiseAND(4 | 256 | 2048) == 0)
+
+
+def _sam_rows(p: DataFrame) -> DataFrame:
     flag = F.col("p")[1].cast("int")
     cut = F.regexp_extract_all(F.col("p")[5], F.lit(r"(\d+)([MIDNSHP=X])"), 0)
-    cigar = F.transform(cut, lambda c: F.struct(F.substring(c, -1, 1).alias("op"), F.regexp_extract(c, r"\d+", 0).cast("long").alias("len")))
-    rows = p.select(
-        F.col("p")[0].alias("read_id"), flag.alias("flag"), F.col("p")[2].alias("chrom"), (F.col("p")[3].cast("long") - 1).alias("start"), F.col("p")[4].cast("int").alias("mapq"),
+    cigar = F.transform(cut, lambda c: F.struct(F.substring(c, -1, 1).alias("op"), F.substring(c, F.lit(1), F.length(c) - 1).cast("long").alias("len")))
+    # Operations that use the reference, summed from the text, so that whoever needs no cigar doesn't spell it.
+    used = F.aggregate(F.regexp_extract_all(F.col("p")[5], F.lit("(\\d+)[MDN=X]"), 1), F.lit(0).cast("long"), lambda s, n: s + n.cast("long"))
+    bit = lambda n: flag.bitwiseAND(n) != 0
+    start = F.col("p")[3].cast("long") - 1
+    return p.select(
+        F.col("p")[0].alias("read_id"), flag.alias("flag"), F.col("p")[2].alias("chrom"), start.alias("start"), F.col("p")[4].cast("int").alias("mapq"),
         cigar.alias("cigar"), F.col("p")[8].cast("long").alias("tlen"), F.col("p")[9].alias("seq"),
         F.transform(F.filter(F.split(F.col("p")[10], ""), lambda c: c != ""), lambda c: F.ascii(c) - 33).alias("quals"),
+        (start + used).alias("stop"), bit(16).alias("is_reverse"), bit(1).alias("is_paired"), (~bit(1) | bit(2)).alias("is_proper"),
     )
-    used = F.aggregate(F.filter("cigar", lambda c: c["op"].isin("M", "D", "N", "=", "X")), F.lit(0).cast("long"), lambda s, c: s + c["len"])
-    bit = lambda n: F.col("flag").bitwiseAND(n) != 0
-    return rows.where(~bit(4) & ~bit(256) & ~bit(2048)).withColumns({"stop": F.col("start") + used, "is_reverse": bit(16), "is_paired": bit(1), "is_proper": ~bit(1) | bit(2)})
+
+
+def parse_sam(lines: DataFrame) -> DataFrame:
+    """Mapped primary alignments of SAM text with flags, cigar operations and base qualities spelt out."""
+    return _sam_rows(_sam_fields(lines))
 
 
 def parse_fasta(lines: DataFrame) -> DataFrame:
@@ -174,20 +186,29 @@ def write_reads(reads: DataFrame, path: str, width: int = 1 << 20, rows: int = 1
     placed.repartitionByRange("of", "wide", "start").sortWithinPartitions("of", "wide", "start").write.partitionBy("of", "wide").option("maxRecordsPerFile", rows).parquet(path)
 
 
+def _wide_regions(regions: DataFrame, width: int) -> tuple[DataFrame, bool]:
+    """Merged regions (_chrom, _wide, _start, _stop, and the stop _before) in each wide bin that they touch, within the bins' bounds, and whether they are few."""
+    merged = stored(merge_intervals(regions.where("stop > start")))
+    before = F.lag("stop").over(Window.partitionBy("chrom").orderBy("start"))
+    wide = stored(over_bins(merged.withColumn("_before", before), width, "_wide")).select(F.col("chrom").alias("_chrom"), "_wide", F.col("start").alias("_start"), F.col("stop").alias("_stop"), "_before")
+    n, low, high = wide.agg(F.count(F.lit(1)), F.min("_wide"), F.max("_wide")).first()
+    return (wide.where(F.col("_wide").between(low, high)) if n else wide), n <= BROADCAST_ROWS
+
+
+def _met_once(met: DataFrame, wide: str, width: int) -> DataFrame:
+    """Of reads joined with regions in wide bins, those that overlap: a read counts for the first region that it overlaps, in the bin in which the later of the two begins."""
+    first = (F.col("start") < F.col("_stop")) & (F.col("stop") > F.col("_start")) & (F.col("_before").isNull() | (F.col("_before") <= F.col("start")))
+    return met.where(first & (F.col(wide) == bin_of(F.greatest("start", "_start"), width)))
+
+
 def read_regions(spark: SparkSession, path: str, regions: DataFrame, width: int = 1 << 20) -> DataFrame:
     """The reads of a store that overlap any of the regions (chrom, start, stop), each row once; other bins' files aren't read.
 
-    Merged regions meet the store by its partition columns, so they prune its files when the query runs. A read counts
-    for the first region that it overlaps, in the bin in which the later of the two begins.
+    Merged regions meet the store by its partition columns, so they prune its files when the query runs.
     """
-    merged = stored(merge_intervals(regions.where("stop > start")))
-    before = F.lag("stop").over(Window.partitionBy("chrom").orderBy("start"))
-    wide = stored(over_bins(merged.withColumn("_before", before), width, "_wide")).select(F.concat(F.lit("_"), "chrom").alias("_of"), "_wide", F.col("start").alias("_start"), F.col("stop").alias("_stop"), "_before")
+    wide, few = _wide_regions(regions, width)
+    wide = wide.withColumn("_of", F.concat(F.lit("_"), "_chrom"))
     # The bounds prune when the query is planned, the broadcast when it runs; more regions than that meet the bins within the bounds by shuffle.
-    n, low, high = wide.agg(F.count(F.lit(1)), F.min("_wide"), F.max("_wide")).first()
-    wide = wide.where(F.col("_wide").between(low, high)) if n else wide
-    wide = F.broadcast(wide) if n <= BROADCAST_ROWS else wide
     reads = spark.read.parquet(path)
-    met = reads.join(wide, (F.col("of") == F.col("_of")) & (F.col("wide") == F.col("_wide")))
-    met = met.where((F.col("start") < F.col("_stop")) & (F.col("stop") > F.col("_start")) & (F.col("_before").isNull() | (F.col("_before") <= F.col("start"))))
-    return met.where(F.col("wide") == bin_of(F.greatest("start", "_start"), width)).select(*[c for c in reads.columns if c not in ("of", "wide")])
+    met = reads.join(F.broadcast(wide) if few else wide, (F.col("of") == F.col("_of")) & (F.col("wide") == F.col("_wide")))
+    return _met_once(met, "wide", width).select(*[c for c in reads.columns if c not in ("of", "wide")])

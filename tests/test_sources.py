@@ -139,3 +139,12 @@ def test_read_store_prunes(spark, tmp_path):
     opened = [n.metrics().get("numFiles").get().value() for n in leaves(plan) if n.metrics().contains("numFiles")]
     total = sum(1 for _ in (tmp_path / "reads").rglob("*.parquet"))
     assert opened and max(opened) < total / 5
+
+
+def test_sam_lines_are_split_once(spark):
+    """Filters on flags are part of no plan that splits a line again, and a place needs no spelt cigar."""
+    sam = lines(spark, "@HD\tVN:1", "r1\t16\t1\t11\t60\t3H7=2X5N1I1S\t=\t0\t0\tA\tI", "r2\t256\t1\t11\t60\t5M\t=\t0\t0\tA\tI")
+    parsed = text.parse_sam(sam).select("read_id", "start", "stop", "is_reverse")
+    assert [tuple(r) for r in parsed.collect()] == [("r1", 10, 24, True)]
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1 and "transform(" not in plan
