@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals as iv
 from ..operators import models
 from ..operators import windows as wn
 from ..sources import tables, text
@@ -76,7 +75,7 @@ def p5(spark, d):
 def s5(spark, d):
     lines = _read_lines(spark, d)
     region = lines.limit(1).select(F.lit("3").alias("chrom"), F.lit(100000).cast("long").alias("start"), F.lit(400000).cast("long").alias("stop"))
-    return iv.overlapping(text.parse_sam(lines), region).select("read_id", "chrom", "start", "stop", F.col("mapq").cast("long").alias("mapq"), "is_reverse")
+    return text.scan_sam(lines, region).select("read_id", "chrom", "start", "stop", F.col("mapq").cast("long").alias("mapq"), "is_reverse")
 
 
 def _read_lines(spark, d):

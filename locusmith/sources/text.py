@@ -105,6 +105,20 @@ def parse_sam(lines: DataFrame) -> DataFrame:
     return _sam_rows(_sam_fields(lines))
 
 
+def scan_sam(lines: DataFrame, regions: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """The alignments of SAM lines that overlap any of the regions (chrom, start, stop), each row once.
+
+    Lines of other chroms go before more than their fields is parsed, and up to ``BROADCAST_ROWS`` bins of regions are
+    broadcast, so that no line is shuffled.
+    """
+    wide, few = _wide_regions(regions, width)
+    chroms = wide.select("_chrom").distinct()
+    near = _sam_fields(lines).join(F.broadcast(chroms) if few else chroms, F.col("p")[2] == F.col("_chrom"), "left_semi")
+    reads = over_bins(_sam_rows(near), width, "_bin")
+    met = reads.join(F.broadcast(wide) if few else wide, (F.col("chrom") == F.col("_chrom")) & (F.col("_bin") == F.col("_wide")))
+    return _met_once(met, "_bin", width).select(*[c for c in reads.columns if c != "_bin"])
+
+
 def parse_fasta(lines: DataFrame) -> DataFrame:
     """(chrom, sequence) of records, one row each (value: a record without its leading >)."""
     return lines.where(F.trim("value") != "").select(F.regexp_extract("value", r"^(\S+)", 1).alias("chrom"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("sequence"))

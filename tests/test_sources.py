@@ -148,3 +148,22 @@ def test_sam_lines_are_split_once(spark):
     assert [tuple(r) for r in parsed.collect()] == [("r1", 10, 24, True)]
     plan = parsed._jdf.queryExecution().executedPlan().toString()
     assert plan.count("split(") == 1 and "transform(" not in plan
+
+
+def test_sam_scan_splits_each_line_once(spark):
+    """Reads that overlap regions, each once, against plain Python; unmapped and secondary ones go, and the plan neither shuffles lines nor splits them again."""
+    import random
+
+    draw = random.Random(3)
+    cigars = {"10M": 10, "2S5M3D4M1I2M6S": 14, "5M100N5M": 110, "3H7=2X": 9, "*": 0}
+    rows = [(f"r{i}", draw.choice([0, 16, 99, 4, 256, 2048, 1]), draw.choice("123"), draw.randrange(1, 3000), draw.choice(list(cigars))) for i in range(600)]
+    sam = lines(spark, "@HD\tVN:1", *["\t".join(map(str, (n, f, c, at, 60, g, "=", 0, 0, "A", "I"))) for n, f, c, at, g in rows + rows[:5]])
+    regions = [("1", 100, 400), ("1", 300, 500), ("1", 1020, 1030), ("2", 0, 3000), ("2", 7, 7), ("4", 0, 9)]
+    kept = [(n, at - 1, at - 1 + cigars[g], c) for n, f, c, at, g in rows + rows[:5] if not f & (4 | 256 | 2048)]
+    want = sorted(r for r in kept if r[2] > r[1] and any(c == r[3] and r[1] < e and r[2] > b for c, b, e in regions))
+    found = text.scan_sam(sam, spark.createDataFrame(regions, "chrom string, start long, stop long"), 64)
+    assert sorted((r["read_id"], r["start"], r["stop"], r["chrom"]) for r in found.collect()) == want
+    cigar = {r["read_id"]: "".join(f"{c['len']}{c['op']}" for c in r["cigar"]) for r in found.collect()}
+    assert all(cigar[n] == g for n, _, _, _, g in rows if n in cigar)
+    plan = found.select("read_id", "stop")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1 and "SortMergeJoin" not in plan
