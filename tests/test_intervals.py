@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from locusmith.operators import intervals as iv
+from locusmith.plans.registry import queries
 
 COLS = "chrom string, start long, stop long"
 
@@ -55,3 +57,43 @@ def test_cascade_reaches_every_outcome(spark):
     assert iv.check_balance(out) == 0.5
     with pytest.raises(ValueError):
         iv.check_balance(out.where("outcome = 'tp'"))
+
+
+def runs(values):
+    """How many runs of equal values there are."""
+    return sum(1 for i, v in enumerate(values) if not i or v != values[i - 1])
+
+
+def by_task(df):
+    tasks = {}
+    for row in df.withColumn("_task", F.spark_partition_id()).collect():
+        tasks.setdefault(row["_task"], []).append(row)
+    return tasks.values()
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_clustered_pairs_are_whole_and_lie_in_order(spark, broadcast):
+    rng = random.Random(2)
+    make = lambda n: [(s, s + rng.randrange(1, 20_000)) for s in (rng.randrange(50_000) for _ in range(n))]
+    left, right = make(90) * 2, [*make(70), (100, 100)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        pairs = iv.overlap_join(frame(spark, left), frame(spark, right), clustered=True)
+        tasks = [[(r["start"], r["stop"], r["r_start"], r["r_stop"]) for r in rows] for rows in by_task(pairs)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(pair for rows in tasks for pair in rows) == sorted((a, b, c, d) for a, b in left for c, d in right if a < d and b > c)
+    for rows in tasks:
+        bins = [max(a, c) // iv.WIDTH for a, _, c, _ in rows]
+        assert runs(bins) == len(set(bins))
+        assert runs(list(zip(bins, [r[:2] for r in rows], strict=True))) == len(set(zip(bins, [r[:2] for r in rows], strict=True)))
+
+
+def test_read_windows_come_grouped_by_read(spark):
+    found = queries()["j7_read_windows"](spark, "/root/testdata/sf0.001")
+    for rows in by_task(found):
+        at = [(r["chrom"], max(r["win_start"], r["read_start"]) // iv.WIDTH) for r in rows]
+        assert runs(at) == len(set(at))
+        for (one, row), (two, after) in zip(zip(at, rows, strict=True), zip(at[1:], rows[1:], strict=True)):
+            assert one != two or row["read_start"] <= after["read_start"]
+            assert row["read_id"] != after["read_id"] or one != two or row["win_start"] <= after["win_start"]
