@@ -113,9 +113,9 @@ def reciprocal(start: Column, stop: Column, other_start: Column, other_stop: Col
     return F.when(other_start.isNull() | (shared <= 0), F.lit(0.0)).otherwise(shared / F.greatest(stop - start, other_stop - other_start))
 
 
-def reciprocal_pairs(candidates: DataFrame, truth: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Overlapping (candidate, truth) pairs with their reciprocal overlap."""
-    pairs = overlap_join(candidates, truth, "t_", width)
+def reciprocal_pairs(candidates: DataFrame, truth: DataFrame, width: int = WIDTH, clustered: bool = False) -> DataFrame:
+    """Overlapping (candidate, truth) pairs with their reciprocal overlap; ``clustered`` as in overlap_join."""
+    pairs = overlap_join(candidates, truth, "t_", width, clustered=clustered)
     return pairs.withColumn("ro", reciprocal(F.col("start"), F.col("stop"), F.col("t_start"), F.col("t_stop")))
 
 

@@ -56,7 +56,7 @@ BEST = PAIRS + """, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITI
 
 @register("j4_reciprocal_overlap", sql_over("WITH " + PAIRS + " SELECT chrom, start, stop, t_start, t_stop, t_geno, round(ro, 9) AS ro FROM pairs"))
 def j4(spark, d):
-    return iv.reciprocal_pairs(view(spark, d, "candidates"), view(spark, d, "truth")).withColumn("ro", F.round("ro", 9))
+    return iv.reciprocal_pairs(view(spark, d, "candidates"), view(spark, d, "truth"), clustered=True).withColumn("ro", F.round("ro", 9))
 
 
 @register("j5_best_match", sql_over("WITH " + BEST + " SELECT chrom, start, stop, t_start, t_stop, t_geno, round(ro, 9) AS ro FROM best"))

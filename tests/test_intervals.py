@@ -97,3 +97,12 @@ def test_read_windows_come_grouped_by_read(spark):
         for (one, row), (two, after) in zip(zip(at, rows, strict=True), zip(at[1:], rows[1:], strict=True)):
             assert one != two or row["read_start"] <= after["read_start"]
             assert row["read_id"] != after["read_id"] or one != two or row["win_start"] <= after["win_start"]
+
+
+def test_reciprocal_pairs_come_grouped_by_candidate(spark):
+    found = queries()["j4_reciprocal_overlap"](spark, "/root/testdata/sf0.01")
+    for rows in by_task(found):
+        at = [(r["chrom"], max(r["start"], r["t_start"]) // iv.WIDTH) for r in rows]
+        assert runs(at) == len(set(at))
+        for (one, row), (two, after) in zip(zip(at, rows, strict=True), zip(at[1:], rows[1:], strict=True)):
+            assert one != two or (row["start"], row["stop"], row["t_start"]) <= (after["start"], after["stop"], after["t_start"])
