@@ -157,8 +157,7 @@ def a6(spark, d):
 
 @register("a7_column_profile", sql_over("WITH " + BASED + " SELECT c.window_id, c.col, " + ", ".join(f"round(avg({n}), 11) + 0.0 AS {n}" for n in CELL) + ", round(min(depth), 11) + 0.0 AS depth FROM cells c JOIN depth d ON c.window_id = d.window_id AND c.col = d.col GROUP BY c.window_id, c.col"))
 def a7(spark, d):
-    windows = stored(_windows(spark, d))
-    return round_all(pl.column_profile(_cells(spark, d, windows), pl.column_depth(windows, short_reads(spark, d))), *CELL, "depth", digits=11)
+    return round_cells(pl.column_profiles(stored(_windows(spark, d)), _signals(spark, d)), *CELL, "depth", digits=11)
 
 
 @register("a8_window_features", sql_over("WITH " + FEATURED + " SELECT window_id, " + rounded(*pl.FEATURES, digits=11) + " FROM features"))
